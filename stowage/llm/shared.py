@@ -32,8 +32,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
