@@ -182,9 +182,7 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def verify(pairs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: the links between documents of pairs' blocks. pairs: x, y of blocks; blocks: block, doc_id. Blocks are bounded in members."""
     need = written(blocks.join(pairs.select(F.explode(F.array("x", "y")).alias("block")).distinct(), "block", "left_semi"), "blocks")
-    wanted = small(need.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    held = need.join(texts, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m"))
+    held = docs.select("doc_id", "text").join(small(need), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m"))
     both = pairs.join(held.select(F.col("block").alias("x"), F.col("m").alias("mx")), "x").join(held.select(F.col("block").alias("y"), F.col("m").alias("my")), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
