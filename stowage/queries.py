@@ -1,6 +1,908 @@
-def queries():
-    return {}
+"""The registered queries of the storage operators with the SQL that must agree with them.
 
+A query's name begins with the operator family's letter and number. Every frame is flat: arrays leave as sorted text.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import hashing as H
+from .operators import catalog, chunking, erasure, logs, placement, signing
+from .plans import audit, gc, rebalance, repair
+from .sources import fixtures as X
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+K, M, SHARD = 4, 2, 256
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = f"WITH {X.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {X.SQL.strip()}\n{sql}"
+        return f
+
+    return keep
+
+
+def joined(c) -> F.Column:
+    return F.array_join(F.array_sort(c), ",")
+
+
+# --- sources, scans, sinks
+
+
+@query("a1_scan", "SELECT bucket, key, octet_length(body)::BIGINT AS size, doc_id FROM objects_raw")
+def a1(spark, d):
+    return X.objects_raw(spark, d).select("bucket", "key", F.octet_length("body").cast("long").alias("size"), "doc_id")
+
+
+@query("a2_lookup", "SELECT bucket, key, sha256(body) AS digest FROM objects_raw WHERE bucket = 'src3' AND key = 'fr/00000003.txt'")
+def a2(spark, d):
+    return X.objects_raw(spark, d).filter("bucket = 'src3' AND key = 'fr/00000003.txt'").select("bucket", "key", F.sha2("body", 256).alias("digest"))
+
+
+@query("a3_inventory_paths", "SELECT addr, chunk_id, size FROM inventory")
+def a3(spark, d):
+    """Ids rebuilt from chunks/<two digits>/<rest> paths; temporary and malformed names are ignored."""
+    rows = X.inventory(spark, d)
+    path = F.concat(F.lit("chunks/"), F.substring("chunk_id", 1, 2), F.lit("/"), F.expr("substring(chunk_id, 3)"))
+    paths = rows.select("addr", "size", F.explode(F.array(path, F.concat(path, F.lit(".tmp")), F.lit("chunks/zz/other"))).alias("path"))
+    cid = F.concat(F.regexp_extract("path", "^chunks/([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "^chunks/([^/]+)/([^/]+)$", 2))
+    return paths.withColumn("chunk_id", cid).filter(H.is_chunk_id(F.col("chunk_id"))).select("addr", "chunk_id", "size")
+
+
+@query("a4_node_listing", "SELECT chunk_id, size, mtime FROM inventory WHERE addr = 'dn2'")
+def a4(spark, d):
+    return X.inventory(spark, d).filter("addr = 'dn2'").select("chunk_id", "size", "mtime")
+
+
+@query("a5_first_available", "SELECT r.chunk_id, arg_min(i.addr, r.pos) AS source FROM old_refs r LEFT JOIN inventory i ON i.chunk_id = r.chunk_id AND i.addr = r.addr WHERE i.addr IS NOT NULL GROUP BY 1")
+def a5(spark, d):
+    return X.refs(spark, d).join(X.inventory(spark, d).select("chunk_id", "addr"), ["chunk_id", "addr"]).groupBy("chunk_id").agg(F.min_by("addr", "replica_pos").alias("source"))
+
+
+@query("a6_verified_put", "SELECT DISTINCT 'dn1' AS addr, chunk_id, size FROM chunks WHERE substr(chunk_id, 1, 1) <> 'f'")
+def a6(spark, d):
+    """Chunks whose id isn't their digest are refused; a chunk that is there stays once."""
+    c = chunking.split_fixed(X.objects_raw(spark, d), X.CHUNK)
+    claimed = F.when(F.col("chunk_id").startswith("f"), F.sha2(F.lit(b"x"), 256)).otherwise(F.col("chunk_id"))
+    return c.withColumn("id", claimed).filter(F.sha2("data", 256) == F.col("id")).select(F.lit("dn1").alias("addr"), F.col("id").alias("chunk_id"), "size").dropDuplicates(["addr", "chunk_id"])
+
+
+@query("a7_delete", "SELECT i.addr, i.chunk_id FROM inventory i LEFT JOIN corrupt c ON c.addr = i.addr AND c.chunk_id = i.chunk_id WHERE c.addr IS NULL")
+def a7(spark, d):
+    return X.inventory(spark, d).join(X.corrupt(spark, d), ["addr", "chunk_id"], "left_anti").select("addr", "chunk_id")
+
+
+@query("a8_recount", "SELECT addr, count(*)::BIGINT AS chunks, sum(size)::BIGINT AS bytes FROM inventory GROUP BY addr")
+def a8(spark, d):
+    return X.inventory(spark, d).groupBy("addr").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
+
+
+@query("a10_snapshot_retention", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'signup' AND user_id = 7) WHERE n > 7")
+def a10(spark, d):
+    """Snapshots beyond the newest seven."""
+    e = X.table(spark, d, "events").filter("event_type = 'signup' AND user_id = 7")
+    keep = e.orderBy(F.desc("ts"), F.desc("event_id")).limit(7).select("event_id")
+    return e.join(F.broadcast(keep), "event_id", "left_anti").select("event_id")
+
+
+@query("a11_snapshot_history", "SELECT 'snap-' || strftime(ts, '%Y%m%dT%H%M%S') || '.bin' AS name FROM events WHERE event_type = 'signup' AND user_id = 7 ORDER BY ts DESC")
+def a11(spark, d):
+    e = X.table(spark, d, "events").filter("event_type = 'signup' AND user_id = 7")
+    names = e.select("ts", F.concat(F.lit("snap-"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit(".bin")).alias("name"))
+    return names.filter(F.col("name").rlike(r"^snap-\d{8}T\d{6}\.bin$")).orderBy(F.desc("ts")).select("name")
+
+
+@query("a14_log_lines", "SELECT seq, op, key FROM wal")
+def a14(spark, d):
+    """The log through its JSON lines and back, with a fixed schema."""
+    lines = X.wal(spark, d).select(F.to_json(F.struct("seq", "op", "bucket", "key")).alias("line"))
+    return lines.select(F.from_json("line", "seq long, op string, bucket string, key string").alias("x")).select("x.seq", "x.op", "x.key")
+
+
+@query("a15_json_report", """SELECT '{"addr":"' || addr || '","chunks":' || count(*)::VARCHAR || '}' AS line FROM inventory GROUP BY addr""")
+def a15(spark, d):
+    return X.inventory(spark, d).groupBy("addr").agg(F.count("*").alias("chunks")).select(F.to_json(F.struct("addr", "chunks")).alias("line"))
+
+
+@query("a16_xml_listing")
+def a16(spark, d):
+    return X.objects_raw(spark, d).filter("bucket = 'src3'").select("key", F.to_xml(F.struct(F.col("key").alias("Key"), F.octet_length("body").alias("Size"))).alias("xml"))
+
+
+# --- chunking and dedup
+
+
+@query("b1_fixed_chunks", "SELECT bucket, key, chunk_index::INT AS chunk_index, chunk_id, size FROM chunks")
+def b1(spark, d):
+    return X.chunks(spark, d)
+
+
+@query("b3_content_defined_chunks")
+def b3(spark, d):
+    return chunking.split_content(X.objects_raw(spark, d), chunking.ContentDefined(256, 1024, 4096, 11, 9, 0))
+
+
+@query("b6_join_chunks", "SELECT bucket, key, sha256(body) AS digest, octet_length(body)::BIGINT AS size, true AS sha_ok, true AS size_ok FROM objects_raw WHERE octet_length(body) > 0")
+def b6(spark, d):
+    out = chunking.join_chunks(chunking.split_fixed(X.objects_raw(spark, d), X.CHUNK))
+    return out.select("bucket", "key", F.sha2("body", 256).alias("digest"), "size", "sha_ok", "size_ok")
+
+
+@query("b8_valid_ids", "SELECT addr, count(*) FILTER (regexp_full_match(chunk_id, '[0-9a-f]{64}'))::BIGINT AS valid, count(*) FILTER (regexp_full_match(upper(chunk_id), '[0-9a-f]{64}'))::BIGINT AS upper_valid FROM inventory GROUP BY addr")
+def b8(spark, d):
+    return X.inventory(spark, d).groupBy("addr").agg(F.count_if(H.is_chunk_id(F.col("chunk_id"))).alias("valid"), F.count_if(H.is_chunk_id(F.upper("chunk_id"))).alias("upper_valid"))
+
+
+@query("b9_distinct_chunks", "SELECT chunk_id, size FROM distinct_chunks")
+def b9(spark, d):
+    return X.distinct_chunks(spark, d)
+
+
+@query("b10_dedup_stats", "SELECT sum(n)::BIGINT AS total_refs, count(*)::BIGINT AS unique_chunks, (count(*) FILTER (n > 1))::BIGINT AS shared_chunks, sum(n * size)::BIGINT AS total_bytes, sum(size)::BIGINT AS unique_bytes FROM (SELECT chunk_id, count(*) AS n, max(size) AS size FROM chunks GROUP BY 1)")
+def b10(spark, d):
+    return chunking.dedup_stats(X.chunks(spark, d))
+
+
+@query("b11_etags", "SELECT bucket, key, '\"' || sha256(body) || '\"' AS etag FROM objects_raw")
+def b11(spark, d):
+    return X.objects_raw(spark, d).select("bucket", "key", H.etag(F.col("body")).alias("etag"))
+
+
+# --- placement
+
+
+@query("c1_scores", "SELECT chunk_id, addr, score FROM scored")
+def c1(spark, d):
+    return X.distinct_chunks(spark, d).crossJoin(F.broadcast(X.nodes(spark))).select("chunk_id", "addr", H.score(F.col("chunk_id"), F.col("addr")).alias("score"))
+
+
+@query("c2_pick", "SELECT chunk_id, addr, pos::INT AS replica_pos FROM old_refs")
+def c2(spark, d):
+    return X.refs(spark, d).select("chunk_id", "addr", "replica_pos")
+
+
+DOMAIN = """, dom AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, domain ORDER BY score DESC, addr) AS d FROM scored),
+by_domain AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY d > 1, score DESC, addr) AS r FROM dom)
+"""
+
+
+@query("c3_pick_by_domain", DOMAIN + "SELECT chunk_id, string_agg(addr, ',' ORDER BY r) AS addrs FROM by_domain WHERE r <= 4 GROUP BY 1")
+def c3(spark, d):
+    return X.distinct_chunks(spark, d).select("chunk_id", F.array_join(placement.pick_by_domain(F.col("chunk_id"), 4, X.NODES), ",").alias("addrs"))
+
+
+@query("c4_place_chunk", DOMAIN + "SELECT chunk_id, string_agg(addr, ',' ORDER BY r) AS addrs FROM by_domain WHERE r <= 3 GROUP BY 1")
+def c4(spark, d):
+    return X.distinct_chunks(spark, d).select("chunk_id", F.array_join(placement.pick_by_domain(F.col("chunk_id"), min(3, len(X.NODES)), X.NODES), ",").alias("addrs"))
+
+
+@query("c5_place_stripe", DOMAIN + "SELECT chunk_id, string_agg(addr, ',' ORDER BY r) AS addrs FROM by_domain WHERE r <= 6 GROUP BY 1")
+def c5(spark, d):
+    return X.distinct_chunks(spark, d).select("chunk_id", F.array_join(placement.pick_by_domain(F.col("chunk_id"), K + M, X.NODES), ",").alias("addrs"))
+
+
+@query("c6_place_in_class", "SELECT chunk_id, string_agg(addr, ',' ORDER BY score DESC, addr) AS addrs FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, addr) AS r FROM scored WHERE class = 'hot') WHERE r <= 2 GROUP BY 1")
+def c6(spark, d):
+    return X.distinct_chunks(spark, d).select("chunk_id", F.array_join(placement.pick(F.col("chunk_id"), 2, [x for x in X.NODES if x[1] == "hot"]), ",").alias("addrs"))
+
+
+@query("c7_class_preferred", DOMAIN + """, hot AS (SELECT chunk_id, string_agg(addr, ',' ORDER BY score DESC, addr) AS hot3 FROM scored WHERE class = 'hot' GROUP BY 1)
+SELECT chunk_id, hot3, string_agg(addr, ',' ORDER BY r) AS hot4 FROM by_domain JOIN hot USING (chunk_id) WHERE r <= 4 GROUP BY 1, 2""")
+def c7(spark, d):
+    """Three copies fit the hot class; four don't, so all nodes are used by domain."""
+    c = F.col("chunk_id")
+    return X.distinct_chunks(spark, d).select("chunk_id", F.array_join(placement.pick_class(c, 3, X.NODES, "hot"), ",").alias("hot3"), F.array_join(placement.pick_class(c, 4, X.NODES, "hot"), ",").alias("hot4"))
+
+
+@query("c8_simulation", """, k AS (SELECT 'chunk-' || i::VARCHAR AS k FROM range(10000) t(i)), s AS (SELECT k, addr, substr(sha256(k || '|' || addr), 1, 16) AS score FROM k, nodes),
+o AS (SELECT k, addr FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, addr) AS r FROM s WHERE addr <> 'dn6') WHERE r <= 3), w AS (SELECT k, addr FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, addr) AS r FROM s) WHERE r <= 3),
+mv AS (SELECT count(*) AS moved FROM (SELECT k, string_agg(addr, ',' ORDER BY addr) AS a FROM o GROUP BY 1) x JOIN (SELECT k, string_agg(addr, ',' ORDER BY addr) AS b FROM w GROUP BY 1) y USING (k) WHERE a <> b)
+SELECT n.addr, (SELECT count(*) FROM o WHERE o.addr = n.addr)::BIGINT AS copies_before, (SELECT count(*) FROM w WHERE w.addr = n.addr)::BIGINT AS copies_after, (SELECT moved FROM mv)::BIGINT AS moved FROM nodes n""")
+def c8(spark, d):
+    return placement.simulate(10_000, X.OLD, X.NODES, 3, spark)
+
+
+@query("c9_nodes_by_class", "SELECT class, count(*)::BIGINT AS n, string_agg(addr, ',' ORDER BY addr) AS addrs, count(DISTINCT domain)::BIGINT AS domains FROM nodes GROUP BY class")
+def c9(spark, d):
+    return X.nodes(spark).groupBy("class").agg(F.count("*").alias("n"), joined(F.collect_list("addr")).alias("addrs"), F.count_distinct("domain").alias("domains"))
+
+
+# --- erasure coding
+
+@query("d1_products", """SELECT a::INT AS a, b::INT AS b, bit_xor(CASE WHEN (b >> s) & 1 = 1 THEN x ELSE 0 END)::INT AS p FROM (
+  SELECT a, b, s, list_reduce(list_prepend(a, range(s)), lambda v, i: CASE WHEN v & 128 = 128 THEN xor((v << 1), 285) & 255 ELSE v << 1 END) AS x FROM range(256) ta(a), range(256) tb(b), range(8) ts(s)) GROUP BY 1, 2""")
+def d1(spark, d):
+    return erasure.gf_rows(spark)
+
+
+@query("d3_encoding_matrix", "SELECT * FROM (VALUES (4, 0, '27,28,18,20'), (4, 1, '28,27,20,18'), (6, 0, '7,6,5,4,3,2'), (6, 1, '6,7,4,5,2,3'), (6, 2, '160,223,223,183,254,232')) t(k, p, coefs)")
+def d3(spark, d):
+    rows = [(k, p, ",".join(map(str, row))) for k, m in ((4, 2), (6, 3)) for p, row in enumerate(erasure.encoding_matrix(k, m)[k:])]
+    return spark.createDataFrame(rows, "k int, p int, coefs string")
+
+
+STRIPES = """, stripe_at AS (SELECT bucket, key, body, unnest(range(((octet_length(body) + 1023) // 1024)::BIGINT)) AS stripe_index FROM objects_raw),
+raw AS (SELECT bucket, key, stripe_index, body[stripe_index * 1024 + 1 : (stripe_index + 1) * 1024] AS raw FROM stripe_at),
+stripes AS (SELECT bucket, key, stripe_index, octet_length(raw)::INT AS data_len, unhex(rpad(hex(raw), 2048, '0')) AS data, sha256(unhex(rpad(hex(raw), 2048, '0'))) AS stripe_id FROM raw)
+"""
+
+
+def _stripes(spark, d):
+    return erasure.stripes(X.objects_raw(spark, d), K, SHARD)
+
+
+@query("d5_parity", STRIPES + """, few AS (SELECT DISTINCT stripe_id, data FROM stripes WHERE stripe_id LIKE '0%'), coef(p, c, coef) AS (VALUES (0,0,27),(0,1,28),(0,2,18),(0,3,20),(1,0,28),(1,1,27),(1,2,20),(1,3,18)),
+mul AS (SELECT a, b, bit_xor(CASE WHEN (b >> s) & 1 = 1 THEN x ELSE 0 END)::INT AS p FROM (SELECT a, b, s, list_reduce(list_prepend(a, range(s)), lambda v, i: CASE WHEN v & 128 = 128 THEN xor((v << 1), 285) & 255 ELSE v << 1 END) AS x FROM (SELECT DISTINCT coef::BIGINT AS a FROM coef), range(256) tb(b), range(8) ts(s)) GROUP BY 1, 2),
+by AS (SELECT stripe_id, i // 256 AS c, i % 256 AS pos, ('0x' || hex(data[i + 1 : i + 1]))::INT AS b FROM few, range(1024) t(i)),
+par AS (SELECT stripe_id, coef.p AS p, pos, bit_xor(mul.p) AS v FROM by JOIN coef USING (c) JOIN mul ON mul.a = coef.coef AND mul.b = by.b GROUP BY 1, 2, 3)
+SELECT stripe_id, (4 + p)::INT AS shard_index, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY pos))) AS shard_id FROM par GROUP BY 1, 2""")
+def d5(spark, d):
+    """Parity shards' ids; the SQL has the stripes whose id begins with 0, by definition of this query."""
+    return erasure.shards(_stripes(spark, d).filter(F.col("stripe_id").startswith("0")), K, M).filter(F.col("shard_index") >= K).select("stripe_id", "shard_index", "shard_id")
+
+
+@query("d6_reconstruct", STRIPES + ", one AS (SELECT DISTINCT stripe_id FROM stripes) SELECT stripe_id, stripe_id AS rebuilt_id, (substr(stripe_id, 1, 1) < '8') AS degraded FROM one")
+def d6(spark, d):
+    """Half of the stripes lose data shards 0 and 2; what is rebuilt has the stripe's digest."""
+    s = erasure.shards(_stripes(spark, d), K, M)
+    held = s.filter(~(F.col("shard_index").isin(0, 2) & (F.substring("stripe_id", 1, 1) < "8")))
+    return erasure.rebuilt(held, K, M).select("stripe_id", F.sha2("data", 256).alias("rebuilt_id"), "degraded")
+
+
+@query("d7_stripes", STRIPES + "SELECT bucket, key, stripe_index::INT AS stripe_index, stripe_id, data_len FROM stripes")
+def d7(spark, d):
+    return _stripes(spark, d).select("bucket", "key", "stripe_index", "stripe_id", "data_len")
+
+
+CODES = "(VALUES ('4+2'), (' 6+3 '), ('0+2'), ('4+'), ('x+2'), ('4+2+1'), ('')) t(code)"
+
+
+@query("d9_parse_code", f"SELECT code, CASE WHEN ok THEN k END AS k, CASE WHEN ok THEN m END AS m FROM (SELECT *, coalesce(n = 2 AND k > 0 AND m > 0, false) AS ok FROM (SELECT code, len(string_split(trim(code), '+')) AS n, try_cast(trim(string_split(trim(code), '+')[1]) AS INT) AS k, try_cast(trim(string_split(trim(code), '+')[2]) AS INT) AS m FROM {CODES}))")
+def d9(spark, d):
+    rows = spark.createDataFrame([("4+2",), (" 6+3 ",), ("0+2",), ("4+",), ("x+2",), ("4+2+1",), ("",)], "code string")
+    k, m = erasure.parse_code(F.col("code"))
+    return rows.select("code", k.alias("k"), m.alias("m"))
+
+
+SHARD_AT = STRIPES + """, ids AS (SELECT DISTINCT stripe_id FROM stripes), sc AS (SELECT stripe_id, addr, domain, substr(sha256(stripe_id || '|' || addr), 1, 16) AS score FROM ids, nodes),
+sd AS (SELECT *, row_number() OVER (PARTITION BY stripe_id, domain ORDER BY score DESC, addr) AS d FROM sc),
+want AS (SELECT stripe_id, addr, (row_number() OVER (PARTITION BY stripe_id ORDER BY d > 1, score DESC, addr) - 1)::INT AS shard_index FROM sd)
+"""
+
+
+def _shard_rows(spark, d):
+    """stripe_id, shard_index, addr of every distinct stripe."""
+    ids = _stripes(spark, d).select("stripe_id").distinct()
+    return ids.select("stripe_id", F.posexplode(placement.pick_by_domain(F.col("stripe_id"), K + M, X.NODES)).alias("shard_index", "addr"))
+
+
+@query("d10_read_status", SHARD_AT + "SELECT stripe_id, (count(*) FILTER (addr NOT IN ('dn1', 'dn4', 'dn5')) >= 4) AS readable, bool_or(shard_index < 4 AND addr IN ('dn1', 'dn4', 'dn5')) AS degraded FROM want GROUP BY 1")
+def d10(spark, d):
+    down = F.col("addr").isin("dn1", "dn4", "dn5")
+    return _shard_rows(spark, d).groupBy("stripe_id").agg((F.count_if(~down) >= K).alias("readable"), F.bool_or((F.col("shard_index") < K) & down).alias("degraded"))
+
+
+@query("d11_degraded_reads", SHARD_AT + "SELECT count(*)::BIGINT AS reads, (count(*) FILTER (g))::BIGINT AS degraded FROM (SELECT stripe_id, bool_or(shard_index < 4 AND addr = 'dn2') AS g FROM want GROUP BY 1)")
+def d11(spark, d):
+    by = _shard_rows(spark, d).groupBy("stripe_id").agg(F.bool_or((F.col("shard_index") < K) & (F.col("addr") == "dn2")).alias("g"))
+    return by.agg(F.count("*").alias("reads"), F.count_if("g").alias("degraded"))
+
+
+# --- rebalance
+
+
+def _moves(spark, d):
+    c = F.col("chunk_id")
+    rows = X.distinct_chunks(spark, d).select("chunk_id", "size", placement.pick(c, 3, X.OLD).alias("actual"), placement.pick(c, 3, X.NODES).alias("desired"))
+    return rebalance.plan_chunks(rows)
+
+
+MOVES = """, m AS (SELECT n.chunk_id, string_agg(n.addr, ',' ORDER BY n.addr) AS missing FROM new_refs n LEFT JOIN old_refs o ON o.chunk_id = n.chunk_id AND o.addr = n.addr WHERE o.addr IS NULL GROUP BY 1),
+s AS (SELECT o.chunk_id, string_agg(o.addr, ',' ORDER BY o.addr) AS surplus FROM old_refs o LEFT JOIN new_refs n ON n.chunk_id = o.chunk_id AND n.addr = o.addr WHERE n.addr IS NULL GROUP BY 1),
+plan AS (SELECT c.chunk_id, c.size, missing, surplus FROM distinct_chunks c JOIN m USING (chunk_id) LEFT JOIN s USING (chunk_id)),
+outc AS (SELECT n.chunk_id, n.addr, substr(n.chunk_id, 2, 1) <> '3' AS ok FROM new_refs n LEFT JOIN old_refs o ON o.chunk_id = n.chunk_id AND o.addr = n.addr WHERE o.addr IS NULL),
+done AS (SELECT chunk_id, bool_and(ok) AS all_ok, count(*) FILTER (ok) AS n_copied FROM outc GROUP BY 1),
+after AS (SELECT DISTINCT chunk_id, addr FROM (SELECT o.chunk_id, o.addr FROM old_refs o JOIN done USING (chunk_id) LEFT JOIN new_refs n ON n.chunk_id = o.chunk_id AND n.addr = o.addr WHERE NOT all_ok OR n.addr IS NOT NULL UNION ALL SELECT chunk_id, addr FROM outc WHERE ok))
+"""
+
+
+@query("e2_rebalance_plan", MOVES + "SELECT chunk_id, size, missing, coalesce(surplus, '') AS surplus FROM plan")
+def e2(spark, d):
+    return _moves(spark, d).select("chunk_id", "size", F.array_join("missing", ",").alias("missing"), F.array_join("surplus", ",").alias("surplus"))
+
+
+SHARD_MOVES = SHARD_AT + """, act AS (SELECT stripe_id, shard_index, CASE WHEN shard_index IN (1, 3) AND substr(stripe_id, 1, 1) < '8' THEN 'dn' || (shard_index + 6)::VARCHAR ELSE addr END AS addr FROM want),
+disp AS (SELECT a.*, row_number() OVER (PARTITION BY a.stripe_id ORDER BY a.shard_index) AS r FROM act a LEFT JOIN want w ON w.stripe_id = a.stripe_id AND w.addr = a.addr WHERE w.addr IS NULL),
+free AS (SELECT w.stripe_id, w.addr, row_number() OVER (PARTITION BY w.stripe_id ORDER BY w.addr) AS r FROM want w LEFT JOIN act a ON w.stripe_id = a.stripe_id AND w.addr = a.addr WHERE a.addr IS NULL)
+"""
+
+
+def _displaced(spark, d):
+    want = _shard_rows(spark, d)
+    away = F.col("shard_index").isin(1, 3) & (F.substring("stripe_id", 1, 1) < "8")
+    actual = want.select("stripe_id", "shard_index", F.sha2(F.concat("stripe_id", F.col("shard_index").cast("string")), 256).alias("shard_id"), F.when(away, F.concat(F.lit("dn"), (F.col("shard_index") + 6).cast("string"))).otherwise(F.col("addr")).alias("addr"))
+    return actual, want.select("stripe_id", "addr")
+
+
+@query("e3_shard_moves", SHARD_MOVES + "SELECT d.stripe_id, d.shard_index, d.addr AS old_addr, f.addr AS new_addr FROM disp d JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r")
+def e3(spark, d):
+    return rebalance.plan_shards(*_displaced(spark, d)).drop("shard_id")
+
+
+def _outcomes(plan):
+    return plan.select("chunk_id", F.explode("missing").alias("addr"), (F.substring("chunk_id", 2, 1) != "3").alias("ok"))
+
+
+@query("e4_apply_moves", MOVES + "SELECT chunk_id, string_agg(addr, ',' ORDER BY addr) AS replicas, all_ok FROM after JOIN done USING (chunk_id) GROUP BY chunk_id, all_ok")
+def e4(spark, d):
+    plan = _moves(spark, d)
+    return rebalance.apply_chunks(plan, _outcomes(plan)).select("chunk_id", F.array_join("replicas", ",").alias("replicas"), "all_ok")
+
+
+@query("e5_apply_shards", SHARD_MOVES + "SELECT a.stripe_id, a.shard_index, CASE WHEN f.addr IS NOT NULL AND substr(a.stripe_id, 2, 1) <> '3' THEN f.addr ELSE a.addr END AS addr FROM act a LEFT JOIN disp d ON d.stripe_id = a.stripe_id AND d.shard_index = a.shard_index LEFT JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r")
+def e5(spark, d):
+    actual, want = _displaced(spark, d)
+    plan = rebalance.plan_shards(actual, want).select("stripe_id", "shard_index", "new_addr")
+    ok = F.col("new_addr").isNotNull() & (F.substring("stripe_id", 2, 1) != "3")
+    return actual.join(plan, ["stripe_id", "shard_index"], "left").select("stripe_id", "shard_index", F.when(ok, F.col("new_addr")).otherwise(F.col("addr")).alias("addr"))
+
+
+@query("e6_move_stats", MOVES + "SELECT (count(*) FILTER (all_ok))::BIGINT AS migrated, (count(*) FILTER (NOT all_ok))::BIGINT AS failed, sum(size * n_copied)::BIGINT AS bytes FROM plan JOIN done USING (chunk_id)")
+def e6(spark, d):
+    plan = _moves(spark, d)
+    return rebalance.stats(rebalance.apply_chunks(plan, _outcomes(plan)))
+
+
+# --- garbage collection
+
+
+@query("f1_claimed", "SELECT DISTINCT chunk_id, addr FROM old_refs")
+def f1(spark, d):
+    return gc.claimed(X.refs(spark, d))
+
+
+SWEEPS = ", sweeps AS (SELECT i.addr, i.chunk_id, i.size, (1706745600 - i.mtime)::BIGINT AS age FROM inventory i LEFT JOIN old_refs r ON r.chunk_id = i.chunk_id AND r.addr = i.addr WHERE r.addr IS NULL AND i.mtime <= 1706745600 - 3600)\n"
+
+
+def _sweeps(spark, d):
+    return gc.plan(X.inventory(spark, d), X.refs(spark, d), X.AS_OF, 3600)
+
+
+@query("f2_gc_plan", SWEEPS + "SELECT * FROM sweeps ORDER BY addr, chunk_id")
+def f2(spark, d):
+    return _sweeps(spark, d)
+
+
+@query("f4_listing_failures", "SELECT n.addr FROM nodes n LEFT JOIN inventory i ON i.addr = n.addr WHERE i.addr IS NULL")
+def f4(spark, d):
+    return gc.listing_failures(X.nodes(spark), X.inventory(spark, d))
+
+
+@query("f5_gc_apply", SWEEPS + "SELECT i.addr, i.chunk_id FROM inventory i LEFT JOIN sweeps s ON s.addr = i.addr AND s.chunk_id = i.chunk_id WHERE s.addr IS NULL")
+def f5(spark, d):
+    return gc.apply(X.inventory(spark, d), _sweeps(spark, d)).select("addr", "chunk_id")
+
+
+@query("f5_gc_stats", SWEEPS + "SELECT (SELECT count(*) FROM inventory)::BIGINT AS scanned, (SELECT count(*) FROM old_refs)::BIGINT AS claimed_keys, count(*)::BIGINT AS swept, coalesce(sum(size), 0)::BIGINT AS freed FROM sweeps")
+def f5s(spark, d):
+    return gc.stats(X.inventory(spark, d), X.refs(spark, d), _sweeps(spark, d))
+
+
+# --- repair
+
+LIVE = "('dn1', 'dn2', 'dn3', 'dn4')"
+REPAIR = SHARD_AT + f""", act AS (SELECT stripe_id, shard_index, CASE WHEN shard_index IN (1, 4) AND substr(stripe_id, 1, 1) < '8' THEN 'dn' || (shard_index + 6)::VARCHAR WHEN shard_index = 5 THEN 'dn99' WHEN shard_index = 2 AND substr(stripe_id, 1, 1) = '0' THEN 'dn98' ELSE addr END AS addr FROM want),
+st AS (SELECT stripe_id, count(*) FILTER (addr IN (SELECT addr FROM nodes)) AS survivors, count(*) FILTER (addr NOT IN (SELECT addr FROM nodes)) AS dead FROM act GROUP BY 1),
+states AS (SELECT *, CASE WHEN dead = 0 THEN 'healthy' WHEN survivors < 4 THEN 'unrepairable' ELSE 'repairable' END AS state FROM st),
+deads AS (SELECT *, row_number() OVER (PARTITION BY stripe_id ORDER BY shard_index) AS r FROM act WHERE addr NOT IN (SELECT addr FROM nodes)),
+free AS (SELECT w.stripe_id, w.addr, row_number() OVER (PARTITION BY w.stripe_id ORDER BY w.addr) AS r FROM want w LEFT JOIN act a ON w.stripe_id = a.stripe_id AND w.addr = a.addr WHERE a.addr IS NULL)
+"""
+
+
+def _broken(spark, d):
+    want = _shard_rows(spark, d)
+    first = F.substring("stripe_id", 1, 1)
+    addr = F.when(F.col("shard_index").isin(1, 4) & (first < "8"), F.concat(F.lit("dn"), (F.col("shard_index") + 6).cast("string"))).when(F.col("shard_index") == 5, "dn99").when((F.col("shard_index") == 2) & (first == "0"), "dn98").otherwise(F.col("addr"))
+    return want.select("stripe_id", "shard_index", addr.alias("addr")), want.select("stripe_id", "addr")
+
+
+@query("g1_stripe_states", REPAIR + "SELECT stripe_id, survivors::BIGINT AS survivors, dead::BIGINT AS dead, state FROM states")
+def g1(spark, d):
+    return repair.status(_broken(spark, d)[0], X.nodes(spark), K)
+
+
+@query("g3_repair_plan", REPAIR + "SELECT d.stripe_id, d.shard_index, d.addr AS old_addr, CASE WHEN state = 'repairable' THEN f.addr END AS new_addr, state FROM deads d JOIN states s ON s.stripe_id = d.stripe_id LEFT JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r WHERE state = 'unrepairable' OR f.addr IS NOT NULL")
+def g3(spark, d):
+    shards, want = _broken(spark, d)
+    return repair.plan(shards, X.nodes(spark), want, K)
+
+
+@query("g5_repair_stats", REPAIR + "SELECT count(*)::BIGINT AS scanned, (count(*) FILTER (state = 'repairable'))::BIGINT AS repairable, (count(*) FILTER (state = 'unrepairable'))::BIGINT AS unrepairable FROM states")
+def g5(spark, d):
+    return repair.stats(repair.status(_broken(spark, d)[0], X.nodes(spark), K))
+
+
+# --- Merkle inventories and audits
+
+TREE = """, bd AS (SELECT addr, ('0x' || substr(chunk_id, 1, 2))::INT AS idx, sha256(string_agg(chunk_id, chr(10) ORDER BY chunk_id) || chr(10)) AS hash, count(*) AS n FROM inventory GROUP BY 1, 2),
+ed AS (SELECT addr, ('0x' || substr(chunk_id, 1, 2))::INT AS idx, sha256(string_agg(chunk_id, chr(10) ORDER BY chunk_id) || chr(10)) AS hash FROM old_refs GROUP BY 1, 2),
+diff AS (SELECT coalesce(e.addr, a.addr) AS addr, coalesce(e.chunk_id, a.chunk_id) AS chunk_id, CASE WHEN a.addr IS NULL THEN 'missing' ELSE 'extra' END AS kind FROM old_refs e FULL JOIN inventory a ON a.addr = e.addr AND a.chunk_id = e.chunk_id WHERE a.addr IS NULL OR e.addr IS NULL)
+"""
+
+
+@query("h1_bucket_digests", TREE + "SELECT addr, idx, hash, n::BIGINT AS n FROM bd")
+def h1(spark, d):
+    return audit.bucket_digests(X.inventory(spark, d)).withColumn("n", F.col("n").cast("long"))
+
+
+@query("h1_roots", TREE + f"SELECT a.addr, sha256(unhex(string_agg(coalesce(hash, '{audit.EMPTY}'), '' ORDER BY i))) AS root, sum(coalesce(n, 0))::BIGINT AS total FROM (SELECT DISTINCT addr FROM inventory) a CROSS JOIN range(256) t(i) LEFT JOIN bd ON bd.addr = a.addr AND bd.idx = i GROUP BY 1")
+def h1r(spark, d):
+    return audit.roots(audit.bucket_digests(X.inventory(spark, d))).withColumn("total", F.col("total").cast("long"))
+
+
+@query("h2_bucket_listing", "SELECT addr, chunk_id FROM inventory WHERE substr(chunk_id, 1, 2) = '3f'")
+def h2(spark, d):
+    return X.inventory(spark, d).filter("substring(chunk_id, 1, 2) = '3f'").select("addr", "chunk_id")
+
+
+@query("h3_expected", "SELECT DISTINCT addr, chunk_id FROM old_refs WHERE substr(chunk_id, 1, 2) = '3f'")
+def h3(spark, d):
+    return X.refs(spark, d).filter("substring(chunk_id, 1, 2) = '3f'").select("addr", "chunk_id").distinct()
+
+
+@query("h4_audit", TREE + "SELECT * FROM diff")
+def h4(spark, d):
+    return audit.audit(X.refs(spark, d), X.inventory(spark, d))
+
+
+@query("h4_buckets_examined", TREE + "SELECT coalesce(e.addr, b.addr) AS addr, count(*)::BIGINT AS buckets FROM ed e FULL JOIN bd b ON b.addr = e.addr AND b.idx = e.idx WHERE e.hash IS DISTINCT FROM b.hash GROUP BY 1")
+def h4b(spark, d):
+    e, a = audit.bucket_digests(X.refs(spark, d)), audit.bucket_digests(X.inventory(spark, d))
+    both = e.join(a.select("addr", "idx", F.col("hash").alias("there")), ["addr", "idx"], "full_outer")
+    return both.filter(~F.col("hash").eqNullSafe(F.col("there"))).groupBy("addr").agg(F.count("*").alias("buckets"))
+
+
+@query("h5_audit_report", TREE + """SELECT n.addr, n.addr <> 'dn4' AS reachable, CASE WHEN n.addr = 'dn4' THEN 0 ELSE (SELECT count(*) FROM old_refs o WHERE o.addr = n.addr) END::BIGINT AS expected, CASE WHEN n.addr = 'dn4' THEN 0 ELSE (SELECT count(*) FROM inventory i WHERE i.addr = n.addr) END::BIGINT AS actual,
+CASE WHEN n.addr = 'dn4' THEN 0 ELSE (SELECT count(*) FROM diff x WHERE x.addr = n.addr AND kind = 'missing') END::BIGINT AS missing, CASE WHEN n.addr = 'dn4' THEN 0 ELSE (SELECT count(*) FROM diff x WHERE x.addr = n.addr AND kind = 'extra') END::BIGINT AS extra FROM nodes n""")
+def h5(spark, d):
+    return audit.report(X.refs(spark, d), X.inventory(spark, d), X.nodes(spark), ["dn4"])
+
+
+@query("h7_owners", "SELECT chunk_id, string_agg(addr, ',' ORDER BY addr) AS owners FROM old_refs GROUP BY 1")
+def h7(spark, d):
+    return X.refs(spark, d).groupBy("chunk_id").agg(joined(F.collect_set("addr")).alias("owners"))
+
+
+JOBS = TREE + """, jobs AS (SELECT addr, chunk_id, 'missing' AS reason FROM diff WHERE kind = 'missing' UNION ALL SELECT c.addr, c.chunk_id, 'corrupt' FROM corrupt c JOIN old_refs r ON r.addr = c.addr AND r.chunk_id = c.chunk_id),
+bad AS (SELECT addr, chunk_id FROM jobs UNION SELECT addr, chunk_id FROM corrupt),
+able AS (SELECT r.chunk_id, r.addr AS owner FROM old_refs r LEFT JOIN bad b ON b.addr = r.addr AND b.chunk_id = r.chunk_id WHERE b.addr IS NULL AND r.addr <> 'dn5'),
+sourced AS (SELECT j.addr, j.chunk_id, j.reason, min(a.owner) AS source FROM jobs j LEFT JOIN able a ON a.chunk_id = j.chunk_id AND a.owner <> j.addr GROUP BY 1, 2, 3),
+classed AS (SELECT *, substr(chunk_id, 1, 1) = '0' AS ec FROM sourced)
+"""
+
+
+def _jobs(spark, d):
+    refs, inv, bad = X.refs(spark, d), X.inventory(spark, d), X.corrupt(spark, d)
+    missing = audit.audit(refs, inv).filter("kind = 'missing'").select("addr", "chunk_id")
+    targets = missing.withColumn("reason", F.lit("missing")).unionByName(bad.join(refs.select("addr", "chunk_id"), ["addr", "chunk_id"]).withColumn("reason", F.lit("corrupt")))
+    return audit.sources(targets, refs, missing, bad, X.nodes(spark).filter("addr <> 'dn5'")).withColumn("ec", F.substring("chunk_id", 1, 1) == "0")
+
+
+@query("h8_sources", JOBS + "SELECT addr, chunk_id, reason, source FROM sourced")
+def h8(spark, d):
+    return _jobs(spark, d).select("addr", "chunk_id", "reason", "source")
+
+
+@query("h9_repair_modes", JOBS + "SELECT mode, reason, count(*)::BIGINT AS n FROM (SELECT *, CASE WHEN ec THEN 'ec-deferred' WHEN source IS NULL THEN 'no-source' ELSE 'replication' END AS mode FROM classed) GROUP BY 1, 2")
+def h9(spark, d):
+    return audit.classify(_jobs(spark, d)).groupBy("mode", "reason").agg(F.count("*").alias("n"))
+
+
+@query("h11_budget", JOBS + ", b AS (SELECT *, source IS NOT NULL AND substr(chunk_id, 2, 1) <> '7' AS ok FROM classed WHERE NOT ec), r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY reason ORDER BY addr, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT addr, chunk_id, reason, CASE WHEN before >= 20 THEN 'throttled' WHEN ok THEN 'repaired' ELSE 'failed' END AS state FROM r")
+def h11(spark, d):
+    jobs = _jobs(spark, d).filter("NOT ec").withColumn("ok", F.col("source").isNotNull() & (F.substring("chunk_id", 2, 1) != "7"))
+    return audit.budgeted(jobs, 20, ["addr", "chunk_id"], "reason").select("addr", "chunk_id", "reason", "state")
+
+
+@query("h13_first_seen", "SELECT key, min(seq)::BIGINT AS seq FROM wal WHERE op = 'delete_object' GROUP BY key")
+def h13(spark, d):
+    return X.wal(spark, d).filter("op = 'delete_object'").groupBy("key").agg(F.min("seq").alias("seq"))
+
+
+@query("h15_audit_rollup", TREE + "SELECT count(DISTINCT addr)::BIGINT AS divergent, (count(*) FILTER (kind = 'missing'))::BIGINT AS missing FROM diff")
+def h15(spark, d):
+    return audit.audit(X.refs(spark, d), X.inventory(spark, d)).agg(F.count_distinct("addr").alias("divergent"), F.count_if(F.col("kind") == "missing").alias("missing"))
+
+
+# --- scrubbing
+
+
+@query("i1_scrub", "SELECT bucket, key, chunk_index::INT AS chunk_index, chunk_id FROM chunks WHERE substr(chunk_id, 1, 2) = '00'")
+def i1(spark, d):
+    """Bodies spoilt where the id begins with 00 are found by their digests."""
+    from .streaming.jobs import scrub_stream
+
+    c = chunking.split_fixed(X.objects_raw(spark, d), X.CHUNK)
+    rotten = c.withColumn("data", F.when(F.col("chunk_id").startswith("00"), F.concat("data", F.lit(b"!"))).otherwise(F.col("data")))
+    return scrub_stream(rotten.withColumn("addr", F.struct("bucket", "key", "chunk_index"))).select("addr.*", "chunk_id")
+
+
+@query("i3_scrub_status", "SELECT i.addr, count(*)::BIGINT AS total, count(c.addr)::BIGINT AS corrupt, coalesce(string_agg(c.chunk_id, ',' ORDER BY c.chunk_id), '') AS ids FROM inventory i LEFT JOIN corrupt c ON c.addr = i.addr AND c.chunk_id = i.chunk_id GROUP BY 1")
+def i3(spark, d):
+    bad = X.corrupt(spark, d).withColumn("bad", F.col("chunk_id"))
+    return X.inventory(spark, d).join(bad, ["addr", "chunk_id"], "left").groupBy("addr").agg(F.count("*").alias("total"), F.count("bad").alias("corrupt"), joined(F.collect_list("bad")).alias("ids"))
+
+
+# --- quorums
+
+ACKS = ", acks AS (SELECT chunk_id, addr, substr(sha256(chunk_id || addr || 'ack'), 1, 1) > '4' AS ok FROM old_refs)\n"
+
+
+def _acks(spark, d):
+    return X.refs(spark, d).select("chunk_id", "addr", (F.substring(F.sha2(F.concat("chunk_id", "addr", F.lit("ack")), 256), 1, 1) > "4").alias("ok"))
+
+
+@query("j1_write_quorum", ACKS + "SELECT chunk_id, count(*)::BIGINT AS n, (count(*) FILTER (ok))::BIGINT AS acks, coalesce(string_agg(addr, ',' ORDER BY addr) FILTER (ok), '') AS acked, count(*) FILTER (ok) >= count(*) // 2 + 1 AS ok FROM acks GROUP BY 1")
+def j1(spark, d):
+    return catalog.write_quorum(_acks(spark, d))
+
+
+@query("j2_tunable_quorum", ACKS + "SELECT w, count(*) FILTER (a >= w)::BIGINT AS met FROM (SELECT chunk_id, count(*) FILTER (ok) AS a FROM acks GROUP BY 1), (VALUES (1), (2), (3)) t(w) GROUP BY 1")
+def j2(spark, d):
+    by = _acks(spark, d).groupBy("chunk_id").agg(F.count_if("ok").alias("a"))
+    return by.agg(*[F.count_if(F.col("a") >= w).alias(str(w)) for w in (1, 2, 3)]).select(F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(str(w)).alias("met")) for w in (1, 2, 3)])).alias("x")).select("x.*")
+
+
+HEADERS = [("", 3), ("2", 3), ("4", 3), ("0", 3), ("-1", 3), ("x", 3), ("3", 3)]
+HEADER_SQL = "(VALUES ('', 3), ('2', 3), ('4', 3), ('0', 3), ('-1', 3), ('x', 3), ('3', 3)) t(h, most)"
+
+
+@query("j3_quorum_header", f"SELECT h, CASE WHEN h = '' THEN 0 WHEN try_cast(h AS BIGINT) BETWEEN 1 AND most THEN try_cast(h AS BIGINT) END AS w, CASE WHEN h = '' THEN 0 WHEN try_cast(h AS BIGINT) BETWEEN 0 AND most THEN try_cast(h AS BIGINT) END AS n FROM {HEADER_SQL}")
+def j3(spark, d):
+    rows = spark.createDataFrame(HEADERS, "h string, most int")
+    return rows.select("h", catalog.quorum_header(F.col("h"), F.col("most")).alias("w"), catalog.non_negative(F.col("h"), 3).alias("n"))
+
+
+@query("j4_least_replicas", "SELECT c.bucket, c.key, min(n)::INT AS r FROM chunks c JOIN (SELECT chunk_id, count(*) AS n FROM inventory GROUP BY 1) i USING (chunk_id) GROUP BY 1, 2")
+def j4(spark, d):
+    held = X.inventory(spark, d).groupBy("chunk_id").agg(F.count("*").cast("int").alias("n"))
+    return X.chunks(spark, d).join(held, "chunk_id").groupBy("bucket", "key").agg(F.min("n").alias("r"))
+
+
+@query("j5_read_agreement", "SELECT r.chunk_id, bool_and(c.addr IS NULL) AND count(*) = 2 AS agree FROM old_refs r LEFT JOIN corrupt c ON c.addr = r.addr AND c.chunk_id = r.chunk_id WHERE pos < 2 GROUP BY 1")
+def j5(spark, d):
+    bad = X.corrupt(spark, d).withColumn("bad", F.lit(True))
+    reads = X.refs(spark, d).join(bad, ["addr", "chunk_id"], "left").select("chunk_id", F.col("replica_pos").alias("pos"), F.col("bad").isNull().alias("verified"), F.when(F.col("bad"), F.col("addr")).otherwise(F.col("chunk_id")).alias("digest"))
+    return catalog.read_agreement(reads, 2)
+
+
+@query("j6_replication_quorum", "SELECT seq, acks, acks + 1 >= 6 // 2 + 1 AS committed FROM (SELECT w.seq, count(*) FILTER (substr(sha256(w.seq::VARCHAR || n.addr), 1, 1) > '7')::BIGINT AS acks FROM wal w, nodes n WHERE n.addr <> 'dn1' GROUP BY 1)")
+def j6(spark, d):
+    peers = [a for a, _, _ in X.NODES[1:]]
+    ack = sum((F.when(F.substring(F.sha2(F.concat(F.col("seq").cast("string"), F.lit(a)), 256), 1, 1) > "7", 1).otherwise(0) for a in peers), F.lit(0))
+    return X.wal(spark, d).select("seq", ack.cast("long").alias("acks")).withColumn("committed", F.col("acks") + 1 >= 6 // 2 + 1)
+
+
+# --- catalogue
+
+
+@query("k1_list_prefix", "SELECT bucket, key FROM objects_raw WHERE bucket = 'src0' AND starts_with(key, 'en/000') ORDER BY bucket || '/' || key LIMIT 25")
+def k1(spark, d):
+    return catalog.list_prefix(X.objects_raw(spark, d), "src0", "en/000", 25).select("bucket", "key")
+
+
+@query("k2_brief_listing", "SELECT key, sum(size)::BIGINT AS size, count(*)::BIGINT AS chunks FROM chunks GROUP BY bucket, key")
+def k2(spark, d):
+    return X.chunks(spark, d).groupBy("bucket", "key").agg(F.sum("size").alias("size"), F.count("*").alias("chunks")).select("key", "size", "chunks")
+
+
+@query("k3_list_page", """, keys AS (SELECT key, substr(key, 4) AS rest FROM objects_raw WHERE bucket = 'src0' AND starts_with(key, 'en/') AND key > 'en/00000050'), e AS (SELECT CASE WHEN instr(rest, '5') > 0 THEN 'en/' || substr(rest, 1, instr(rest, '5')) ELSE key END AS emit, instr(rest, '5') > 0 AS is_prefix, key FROM keys)
+SELECT emit, is_prefix FROM (SELECT emit, is_prefix, min(key) AS f FROM e WHERE NOT is_prefix OR emit > 'en/00000050' GROUP BY 1, 2) ORDER BY f LIMIT 20""")
+def k3(spark, d):
+    return catalog.list_page(X.objects_raw(spark, d), "src0", "en/", "5", "en/00000050", 20)
+
+
+KEYS_SQL = "(VALUES (NULL), ('10'), ('0'), ('-5'), ('junk'), ('5000')) t(raw)"
+
+
+@query("k4_max_keys", f"SELECT raw, CASE WHEN try_cast(raw AS INT) IS NULL OR try_cast(raw AS INT) < 0 THEN 1000 ELSE least(try_cast(raw AS INT), 1000) END AS n FROM {KEYS_SQL}")
+def k4(spark, d):
+    rows = spark.createDataFrame([(None,), ("10",), ("0",), ("-5",), ("junk",), ("5000",)], "raw string")
+    return rows.select("raw", catalog.max_keys(F.col("raw")).alias("n"))
+
+
+@query("k5_list_parts", "SELECT upload_id, part_number, etag, size FROM parts WHERE upload_id = 5 AND part_number > 1 ORDER BY part_number LIMIT 3")
+def k5(spark, d):
+    return X.parts(spark, d).filter("upload_id = 5 AND part_number > 1").orderBy("part_number").limit(3)
+
+
+@query("k6_complete_uploads", """SELECT upload_id, count(*)::BIGINT AS n_parts, sum(size)::BIGINT AS size, '"' || sha256(string_agg(etag, '' ORDER BY part_number)) || '-' || count(*)::VARCHAR || '"' AS etag, true AS ok FROM parts GROUP BY 1""")
+def k6(spark, d):
+    return catalog.complete_uploads(X.parts(spark, d))
+
+
+@query("k7_replace_part", """SELECT upload_id, 1::BIGINT AS part_number, arg_max(etag, part_number) AS etag FROM parts GROUP BY 1""")
+def k7(spark, d):
+    """Parts put again under one number: the last one stays."""
+    return X.parts(spark, d).groupBy("upload_id").agg(F.max_by("etag", "part_number").alias("etag")).select("upload_id", F.lit(1).cast("long").alias("part_number"), "etag")
+
+
+@query("k8_expired_uploads", "SELECT event_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10 00:00:00'")
+def k8(spark, d):
+    return X.table(spark, d, "events").filter("event_type = 'signup' AND ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id")
+
+
+@query("k9_deletable_buckets", "SELECT b.bucket, b.bucket NOT IN (SELECT bucket FROM objects_raw) AS deletable FROM (SELECT DISTINCT bucket FROM objects_raw UNION ALL SELECT 'empty') b")
+def k9(spark, d):
+    used = X.objects_raw(spark, d).select("bucket").distinct().withColumn("u", F.lit(True))
+    all_ = used.select("bucket").unionByName(spark.createDataFrame([("empty",)], "bucket string"))
+    return all_.join(used, "bucket", "left").select("bucket", F.col("u").isNull().alias("deletable"))
+
+
+NAMES = ["abc", "ab", "a.b-c", "-abc", "abc-", "a..b", "192.168.1.1", "Abc", "999.1.1.1", "x" * 63, "x" * 64]
+
+
+@query("k11_bucket_names", "SELECT name, regexp_full_match(name, '[a-z0-9.-]{3,63}') AND NOT regexp_matches(name, '^[.-]|[.-]$') AND NOT contains(name, '..') AND NOT regexp_full_match(name, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') AS valid FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") t(name)")
+def k11(spark, d):
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", catalog.valid_bucket(F.col("name")).alias("valid"))
+
+
+@query("k12_versions", "SELECT w.bucket, w.key, count(*)::BIGINT AS version FROM wal w LEFT JOIN (SELECT key, max(seq) AS g FROM wal WHERE op = 'delete_object' GROUP BY 1) x ON x.key = w.key WHERE op = 'put_object' AND (g IS NULL OR seq > g) GROUP BY 1, 2")
+def k12(spark, d):
+    return catalog.versions(X.wal(spark, d))
+
+
+@query("k13_store_stats", STRIPES + "SELECT (SELECT count(*) FROM objects_raw)::BIGINT AS objects, (SELECT count(*) FROM chunks)::BIGINT AS chunks, (SELECT count(*) FROM stripes)::BIGINT AS stripes, (SELECT count(*) FROM stripes)::BIGINT * 6 AS shards, (SELECT count(*) FROM nodes)::BIGINT AS dns")
+def k13(spark, d):
+    """Counts from sizes alone, in one scan."""
+    n = F.sum(F.ceil(F.octet_length("body") / X.CHUNK)).cast("long")
+    return X.objects_raw(spark, d).agg(F.count("*").alias("objects"), n.alias("chunks"), n.alias("stripes"), (n * (K + M)).alias("shards"), F.lit(len(X.NODES)).cast("long").alias("dns"))
+
+
+@query("k14_safe_delete", "SELECT DISTINCT chunk_id FROM chunks WHERE bucket = 'src3' AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE bucket <> 'src3')")
+def k14(spark, d):
+    """Chunks that go with a bucket's objects: those that no other object claims."""
+    c = X.chunks(spark, d).groupBy("chunk_id").agg(F.bool_and(F.col("bucket") == "src3").alias("only"))
+    return c.filter("only").select("chunk_id")
+
+
+@query("k15_headers", "SELECT bucket, key, 'application/octet-stream' AS content_type, octet_length(body)::BIGINT AS content_length, '\"' || sha256(body) || '\"' AS etag FROM objects_raw")
+def k15(spark, d):
+    return X.objects_raw(spark, d).select("bucket", "key", F.coalesce(F.lit(None).cast("string"), F.lit("application/octet-stream")).alias("content_type"), F.octet_length("body").cast("long").alias("content_length"), H.etag(F.col("body")).alias("etag"))
+
+
+REQUESTS = [("GET", "", "", "", "ListBuckets"), ("PUT", "b", "", "", "CreateBucket"), ("DELETE", "b", "", "", "DeleteBucket"), ("GET", "b", "", "list-type=2&prefix=x", "ListObjectsV2"), ("POST", "b", "k", "uploads", "CreateMultipartUpload"), ("PUT", "b", "k", "partNumber=1&uploadId=u", "UploadPart"), ("GET", "b", "k", "uploadId=u", "ListParts"), ("POST", "b", "k", "uploadId=u", "CompleteMultipartUpload"), ("DELETE", "b", "k", "uploadId=u", "AbortMultipartUpload"), ("PUT", "b", "k", "", "PutObject"), ("GET", "b", "k", "", "GetObject"), ("HEAD", "b", "k", "", "HeadObject"), ("DELETE", "b", "k", "", "DeleteObject"), ("PATCH", "b", "k", "", "Unsupported")]
+
+
+@query("k16_requests", "SELECT * FROM (VALUES " + ", ".join(str(r) for r in REQUESTS) + ") t(method, bucket, key, query, op)")
+def k16(spark, d):
+    rows = spark.createDataFrame([r[:4] for r in REQUESTS], "method string, bucket string, key string, query string")
+    return rows.withColumn("op", catalog.classify_request(*(F.col(c) for c in rows.columns)))
+
+
+@query("k17_url_paths", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?]+)', 1) AS bucket, regexp_extract(url, '^[a-z]+://[^/?]+/([^?]*)', 1) AS key FROM pages")
+def k17(spark, d):
+    return X.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?]+)", 1).alias("bucket"), F.regexp_extract("url", "^[a-z]+://[^/?]+/([^?]*)", 1).alias("key"))
+
+
+@query("k18_put_assembly", "SELECT bucket, key, sum(size)::BIGINT AS size, string_agg(chunk_id, ',' ORDER BY chunk_index) AS refs FROM chunks GROUP BY 1, 2")
+def k18(spark, d):
+    by = X.chunks(spark, d).groupBy("bucket", "key").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("c"))
+    return by.select("bucket", "key", "size", F.array_join(F.transform("c", lambda x: x["chunk_id"]), ",").alias("refs"))
+
+
+@query("k20_inspect", "SELECT '{\"bucket\":\"' || bucket || '\",\"key\":\"' || key || '\",\"size\":' || octet_length(body)::VARCHAR || '}' AS line FROM objects_raw WHERE bucket = 'src3'")
+def k20(spark, d):
+    return X.objects_raw(spark, d).filter("bucket = 'src3'").select(F.to_json(F.struct("bucket", "key", F.octet_length("body").alias("size"))).alias("line"))
+
+
+# --- log
+
+
+@query("l2_group_commit", "SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, count(*)::BIGINT AS batch FROM events GROUP BY 1")
+def l2(spark, d):
+    by = X.wal(spark, d).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("batch"))
+    return by.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "batch")
+
+
+@query("l3_since", "SELECT seq, op, key FROM wal WHERE seq > 9900 ORDER BY seq")
+def l3(spark, d):
+    return logs.since(X.wal(spark, d), 9900).select("seq", "op", "key")
+
+
+@query("l4_until_corrupt", "SELECT seq FROM wal WHERE seq < (SELECT min(seq) FROM wal WHERE seq % 777 = 0)")
+def l4(spark, d):
+    return logs.until_corrupt(X.wal(spark, d).select(F.col("seq").alias("at"), (F.col("seq") % 777 != 0).alias("ok"))).select(F.col("at").alias("seq"))
+
+
+@query("l5_last_seq", "SELECT max(seq)::BIGINT AS seq FROM wal")
+def l5(spark, d):
+    return X.wal(spark, d).agg(F.max("seq").alias("seq"))
+
+
+@query("l7_operations", "SELECT op, count(*)::BIGINT AS n FROM wal GROUP BY op")
+def l7(spark, d):
+    known = F.when(F.col("op").isin(*logs.OPERATIONS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op "), "op")))
+    return X.wal(spark, d).select(known.cast("string").alias("op")).groupBy("op").agg(F.count("*").alias("n"))
+
+
+FOLD = ", last AS (SELECT bucket, key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM wal GROUP BY 1, 2)\n"
+
+
+@query("l8_fold", FOLD + "SELECT bucket, key, seq::BIGINT AS seq, value FROM last WHERE op <> 'delete_object'")
+def l8(spark, d):
+    return logs.fold(X.wal(spark, d))
+
+
+@query("l9_follower", FOLD + "SELECT bucket, key, seq::BIGINT AS seq, value FROM last WHERE op <> 'delete_object'")
+def l9(spark, d):
+    w = X.wal(spark, d)
+    return logs.merge(logs.fold(w.filter("seq <= 5000")), w, 5000)
+
+
+@query("l10_recent", "SELECT seq, op, key FROM wal ORDER BY seq DESC LIMIT 10")
+def l10(spark, d):
+    return X.wal(spark, d).orderBy(F.desc("seq")).limit(10).select("seq", "op", "key")
+
+
+@query("l11_key_sync", "SELECT * FROM (VALUES ('k1', 'keep'), ('k2', 'remove'), ('k3', 'add'), ('k4', 'keep')) t(kid, action)")
+def l11(spark, d):
+    """What to do with each key: the primary and the last one are never removed."""
+    own = spark.createDataFrame([("k1", True), ("k2", False), ("k4", False)], "kid string, is_primary boolean")
+    there = spark.createDataFrame([("k1",), ("k3",), ("k4",)], "kid string").withColumn("t", F.lit(True))
+    act = F.when(F.col("is_primary").isNull(), "add").when(F.col("t").isNull() & ~F.col("is_primary"), "remove").otherwise("keep")
+    return own.join(there, "kid", "full_outer").select("kid", act.alias("action"))
+
+
+# --- liveness
+
+LIVENESS = ", p AS (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY seq) AS n FROM probes), live AS (SELECT addr, count(*)::BIGINT AS total_probes, (max(n) - coalesce(max(n) FILTER (ok), 0))::BIGINT AS consec_fails, arg_max(latency_ms, seq) AS latency_ms, max(seq) FILTER (ok) AS last_ok FROM p GROUP BY 1)\n"
+
+
+@query("m1_liveness", LIVENESS + "SELECT *, consec_fails < 3 AS healthy FROM live")
+def m1(spark, d):
+    return logs.liveness(X.probes(spark, d))
+
+
+@query("m2_registry_shrink", LIVENESS + "SELECT addr, total_probes FROM live WHERE addr IN ('dn1', 'dn2', 'dn3')")
+def m2(spark, d):
+    return logs.liveness(X.probes(spark, d)).join(F.broadcast(X.nodes(spark).filter("class = 'hot'").select("addr")), "addr", "left_semi").select("addr", "total_probes")
+
+
+@query("m3_healthy", LIVENESS + "SELECT string_agg(addr, ',' ORDER BY addr) AS healthy FROM live WHERE consec_fails < 3")
+def m3(spark, d):
+    return logs.liveness(X.probes(spark, d)).filter("healthy").agg(joined(F.collect_list("addr")).alias("healthy"))
+
+
+@query("m4_recent_runs", "SELECT addr, seq FROM (SELECT addr, seq, row_number() OVER (PARTITION BY addr ORDER BY seq DESC) AS r FROM probes) WHERE r <= 32")
+def m4(spark, d):
+    w = Window.partitionBy("addr").orderBy(F.desc("seq"))
+    return X.probes(spark, d).select("addr", "seq", F.row_number().over(w).alias("r")).filter("r <= 32").select("addr", "seq")
+
+
+# --- metrics
+
+
+@query("n1_counters", "SELECT op, key, count(*)::BIGINT AS n FROM wal GROUP BY 1, 2")
+def n1(spark, d):
+    return X.wal(spark, d).groupBy("op", "key").agg(F.count("*").alias("n"))
+
+
+@query("n2_gauges", "SELECT (SELECT count(*) FROM inventory)::BIGINT AS chunks, (SELECT count(*) FROM objects_raw)::BIGINT AS objects")
+def n2(spark, d):
+    return X.inventory(spark, d).agg(F.count("*").alias("chunks")).crossJoin(X.objects_raw(spark, d).agg(F.count("*").alias("objects")))
+
+
+@query("n3_histogram", "SELECT le, (SELECT count(*) FROM events WHERE b IS NULL OR greatest(value / 1000, 0) <= b)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{b:g}', {b}::DOUBLE)" for b in logs.LADDER) + ", ('+Inf', NULL)) t(le, b)")
+def n3(spark, d):
+    return logs.histogram(X.table(spark, d, "events").select((F.col("value") / 1000).alias("secs")))
+
+
+@query("n3_duration_sum", "SELECT sum(floor(greatest(value / 1000, 0) * 1e6))::BIGINT AS micros FROM events")
+def n3s(spark, d):
+    return logs.duration_sum(X.table(spark, d, "events").select((F.col("value") / 1000).alias("secs")))
+
+
+@query("n5_rendering", """SELECT 'wal_total{op="' || op || '"} ' || count(*)::VARCHAR AS line FROM wal GROUP BY op ORDER BY op""")
+def n5(spark, d):
+    return logs.rendered(X.wal(spark, d).groupBy("op").agg(F.count("*").alias("n")), "wal_total", "op")
+
+
+@query("n6_gateway_metrics", "SELECT (count(*) FILTER (op = 'put_object'))::BIGINT AS puts, (count(*) FILTER (op = 'delete_object'))::BIGINT AS deletes, count(DISTINCT key)::BIGINT AS keys FROM wal")
+def n6(spark, d):
+    return X.wal(spark, d).agg(F.count_if(F.col("op") == "put_object").alias("puts"), F.count_if(F.col("op") == "delete_object").alias("deletes"), F.count_distinct("key").alias("keys"))
+
+
+@query("n7_repair_metrics", JOBS + "SELECT reason, count(*)::BIGINT AS n, (count(*) FILTER (source IS NULL))::BIGINT AS unrecoverable FROM sourced GROUP BY 1")
+def n7(spark, d):
+    return _jobs(spark, d).groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("source").isNull()).alias("unrecoverable"))
+
+
+# --- signing
+
+SECRET = b"k" * 32
+_PAD = "unhex('" + bytes(b ^ 0x36 for b in SECRET.ljust(64, b"\0")).hex() + "')", "unhex('" + bytes(b ^ 0x5C for b in SECRET.ljust(64, b"\0")).hex() + "')"
+SIGN = f", signed AS (SELECT page_id, url, page_id * 1000 AS exp, sha256({_PAD[1]} || unhex(sha256({_PAD[0]} || encode('GET:' || url || ':' || (page_id * 1000)::VARCHAR)))) AS sig FROM pages)\n"
+
+
+def _signed(spark, d):
+    p = X.table(spark, d, "pages").select("page_id", "url", (F.col("page_id") * 1000).alias("exp"))
+    return p.withColumn("sig", signing.presign(SECRET, F.lit("GET"), F.col("url"), F.col("exp")))
+
+
+@query("o1_presign", SIGN + "SELECT page_id, url, exp, sig FROM signed")
+def o1(spark, d):
+    return _signed(spark, d)
+
+
+@query("o2_verify", SIGN + "SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'missing sig' WHEN page_id % 7 = 2 THEN 'missing exp' WHEN page_id % 7 = 3 THEN 'bad exp' WHEN exp < 50000 THEN 'expired' WHEN page_id % 7 = 4 THEN 'unknown key' WHEN page_id % 7 = 5 THEN 'bad sig' ELSE 'ok' END AS verdict FROM signed")
+def o2(spark, d):
+    r = F.col("page_id") % 7
+    rows = _signed(spark, d)
+    sig = F.when(r == 1, "").when(r == 5, F.reverse("sig")).otherwise(F.col("sig"))
+    exp = F.when(r == 2, "").when(r == 3, "soon").otherwise(F.col("exp").cast("string"))
+    kid = F.when(r == 4, "k9").when(r == 6, "").otherwise("k1")
+    return rows.select("page_id", "url", sig.alias("sig"), exp.alias("exp"), kid.alias("kid")).select("page_id", signing.verify({"k0": b"other", "k1": SECRET}, 50_000, F.lit("GET"), F.col("url"), F.col("kid"), F.col("sig"), F.col("exp")).alias("verdict"))
+
+
+@query("o3_key_ring", "SELECT * FROM (VALUES ('k1', true, false), ('k2', false, true), ('k3', false, true)) t(kid, is_primary, removable)")
+def o3(spark, d):
+    """The last added key is made primary on request; the primary and an only key can't be removed."""
+    ring = spark.createDataFrame([("k1", True), ("k2", False), ("k3", False)], "kid string, is_primary boolean")
+    n = ring.agg(F.count("*").alias("n"))
+    return ring.crossJoin(F.broadcast(n)).select("kid", "is_primary", (~F.col("is_primary") & (F.col("n") > 1)).alias("removable"))
+
+
+@query("o4_request_signatures")
+def o4(spark, d):
+    rows = X.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/b/"), F.col("page_id").cast("string")).alias("path"), F.lit("host").alias("host"), F.lit("20240101T000000Z").alias("stamp"), F.sha2(F.encode("html", "UTF-8"), 256).alias("body_hash"))
+    return signing.sign_requests(rows, "secret", "us-east-1")
+
+
+ERRORS = [("NoSuchKey", 404), ("NoSuchBucket", 404), ("NoSuchUpload", 404), ("InvalidPart", 400), ("InvalidPartOrder", 400), ("BucketAlreadyExists", 409), ("BucketNotEmpty", 409), ("InvalidBucketName", 400), ("SignatureDoesNotMatch", 403), ("NotImplemented", 501)]
+
+
+@query("o5_error_codes", "SELECT * FROM (VALUES " + ", ".join(map(str, ERRORS)) + ") t(code, status)")
+def o5(spark, d):
+    return spark.createDataFrame(ERRORS, "code string, status int")
+
+
+# --- supporting
+
+
+@query("p1_vote_tally", "SELECT term, (count(*) FILTER (granted))::BIGINT AS votes, count(*) FILTER (granted) >= 6 // 2 + 1 AS elected FROM (SELECT seq // 6 AS term, ok AS granted FROM probes) GROUP BY 1")
+def p1(spark, d):
+    votes = X.probes(spark, d).select(F.expr("seq div 6").alias("term"), F.col("ok").alias("granted"))
+    return votes.groupBy("term").agg(F.count_if("granted").alias("votes"), (F.count_if("granted") >= 6 // 2 + 1).alias("elected"))
+
+
+@query("s11_run_status", "SELECT addr, count(*)::BIGINT AS runs, (count(*) FILTER (NOT ok))::BIGINT AS errors, max(seq)::BIGINT AS last FROM probes GROUP BY 1")
+def s11(spark, d):
+    return X.probes(spark, d).groupBy("addr").agg(F.count("*").alias("runs"), F.count_if(~F.col("ok")).alias("errors"), F.max("seq").alias("last"))
+
+
+@query("s17_gc_summary", SWEEPS + "SELECT addr, count(*)::BIGINT AS sweeps, sum(size)::BIGINT AS bytes FROM sweeps GROUP BY addr")
+def s17(spark, d):
+    return _sweeps(spark, d).groupBy("addr").agg(F.count("*").alias("sweeps"), F.sum("size").alias("bytes"))
+
+
+@query("s18_csv", "SELECT * FROM (VALUES ('a, b,,c', 'a|b|c'), ('', ''), (' x ', 'x'), ('a,a', 'a|a')) t(raw, items)")
+def s18(spark, d):
+    rows = spark.createDataFrame([("a, b,,c",), ("",), (" x ",), ("a,a",)], "raw string")
+    return rows.select("raw", F.array_join(catalog.csv(F.col("raw")), "|").alias("items"))
+
+
+def queries() -> dict[str, Callable[..., DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
