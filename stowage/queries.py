@@ -241,8 +241,8 @@ def _stripes(spark, d):
 
 @query("d5_parity", STRIPES + """, few AS (SELECT DISTINCT stripe_id, data FROM stripes WHERE stripe_id LIKE '0%'), coef(p, c, coef) AS (VALUES (0,0,27),(0,1,28),(0,2,18),(0,3,20),(1,0,28),(1,1,27),(1,2,20),(1,3,18)),
 mul AS (SELECT a, b, bit_xor(CASE WHEN (b >> s) & 1 = 1 THEN x ELSE 0 END)::INT AS p FROM (SELECT a, b, s, list_reduce(list_prepend(a, range(s)), lambda v, i: CASE WHEN v & 128 = 128 THEN xor((v << 1), 285) & 255 ELSE v << 1 END) AS x FROM (SELECT DISTINCT coef::BIGINT AS a FROM coef), range(256) tb(b), range(8) ts(s)) GROUP BY 1, 2),
-by AS (SELECT stripe_id, i // 256 AS c, i % 256 AS pos, ('0x' || hex(data[i + 1 : i + 1]))::INT AS b FROM few, range(1024) t(i)),
-par AS (SELECT stripe_id, coef.p AS p, pos, bit_xor(mul.p) AS v FROM by JOIN coef USING (c) JOIN mul ON mul.a = coef.coef AND mul.b = by.b GROUP BY 1, 2, 3)
+bts AS (SELECT stripe_id, i // 256 AS c, i % 256 AS pos, ('0x' || hex(data[i + 1 : i + 1]))::INT AS b FROM few, range(1024) t(i)),
+par AS (SELECT stripe_id, coef.p AS p, pos, bit_xor(mul.p) AS v FROM bts JOIN coef USING (c) JOIN mul ON mul.a = coef.coef AND mul.b = bts.b GROUP BY 1, 2, 3)
 SELECT stripe_id, (4 + p)::INT AS shard_index, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY pos))) AS shard_id FROM par GROUP BY 1, 2""")
 def d5(spark, d):
     """Parity shards' ids; the SQL has the stripes whose id begins with 0, by definition of this query."""
