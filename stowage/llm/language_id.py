@@ -105,7 +105,7 @@ def fit(docs: DataFrame, where: Column | None = None, rows: int = FIT_ROWS, orde
         own[0] += r.n
         own[1] += np.frombuffer(r.counts, np.int64)
     names = sorted(total)
-    return Model(names, np.array([total[x][1] for x in names]).reshape(len(names), -1), np.array([total[x][0] for x in names], float))
+    return Model(names, np.array([total[x][1] for x in names]).reshape(len(names), 1 << bits), np.array([total[x][0] for x in names], float))
 
 
 def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
