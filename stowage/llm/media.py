@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import documents, new_folder, pieces, written
 
 #: Samples of a row; the filling sample; bytes of a shard after which the next begins; zlib level.
-WIDTH, FILL, SHARD, LEVEL = 576, 255, 64 << 20, 2
+WIDTH, FILL, SHARD, LEVEL = 576, 255, 64 << 20, 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk: what a header read fetches.
 HEADER = 33
