@@ -65,7 +65,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def shingle_sets(column: pa.Array, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, most: int = 1 << 19) -> Iterator[np.ndarray]:
     """Each text's set of shingle hashes, ascending; texts are hashed most bytes at a time."""
     data, off = text_bytes(column)
     at = 0
@@ -131,7 +131,7 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
             for s in shingle_sets(batch.column(0)):
                 held.append(s)
                 n += len(s)
-                if n >= 4_000_000:
+                if n >= 2_000_000:
                     yield told()
                     held, n = [], 0
         if n:
