@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small
+from .shared import pieces, small, small_batches
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|([^<]+)|(<)""",
@@ -201,4 +201,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

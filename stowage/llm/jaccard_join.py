@@ -37,7 +37,7 @@ KEYS, FEW, BLOCK = 8, 8, 32
 #: Local count in a chunk of documents from which a token is held common, and how many common tokens are held at most (they only order tokens).
 COMMON, COMMON_MOST = 16, 500_000
 #: Tokens that a bucket of the matrix has on average.
-BUCKET = 1_500_000
+BUCKET = 500_000
 TAU = np.uint64(int(PREFIX * 2**64))
 
 _U = np.uint64

@@ -17,6 +17,7 @@ BROADCAST_ROWS = 2_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; only where that is unset (tests, one machine) a new one is set."""
+    small_batches(spark)
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
@@ -68,5 +69,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: Rows of an Arrow batch at most, in the sessions that run these operators: rows here are whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of few rows, so that a worker and its JVM hold a few MB of text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
