@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, pieces
+from .shared import documents, frugal, pieces
 
 #: Documents that the model is fitted on at most; n-gram orders; hash buckets as a power of two; additive smoothing.
 FIT_ROWS, ORDERS, BUCKET_BITS, ALPHA = 20_000, (1, 2, 3), 15, 0.5
@@ -88,6 +88,7 @@ def fit(docs: DataFrame, where: Column | None = None, rows: int = FIT_ROWS, orde
     some = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = able.select("doc_id", "lang", "text").join(F.broadcast(some), "doc_id").repartition(12, F.xxhash64("doc_id"))
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
@@ -114,6 +115,7 @@ def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = ORDERS, bit
     columns = docs.columns
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:

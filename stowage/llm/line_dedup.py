@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, pieces, written
+from .shared import documents, frugal, pieces, written
 
 #: The white space stripped from a line's ends.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -61,6 +61,7 @@ def _pair(parts: list[np.ndarray], bits: int, segment: int) -> pa.Table:
 def twice_filter(docs: DataFrame, min_chars: int = 1, bits: int = BITS, segment: int = SEGMENT_BITS) -> bytes:
     """The twice-seen filter, one bit a position. Each task makes its own pair; pairs merge segment by segment."""
 
+    @frugal
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -104,6 +105,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits
     spark = docs.sparkSession
     filter_ = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
 
+    @frugal
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(filter_.value, np.uint8)
         for batch in batches:
@@ -163,6 +165,7 @@ def _apply(docs: DataFrame, drop, min_chars: int, keep: str, extra: str | None =
         columns = [c for c in columns if c != extra]
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}
         known = drop.value if drop else None
@@ -187,6 +190,7 @@ def _apply(docs: DataFrame, drop, min_chars: int, keep: str, extra: str | None =
 def _apply_joined(docs: DataFrame, keys: DataFrame, min_chars: int, keep: str) -> DataFrame:
     """For more repeated keys than are broadcast: each document gets its own repeated keys by a join."""
 
+    @frugal
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pretokens, byte_chars
-from .shared import documents, pieces, small, written
+from .shared import documents, frugal, pieces, small, written
 
 WINDOW, END = 2048, 1
 
@@ -51,6 +51,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
     ids are little-endian, two bytes each where the vocabulary allows it (wide = false), else four.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part_id, before = _encoder(path, pattern), TaskContext.get().partitionId(), 0
         tail = struct.pack("<I", end)
@@ -83,6 +84,7 @@ def offsets(tokens: DataFrame) -> DataFrame:
 def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 512):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, pieces, text_bytes
+from .shared import documents, frugal, pieces, text_bytes
 
 #: Fixed patterns of the plain kinds, and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -160,6 +160,7 @@ def _joined(spans: list) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
@@ -189,6 +190,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
