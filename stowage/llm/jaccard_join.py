@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one class. Classes are partitioned into groups of similar ones: each links to the leader
-(least id) of the buckets of its least hashes, if the exact similarity confirms it; the linked ones form a group. Each group's
+Documents with equal shingle sets are one class. Classes are partitioned into groups of similar ones: each links to leaders
+(drawn by hashes of ids) of the buckets of its least hashes, if the exact similarity confirms it; the linked ones form a group. Each group's
 token union goes into the matrix as rows (token, group), and a query group's overlap with another is bounded by counting the
 rows that both have; only pairs of groups whose bound allows a similarity of SHARE are opened and compared document by document,
 in blocks. Links between groups and within them give the components.
@@ -13,8 +13,8 @@ first tokens. Tokens of more than FEW groups don't make pairs; a pair that needs
 so it is found from the few groups that have so many. No cap drops a pair: a wider token only takes the second way.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its own component; fewer words than
-WORDS make one shingle; rows of one doc_id are one document for linking and one row each in the result; ties of leaders go to
-the least id; an empty table gives no rows.
+WORDS make one shingle; rows of one doc_id are one document for linking and one row each in the result; ties of leaders go by
+a hash of the id, which changes no result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, pieces, small, text_bytes, written
+from .shared import documents, frugal, pieces, small, text_bytes, written
 
 #: Words of a shingle; least similarity in hundredths; share of the hash range whose tokens are a set's first ones.
 WORDS, SHARE, PREFIX = 5, 75, 0.3
-#: Hashes by which leaders are found; groups of a token up to which it makes pairs at once; members of a block.
+#: Leaders of a hash, hashes of which a leader must have the same, leaders that a set is compared with in
+#: a round, and rounds. They only make groups; links that they miss are found between groups.
+LEADERS, AGREE, TRIES, ROUNDS = 4, 4, 8, 4
+#: Least hashes of a set; groups of a token up to which it makes pairs at once; members of a block.
 KEYS, FEW, BLOCK = 8, 8, 32
 #: Local count in a chunk of documents from which a token is held common, and how many common tokens are held at most (they only order tokens).
 COMMON, COMMON_MOST = 16, 500_000
@@ -119,6 +122,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def common_tokens(docs: DataFrame) -> np.ndarray:
     """Tokens that stand in COMMON documents or more of some chunk of documents: all documents are counted, in their tasks."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -162,6 +166,7 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(common)
     odd = _seeds[280 : 280 + KEYS] | _U(1)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hint = held.value
         for batch in batches:
@@ -182,9 +187,11 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
 def verify(pairs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: the links between documents of pairs' blocks. pairs: x, y of blocks; blocks: block, doc_id. Blocks are bounded in members."""
     need = written(blocks.join(pairs.select(F.explode(F.array("x", "y")).alias("block")).distinct(), "block", "left_semi"), "blocks")
-    held = docs.select("doc_id", "text").join(small(need), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m"))
+    # a table, so that the joins can be split over tasks where a block is in very many pairs
+    held = written(docs.select("doc_id", "text").join(small(need), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m")), "texts")
     both = pairs.join(held.select(F.col("block").alias("x"), F.col("m").alias("mx")), "x").join(held.select(F.col("block").alias("y"), F.col("m").alias("my")), "y")
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, []  # rows come in runs of one y
         for batch in batches:
@@ -225,6 +232,7 @@ def matrix(units: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     held = units.sparkSession.sparkContext.broadcast(common)
     mult = _seeds[300] | _U(1)
 
+    @frugal
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hint = held.value
 
@@ -319,26 +327,48 @@ def candidates(overlaps: DataFrame, units: DataFrame) -> DataFrame:
     return few.unionByName(second.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct()
 
 
+def leader_pairs(reps: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
+    """x > y: sets to compare, each with at most TRIES leaders of its buckets that are of another label. reps: doc_id, n, keys."""
+    sets = reps.select("doc_id", "n", "keys", F.col("doc_id").alias("label"))
+    if labels is not None:
+        sets = reps.select("doc_id", "n", "keys").join(small(labels.withColumnRenamed("id", "doc_id")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    keyed = sets.select("doc_id", "label", F.explode("keys").alias("key"))
+    picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("leader"), F.col("label").alias("other"))).alias(f"p{r}") for r in range(salt, salt + LEADERS)]
+    leaders = keyed.groupBy("key").agg(*picks, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    leaders = leaders.select("key", F.array_distinct(F.array(*(F.struct(f"p{r}.leader", f"p{r}.other") for r in range(salt, salt + LEADERS)))).alias("leaders"))
+    tried = keyed.join(small(written(leaders, "keys")), "key").select("doc_id", "label", F.inline("leaders")).filter("label <> other").select("doc_id", "leader").distinct()
+    own = sets.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("keys").alias("own"))
+    both = written(tried.join(sets.drop("label"), "doc_id"), "tried").join(own, "leader")
+    agreed = both.withColumn("c", F.size(F.array_intersect("keys", "own"))).filter(f"c >= {AGREE} AND 100 * least(n, m) >= {SHARE} * greatest(n, m)")
+    # at most KEYS * LEADERS of them a set
+    order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.xxhash64("leader").alias("h"), "leader")))
+    top = agreed.groupBy("doc_id").agg(F.slice(order, 1, TRIES).alias("t")).select("doc_id", F.explode("t.leader").alias("leader"))
+    return top.select(F.greatest("doc_id", "leader").alias("x"), F.least("doc_id", "leader").alias("y")).distinct()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     common = common_tokens(docs)
     rows = signatures(docs, common)
     # one class for each set; its documents are represented by the least id
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = written(rows.select("doc_id", "n", "digest").join(classes, "digest", "left"), "members")
+    # (only classes of several rows are joined, and as a table: a class of very many copies can then be split over tasks)
+    classes = written(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "classes")
+    members = written(rows.select("doc_id", "n", "digest").join(small(classes), "digest", "left"), "members")
     copies = written(members.filter("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
     not_reps = small(copies.select("doc_id").distinct())
     reps = rows.filter("n > 0").join(not_reps, "doc_id", "left_anti")
 
-    # groups: each class and its best leader, confirmed
-    keyed = reps.select("doc_id", F.posexplode("keys").alias("i", "key"))
-    leaders = keyed.groupBy("i", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").drop("last")
-    votes = keyed.join(leaders, ["i", "key"]).filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
-    best = written(votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("l"))).alias("b")).select(F.col("doc_id").alias("x"), (-F.col("b.l")).alias("y")), "leaders")
-    alone = best.select("x", "y").select(F.explode(F.array("x", "y")).alias("block")).distinct().select("block", F.col("block").alias("doc_id"))
-    stars = written(verify(best, alone, docs), "stars")
-    labels = written(components(stars), "labels")
+    # groups: each class and the leaders it agrees with best, confirmed; in rounds, by other leaders each time, while they link on
+    stars, labels = None, None
+    for salt in range(0, ROUNDS * LEADERS, LEADERS):
+        tries = written(leader_pairs(reps, labels, salt), "leaders")
+        alone = tries.select(F.explode(F.array("x", "y")).alias("block")).distinct().select("block", F.col("block").alias("doc_id"))
+        new = written(verify(tries, alone, docs), "stars")
+        stars = new if stars is None else stars.unionByName(new)
+        labels = written(components(stars), "labels")
+        if new.count() * 10 < tries.count() or new.isEmpty():
+            break
 
     # the matrix, over groups
     n_labels = labels.count()
