@@ -143,11 +143,11 @@ def spans_of(text: str, long_run: bool = True) -> tuple[list, list]:
 
 
 def long_runs(column: pa.Array) -> np.ndarray:
-    """Which texts have RUN or more characters of the base64 class in a row."""
+    """Which texts may have RUN or more characters of the base64 class in a row: all that have, and few others."""
     data, off = text_bytes(column)
     stops = np.flatnonzero(~_CLASS[data])
-    edges = np.union1d(np.union1d(stops, off - 1), off[1:])  # documents' ends also end a run
-    long_ = edges[1:][np.diff(edges) > RUN]
+    edges = np.union1d(np.union1d(stops, off - 1), off[1:])  # documents' ends also end a run, a character early on either side
+    long_ = edges[1:][np.diff(edges) >= RUN - 1]
     out = np.zeros(len(off) - 1, bool)
     out[np.clip(np.searchsorted(off, long_ - 1, side="right") - 1, 0, max(0, len(out) - 1))] = bool(len(out))
     return out
