@@ -10,7 +10,6 @@ labelled document all are `und`. Letters are lower-cased; all else counts as one
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ from .shared import documents, frugal, pieces
 
 #: Documents that the model is fitted on at most; n-gram orders; hash buckets as a power of two; additive smoothing.
 FIT_ROWS, ORDERS, BUCKET_BITS, ALPHA = 20_000, (1, 2, 3), 15, 0.5
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @functools.cache
@@ -66,7 +64,7 @@ class Model:
     def predict(self, texts: list[str | None], orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for t in texts:
-            if not t or not LETTER.search(t) or not self.languages:
+            if not t or not self.languages or not any(map(str.isalpha, t)):
                 langs.append("und")
                 scores.append(0.0)
                 continue
