@@ -6,7 +6,8 @@ and the root is the digest of the sections'. The fingerprint is text: root, then
 mean equal texts; differing branches are followed down to the leaves, which locate the edits. Likeness is the share of leaves
 (with their multiplicity) that both trees have, of the larger tree's leaves.
 
-Defined cases: a null or empty text has a root and no leaf; two of them are alike (1), one of them and any text are not (0).
+Defined cases: a null or empty text has a root and no leaf; two of them are alike (1), one of them and any text are not (0);
+documents without a doc_id come last in the order; rows of one doc_id, or without one, follow each other by text.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def differences(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with a column fingerprint behind its own."""
+    """docs with a column fingerprint behind its own, in place of one of that name."""
+    docs = docs.drop("fingerprint")
     columns = docs.columns
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -109,23 +111,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     Buckets are ranges of doc_id. The first document of each is also sent, as a ghost, to the bucket before it, the very first
     one to the last bucket; so nothing needs all documents in one order in one task. One shuffle of the texts.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
     parts = min(500, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    span = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
+    span = docs.agg(F.min("key").alias("a"), F.count("*").alias("n")).first()
     if not span.n:
         return docs.select(F.lit(0).alias("bucket"), "doc_id", "text", F.lit(False).alias("ghost"))
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 0.002)} - {span.a})
+    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 0.002)} - {span.a})
     # bucket 0 has the largest ids; a cut is the smallest id of its bucket
-    bucket = F.lit(len(cuts)) - F.coalesce(F.expr(f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + if(doc_id >= c, 1, 0))"), F.lit(0)) if cuts else F.lit(0)
+    bucket = F.lit(len(cuts)) - F.coalesce(F.expr(f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + if(key >= c, 1, 0))"), F.lit(0)) if cuts else F.lit(0)
     rows = docs.withColumn("bucket", bucket.cast("int"))
-    heads = {r.bucket: r.h for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("h")).collect()}
+    heads = {r.bucket: r.h for r in rows.groupBy("bucket").agg(F.max("key").alias("h")).collect()}
     order = sorted(heads)
     before = {heads[b]: (order[i - 1] if i else order[-1], i == 0) for i, b in enumerate(order)}
     ghost = F.create_map(*[x for h, (b, _) in before.items() for x in (F.lit(h), F.lit(b))])
     # of documents that repeat the head's id the ghost is the first by text, as in the bucket's own order
-    own = rows.select("bucket", "doc_id", "text", F.lit(False).alias("ghost"))
-    ghosts = docs.filter(F.col("doc_id").isin(list(before))).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(ghost[F.col("doc_id")].alias("bucket"), "doc_id", "text", F.lit(True).alias("ghost"))
-    return own.unionByName(ghosts).repartition(len(order), "bucket").sortWithinPartitions("bucket", "ghost", F.desc("doc_id"), F.coalesce("text", F.lit("")))
+    own = rows.select("bucket", "doc_id", "text", F.lit(False).alias("ghost"), "key")
+    ghosts = docs.filter(F.col("key").isin(list(before))).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select(ghost[F.col("key")].alias("bucket"), "doc_id", "text", F.lit(True).alias("ghost"), "key")
+    return own.unionByName(ghosts).repartition(len(order), "bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), F.coalesce("text", F.lit(""))).select("bucket", "doc_id", "text", "ghost")
 
 
 def op7_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ first tokens. Tokens of more than FEW groups don't make pairs; a pair that needs
 so it is found from the few groups that have so many. No cap drops a pair: a wider token only takes the second way.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its own component; fewer words than
-WORDS make one shingle; rows of one doc_id are one document for linking and one row each in the result; ties of leaders go by
+WORDS make one shingle; rows of one doc_id are one document for linking and one row each in the result; rows without a doc_id link with nothing and have no
+component; ties of leaders go by
 a hash of the id, which changes no result; an empty table gives no rows.
 """
 
@@ -353,11 +354,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = signatures(docs, common)
     # one class for each set; its documents are represented by the least id
     # (only classes of several rows are joined, and as a table: a class of very many copies can then be split over tasks)
-    classes = written(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "classes")
+    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "classes")
     members = written(rows.select("doc_id", "n", "digest").join(small(classes), "digest", "left"), "members")
     copies = written(members.filter("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
     not_reps = small(copies.select("doc_id").distinct())
-    reps = rows.filter("n > 0").join(not_reps, "doc_id", "left_anti")
+    reps = rows.filter("n > 0 AND doc_id IS NOT NULL").join(not_reps, "doc_id", "left_anti")
 
     # groups: each class and the leaders it agrees with best, confirmed; in rounds, by other leaders each time, while they link on
     stars, labels = None, None

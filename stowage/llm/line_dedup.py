@@ -6,7 +6,8 @@ text, to an exact count of documents. A third pass drops the lines of the confir
 bits (a parameter), so their memory is bounded at every size; a fuller filter only makes more suspects, never other results.
 
 Defined cases: a null or empty text is one empty line; a key shorter than min_chars is never dropped; a line that repeats
-within one document counts once for it; an empty table gives an empty table; extra columns pass through apply().
+within one document counts once for it; rows of one doc_id, or without one, are separate documents here; an empty table gives an empty
+table; extra columns pass through line_dedup(), also such as are named like mark()'s.
 """
 
 from __future__ import annotations
@@ -206,10 +207,12 @@ def _apply_joined(docs: DataFrame, keys: DataFrame, min_chars: int, keep: str) -
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
     """docs with the repeated lines dropped from text; the same columns (n_chars, if there, follows the text)."""
-    out = mark(docs, min_docs, min_chars, keep)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    clash = {c: f"__{c}" for c in ("n_lines", "n_dropped") if c in names}
+    out = mark(docs.withColumnsRenamed(clash), min_docs, min_chars, keep).drop("n_lines", "n_dropped")
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

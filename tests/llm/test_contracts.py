@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -267,3 +268,58 @@ def test_pipeline(spark, folder):
         texts = now
     got = pipe.STAGES[-1][1](spark, frame, d).toPandas()
     assert set(got.doc_id) == set(texts)
+
+
+@pytest.mark.parametrize("batch", [["x", "a" * 24], ["", "f" * 24, None, "z " + "0" * 24], ["q", "0" * 24 + " z", "tail"], ["a" * 23, "b" * 23], [""], [None, "c" * 24 + "\n" + "d" * 23]])
+def test_runs_at_a_texts_ends(batch):
+    for text, long_ in zip(batch, secrets.long_runs(pa.array(batch, pa.string())), strict=True):
+        assert secrets.spans_of(text or "", bool(long_)) == secrets.spans_of(text or "")
+
+
+def test_no_letter_is_no_language():
+    counts = np.ones((1, 1 << language_id.BUCKET_BITS))
+    model = language_id.Model(["en"], counts, np.ones(1))
+    assert model.predict(["½ ² ٣ _ 12", "é", "", None])[0] == ["und", "en", "und", "und"]
+
+
+CLASH = ("n", "digest", "row", "bucket", "part", "lang_pred", "score", "fingerprint", "n_lines", "n_dropped", "component_id", "label", "key", "first", "h")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Rows without an id, of one id, null and empty texts, and columns named like the operators' own."""
+    d = tmp_path_factory.mktemp("odd")
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, text), (None, text), (100, text), (200, text + " more"), (300, None), (300, "")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    spark.createDataFrame([(i, t, "en" if i else None, None, None, *CLASH) for i, t in rows], shape).write.parquet(str(d / "documents.parquet"))
+    pages = [(None, None, "<p>x</p>", "c", "c"), (1, "http://a/b", None, "c", "c"), (1, "http://a/b", None, "c", "c")]
+    spark.createDataFrame(pages, "page_id long, url string, html string, host string, classes string").write.parquet(str(d / "pages.parquet"))
+    return str(d)
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_odd_rows(spark, odd, name):
+    got = run(spark, name, odd)
+    assert len(got) == (3 if name.startswith("op10") else 6)
+    if name.startswith("op1_"):
+        assert sorted(map(tuple, got.dropna()[["doc_id", "component_id"]].astype(int).values.tolist())) == [(100, 100), (200, 100), (300, 300), (300, 300)]
+        assert got[got.doc_id.isna()].component_id.isna().all() and (got[got.doc_id.isna()].n_shingles == 8).all()
+
+
+def test_odd_pipeline(spark, odd):
+    import corpus_pipeline as pipe
+
+    frame = spark.read.parquet(f"{odd}/documents.parquet")
+    columns = frame.columns
+    for _, stage in pipe.STAGES[:-1]:
+        frame = stage(spark, frame, odd)
+        assert frame.columns == columns and all(r.n_lines == "n_lines" and r.score == "score" for r in frame.collect())
+    assert len(pipe.STAGES[-1][1](spark, frame, odd).collect()) == 3
+
+
+def test_all_ids_null(spark):
+    from stowage.llm.fingerprint import with_next
+
+    docs = spark.createDataFrame([(None, "b"), (None, "a")], "doc_id long, text string")
+    assert [(r.text, r.ghost) for r in with_next(docs).collect()] == [("a", False), ("b", False), ("a", True)]
