@@ -14,6 +14,7 @@ from .functions import hashing as H
 from .operators import catalog, chunking, erasure, logs, placement, signing
 from .plans import audit, gc, rebalance, repair
 from .sources import fixtures as X
+from .sources import snapshots
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -900,6 +901,68 @@ def s18(spark, d):
     return rows.select("raw", F.array_join(catalog.csv(F.col("raw")), "|").alias("items"))
 
 
+
+# --- versioned tables
+
+
+def _objects(spark, d) -> DataFrame:
+    return X.objects_raw(spark, d).select("bucket", "key", F.octet_length("body").cast("long").alias("size"))
+
+
+@query("a9_snapshot", "SELECT 1::BIGINT AS version, 'nodes' AS name, 6::BIGINT AS n_rows UNION ALL SELECT 1, 'objects', count(*) FROM objects_raw")
+def a9(spark, d):
+    store = snapshots.new_store(spark)
+    snapshots.snapshot({"objects": _objects(spark, d), "nodes": X.nodes(spark)}, store)
+    return snapshots.manifest(spark, store).select("version", "name", "n_rows")
+
+
+@query("a12_reload", "SELECT bucket, key, octet_length(body)::BIGINT AS size FROM objects_raw WHERE octet_length(body) > 100")
+def a12(spark, d):
+    store, objects = snapshots.new_store(spark), _objects(spark, d)
+    snapshots.snapshot({"objects": objects}, store)
+    snapshots.snapshot({"objects": objects.filter("size > 100")}, store)
+    return snapshots.reload(spark, store, "objects", "reloaded_objects")
+
+
+@query("a13_restore", "SELECT bucket, key, octet_length(body)::BIGINT AS size FROM objects_raw")
+def a13(spark, d):
+    store, objects = snapshots.new_store(spark), _objects(spark, d)
+    first = snapshots.snapshot({"objects": objects}, store)
+    snapshots.snapshot({"objects": objects.filter("size > 100")}, store)
+    snapshots.restore(spark, store, first)
+    return snapshots.load(spark, store, "objects")
+
+
+@query("a18_seed_nodes", "SELECT 'dn' || i AS addr, CASE WHEN i <= 3 THEN 'hot' ELSE 'cold' END AS class, 'rack' || ((i - 1) % 3 + 1) AS domain FROM range(1, 7) AS t(i)")
+def a18(spark, d):
+    store = snapshots.new_store(spark)
+    snapshots.seed(X.nodes(spark).limit(2), store)
+    snapshots.seed(X.nodes(spark), store)
+    return snapshots.load(spark, store, "nodes")
+
+
+APPENDED = "SELECT row_number() OVER (ORDER BY event_type = 'error', event_id)::BIGINT AS seq, event_id FROM events"
+
+
+def _appended(spark, d) -> str:
+    store, events = snapshots.new_store(spark), X.table(spark, d, "events").select("event_id", "event_type")
+    snapshots.append(events.filter("event_type <> 'error'").select("event_id"), store, "event_id")
+    snapshots.append(events.filter("event_type = 'error'").select("event_id"), store, "event_id")
+    return store
+
+
+@query("l1_append", APPENDED)
+def l1(spark, d):
+    return snapshots.log(spark, _appended(spark, d))
+
+
+@query("l6_truncate", f"SELECT seq, event_id, 1::BIGINT AS epoch FROM ({APPENDED}) WHERE seq > 100")
+def l6(spark, d):
+    store = _appended(spark, d)
+    epoch = snapshots.truncate(spark, store, 100)
+    return snapshots.log(spark, store).withColumn("epoch", F.lit(epoch).cast("long"))
+
+
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return dict(QUERIES)
 

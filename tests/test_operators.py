@@ -115,3 +115,31 @@ def test_streams_equal_batch(spark, tmp_path):
     last = spark.read.parquet(f"{state}/v2").filter("op <> 'delete_object'")
     batch = logs.fold(spark.createDataFrame(rows))
     assert {(r.key, r.seq) for r in last.collect()} == {(r.key, r.seq) for r in batch.collect()}
+
+
+def test_versions(spark, tmp_path):
+    from stowage.sources import snapshots as V
+
+    store = str(tmp_path / "store")
+    assert V.newest(spark, store) == 0
+    V.snapshot({"t": spark.range(5)}, store)
+    V.snapshot({"t": spark.range(2)}, store)
+    assert V.reload(spark, store, "t", "held").count() == 2 and V.restore(spark, store, 1) == 3 and V.load(spark, store, "t").count() == 5
+    with pytest.raises(KeyError):
+        V.load(spark, store, "t", 9)
+    spark.range(4).write.mode("overwrite").parquet(f"{store}/t/v1")
+    with pytest.raises(ValueError):
+        V.restore(spark, store, 1)
+
+
+def test_log_numbers(spark, tmp_path):
+    from stowage.sources import snapshots as V
+
+    store = str(tmp_path / "log")
+    V.append(spark.range(10, 30).repartition(5), store, "id")
+    assert V.append(spark.range(0), store, "id").count() == 0
+    V.append(spark.range(3), store, "id")
+    assert [(r.seq, r.id) for r in V.log(spark, store).orderBy("seq").collect()] == [(i + 1, x) for i, x in enumerate([*range(10, 30), 0, 1, 2])]
+    assert V.truncate(spark, store, 20) == 1 and [r.seq for r in V.log(spark, store).orderBy("seq").collect()] == [21, 22, 23]
+    assert V.truncate(spark, store, 23) == 2 and V.log(spark, store).count() == 0
+    assert [r.seq for r in V.append(spark.range(1), store, "id").collect()] == [24]
