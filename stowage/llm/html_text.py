@@ -7,7 +7,8 @@ of a host's pages (SUPPORT at least) are candidates; the one on most pages is th
 On a page a class counts only if its tokens stand in one slot of the frame, in order; else its tokens are that page's own.
 What template tokens don't cover are the slots. The main text is the slots' text in the page's content element (article, else
 main, else an element named for content, else the body), without elements that are by tag, role or name menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments; inside an article or main element template text is kept, as it is the page's own there.
+adverts, forms, scripts, styles or comments. Template text goes inside an article or main element too, unless that leaves the page
+no text: then its article or main element keeps its text.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; unclosed and stray tags are tolerated;
 blocks repeat in the result as often as on the page.
@@ -183,7 +184,11 @@ def main_text(page: str | None, classes: list[list[int]]) -> str:
     tokens = parse(page)
     own = slots(tokens, classes)
     best = max((level for _, text, level, dropped in tokens if text and not dropped), default=0)
-    return "\n\n".join(text for (_, text, level, dropped), mine in zip(tokens, own, strict=True) if text and not dropped and level >= best and (mine or level >= 2))
+    content = [i for i, (_, text, level, dropped) in enumerate(tokens) if text and not dropped and level >= best]
+    kept = [i for i in content if own[i]]
+    if not kept and best >= 2:
+        kept = content
+    return "\n\n".join(tokens[i][1] for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

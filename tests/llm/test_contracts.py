@@ -250,6 +250,18 @@ def test_html(spark, folder):
     assert html_text.main_text(page, []) == "T\n\na b\n\nc"
 
 
+def _pages(spark, pages):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_html_template_inside_articles(spark):
+    """A block on all pages of a host goes, though its class is on no list and it stands in the article; copies keep their text."""
+    pages = [("http://a/x", f'<article><h1>Title {i}</h1><p>own {i}</p><div class="xq">Follow us</div></article>') for i in range(5)]
+    pages += [("http://b/x", "<main><p>the same</p><p>text</p></main>")] * 5
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, pages)).collect()}
+    assert got == {i: f"Title {i}\n\nown {i}" if i < 5 else "the same\n\ntext" for i in range(10)}
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as pipe
 
