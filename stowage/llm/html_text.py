@@ -2,8 +2,10 @@
 
 Tokens are a page's block tags with their path and its text blocks with theirs. For each host, tokens that have the same
 occurrence vector over its pages (so many times on the same pages) form an equivalence class; the vector is kept as a
-commutative digest, so it is one aggregate over (host, token) with map-side combining, whatever a host's size. Classes on at least half
-of a host's pages (SUPPORT at least) are candidates; the one on most pages is the template's frame and the others nest in it.
+commutative digest, so it is one aggregate over (host, token) with map-side combining, whatever a host's size. Classes on
+SUPPORT pages of a host are candidates, however many pages it has, so that each of its layouts has its own. A class is template for certain if a
+block tag is in it (an element on the same pages) or it is on half of the host's pages; another, of texts alone, only outside
+article and main elements and if it has SIZE tokens: a lone sentence, or an article's copies, repeat in the same way. The class on most pages is the page's frame and the others nest in it.
 On a page a class counts only if its tokens stand in one slot of the frame, in order; else its tokens are that page's own.
 What template tokens don't cover are the slots. The main text is the slots' text in the page's content element (article, else
 main, else an element named for content, else the body), without elements that are by tag, role or name menus, headers, footers, sidebars, notices,
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small, small_batches
+from .shared import pieces, small, small_batches, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|([^<]+)|(<)""",
@@ -43,6 +46,8 @@ DROP_ROLES = frozenset("navigation contentinfo complementary search dialog alert
 CONTENT_NAMES = frozenset("content post entry story article articlebody maincontent".split())
 #: Pages of a host that a class stands on at least.
 SUPPORT = 4
+#: Tokens of a class at least, if it has no block tag and is on fewer than half of the pages.
+SIZE = 2
 
 
 def _attributes(raw: str) -> tuple[str, frozenset, str]:
@@ -136,73 +141,109 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://|[/?#].*$", "", (url or "").lower(), flags=re.S)
 
 
-def deduced(pages: DataFrame) -> DataFrame:
-    """host, classes array<array<long>>: each host's template, the frame first. At most about two pages' worth of tokens a host, by the half-of-pages rule."""
+def _tokens(pages: DataFrame) -> DataFrame:
+    """host, token, tag, n, page, key of every page's different tokens, and a row without a token for the page itself; key is the html's digest."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 64):
                 rows = []
                 for page, url, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    host = host_of(url)
-                    rows += [(host, token, n, page) for token, n in Counter(_digest(p, t) for p, t, _, _ in parse(raw)).items()]
-                    rows.append((host, None, 1, page))
+                    host, key = host_of(url), _key(raw)
+                    rows += [(host, token, tag, n, page, key) for (token, tag), n in Counter((_digest(p, t), not t) for p, t, _, _ in parse(raw)).items()]
+                    rows.append((host, None, False, 1, page, key))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "token", "n", "page"])
+                    types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "tag", "n", "page", "key"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(tokens, "host string, token long, tag boolean, n long, page long, key binary")
 
-    seen = pages.select("page_id", "url", "html").mapInArrow(tokens, "host string, token long, n long, page long")
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector")).filter(F.col("pages") >= SUPPORT)
-    totals = vectors.filter("token IS NULL").select("host", F.col("pages").alias("all"))
-    common = vectors.filter("token IS NOT NULL").join(totals, "host").filter("pages * 2 >= all")
-    classes = common.groupBy("host", "pages", "vector").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "tokens")), False).alias("c")).select("host", F.col("c.tokens").alias("classes"))
 
+def _key(raw: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(raw or "")
 
-def slots(tokens: list, classes: list[list[int]]) -> list[bool]:
-    """Which tokens of a page are the page's own: those no valid class of the template has."""
-    digests = [_digest(p, t) for p, t, _, _ in tokens]
-    own = [True] * len(tokens)
+
+def deduced(pages: DataFrame) -> DataFrame:
+    """host, token, pages, first, sure: the templates' tokens. pages and first (its least token) name a host's class."""
+    vectors = _tokens(pages).groupBy("host", "token", "tag").agg(F.count("*").alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector")).filter(F.col("pages") >= SUPPORT)
+    vectors = written(vectors, "html-tokens")
+    totals = vectors.filter("token IS NULL").select("host", F.col("pages").alias("all"))
+    by = ["host", "pages", "vector"]
+    classes = vectors.filter("token IS NOT NULL").groupBy(*by).agg(F.min("token").alias("first"), F.bool_or("tag").alias("tags"), F.count("*").alias("size"))
+    classes = classes.join(totals, "host").select(*by, "first", (F.col("tags") | (F.col("pages") * 2 >= F.col("all"))).alias("sure"), "size").filter(F.col("sure") | (F.col("size") >= SIZE))
+    return written(vectors.filter("token IS NOT NULL").drop("tag").join(classes.drop("size"), by).drop("vector"), "html-templates")
+
+
+def slots(tokens: list, known: dict[int, tuple]) -> list[tuple | None]:
+    """The class of each of a page's tokens, None for the page's own: those no valid class has. known: token -> (-pages, first, sure)."""
+    at_: dict[tuple, list[int]] = {}
+    for i, (path, text, _, _) in enumerate(tokens):
+        found = known.get(_digest(path, text))
+        if found is not None:
+            at_.setdefault(found, []).append(i)
+    out: list[tuple | None] = [None] * len(tokens)
     frame: list[int] = []
-    for k, wanted in enumerate(classes):
-        have = set(wanted)
-        at = [i for i, d in enumerate(digests) if d in have]
-        if not at:
-            continue
-        if k and frame:
-            # a nested class stands in one slot of the frame
-            between = sum(at[0] < f < at[-1] for f in frame)
-            if between and len(at) > 1:
-                runs = [i for i in at if not any(at[0] < f < i for f in frame)]
-                at = runs if len(runs) == len(at) else [i for i in at if tokens[i][1]]
+    for found in sorted(at_):
+        at = at_[found]
+        # a nested class stands in one slot of the frame
+        if frame and len(at) > 1 and bisect_left(frame, at[-1]) > bisect_left(frame, at[0]):
+            at = [i for i in at if tokens[i][1]]
         for i in at:
-            own[i] = False
+            out[i] = found
         frame = frame or at
-    return own
+    return out
 
 
-def main_text(page: str | None, classes: list[list[int]]) -> str:
+def main_text(page: str | None, known: dict[int, tuple] | None) -> str:
     tokens = parse(page)
-    own = slots(tokens, classes)
+    found = slots(tokens, known or {})
     best = max((level for _, text, level, dropped in tokens if text and not dropped), default=0)
     content = [i for i, (_, text, level, dropped) in enumerate(tokens) if text and not dropped and level >= best]
-    kept = [i for i in content if own[i]]
-    if not kept and best >= 2:
-        kept = content
+    kept = [i for i in content if found[i] is None or tokens[i][2] >= 2 and not found[i][2]]
+    if not kept and content:
+        # a copy of other pages: its article's text, or elsewhere that of its rarest class, if that isn't a template for certain
+        rarest = max(found[i] for i in content)
+        kept = content if best >= 2 else [i for i in content if found[i] == rarest and not rarest[2]]
     return "\n\n".join(tokens[i][1] for i in kept)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages."""
-    host = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"(?s)^[a-z][a-z0-9+.-]*://|[/?#].*$", "")
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(small(deduced(pages), pages.select(host.alias("host")).distinct().count(), 100_000), "host", "left")
+def extract(pages: DataFrame, limit: int = 200_000) -> DataFrame:
+    """page_id, url, text, n_chars of every row of pages. Templates of up to limit tokens are broadcast; beyond that each page gets its own tokens' classes by a join."""
+    names, types = ["page_id", "url", "text", "n_chars"], "page_id long, url string, text string, n_chars long"
+    template = deduced(pages)
+    shared = None
+    if template.count() <= limit:
+        by_host: dict[str, dict[int, tuple]] = {}
+        for r in template.toLocalIterator():
+            by_host.setdefault(r.host, {})[r.token] = (-r.pages, r.first, r.sure)
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts = shared.value if shared else {}
+        for batch in batches:
+            for part in pieces(batch, 64):
+                page, url, raw, *hits = (c.to_pylist() for c in part.columns)
+                if hits:
+                    known = [{x["token"]: (-x["pages"], x["first"], x["sure"]) for x in mine or ()} for mine in hits[0]]
+                else:
+                    known = [hosts.get(host_of(u)) for u in url]
+                texts = [main_text(x, k) for x, k in zip(raw, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
+
+    rows = pages.select("page_id", "url", "html")
+    if shared:
+        return rows.mapInArrow(run, types)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 64):
-                texts = [main_text(x, c or []) for x, c in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                url, raw = part.column(1).to_pylist(), part.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(host_of, url), pa.string()), pa.array(map(_key, raw), pa.binary())], ["page_id", "url", "html", "host", "key"])
 
-    return rows.select("page_id", "url", "html", "classes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    # pages of one host with the same html have the same tokens, so they share a row of classes
+    own = _tokens(pages).filter("token IS NOT NULL").select("host", "token", "key").join(small(template), ["host", "token"])
+    own = own.groupBy("host", "key").agg(F.collect_set(F.struct("token", "pages", "first", "sure")).alias("hits"))
+    return rows.mapInArrow(keyed, "page_id long, url string, html string, host string, key binary").join(own, ["host", "key"], "left").select("page_id", "url", "html", "hits").mapInArrow(run, types)
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -262,6 +262,16 @@ def test_html_template_inside_articles(spark):
     assert got == {i: f"Title {i}\n\nown {i}" if i < 5 else "the same\n\ntext" for i in range(10)}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_html_layouts_of_one_host(spark, limit):
+    """Three layouts, a third of the pages each: unnamed menus go, a repeated sentence and an article's copies stay."""
+    menus = ["<div><b>Home A</b></div><div>Shop A</div>", '<div class="q1"><p>News B</p></div>', "<ul><li>Home C<li>Contact C</ul>"]
+    pages = [("http://a/x", f"<body>{menus[i % 3]}<p>own {i}</p>{'<p>often said</p>' if i % 5 == 0 else ''}</body>") for i in range(30)]
+    pages += [("http://a/x", f"<article><p>{'copied' if i < 34 else i}</p><p>{'text' if i < 34 else -i}</p><p>own {i}</p></article>") for i in range(30, 40)]
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, pages), limit).collect()}
+    assert got == {i: f"own {i}" + "\n\noften said" * (i % 5 == 0) if i < 30 else f"copied\n\ntext\n\nown {i}" if i < 34 else f"{i}\n\n{-i}\n\nown {i}" for i in range(40)}
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as pipe
 
