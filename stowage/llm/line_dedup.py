@@ -202,7 +202,8 @@ def _apply_joined(docs: DataFrame, keys: DataFrame, min_chars: int, keep: str) -
 
     marked = docs.select("doc_id", "text").mapInArrow(own, "doc_id long, digest binary").distinct().join(keys, "digest")
     mine = marked.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first_doc")).alias("__drop"))
-    return _apply(docs.join(mine, "doc_id", "left").select(*docs.columns, "__drop"), None, min_chars, keep, "__drop")
+    mine = mine.withColumnRenamed("doc_id", "__doc")
+    return _apply(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(*docs.columns, "__drop"), None, min_chars, keep, "__drop")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from stowage.llm import bpe, html_text, jaccard_join, language_id, queries, secrets
+from stowage.llm import bpe, html_text, jaccard_join, language_id, licenses, line_dedup, queries, secrets
 from stowage.llm.components import components
 from stowage.llm.line_dedup import mark
 
@@ -329,6 +329,14 @@ def test_odd_rows(spark, odd, name):
         assert got[got.doc_id.isna()].component_id.isna().all() and (got[got.doc_id.isna()].n_shingles == 8).all()
 
 
+def test_many_repeated_lines_of_rows_without_an_id(spark):
+    """The join for more keys than are broadcast gives the broadcast's rows, rows without an id too."""
+    docs = spark.createDataFrame([(i if i % 3 else None, f"again\nown {i}") for i in range(12)] + [(7, "own 1"), (None, None)], "doc_id long, text string")
+    for keep in ("none", "first"):
+        got = [sorted(map(repr, line_dedup.mark(docs, 10, 1, keep, broadcast_keys=n).collect())) for n in (1_000_000, 0)]
+        assert got[0] == got[1]
+
+
 def test_odd_pipeline(spark, odd):
     import corpus_pipeline as pipe
 
