@@ -356,9 +356,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # (only classes of several rows are joined, and as a table: a class of very many copies can then be split over tasks)
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep"), "classes")
     members = written(rows.select("doc_id", "n", "digest").join(small(classes), "digest", "left"), "members")
-    copies = written(members.filter("rep <> doc_id").select("doc_id", "rep").distinct(), "copies")
-    not_reps = small(copies.select("doc_id").distinct())
-    reps = rows.filter("n > 0 AND doc_id IS NOT NULL").join(not_reps, "doc_id", "left_anti")
+    copies = written(members.filter("rep <> doc_id").select("doc_id", "digest", "rep").distinct(), "copies")
+    # only the copied set of an id is left out: the id's rows of other sets are not copies
+    not_reps = small(copies.select("doc_id", "digest"))
+    reps = rows.filter("n > 0 AND doc_id IS NOT NULL").join(not_reps, ["doc_id", "digest"], "left_anti")
 
     # groups: each class and the leaders it agrees with best, confirmed; in rounds, by other leaders each time, while they link on
     stars, labels = None, None

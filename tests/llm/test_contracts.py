@@ -337,6 +337,13 @@ def test_many_repeated_lines_of_rows_without_an_id(spark):
         assert got[0] == got[1]
 
 
+def test_an_id_of_two_texts(spark):
+    """Only one of document 7's texts is a copy; the other one still links."""
+    x, y = "one two three four five six seven eight nine ten eleven twelve", "red orange yellow green blue indigo violet black white grey brown pink"
+    docs = spark.createDataFrame([(3, x), (7, x), (7, y), (9, y + " more")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.similar_groups(docs).collect()} == {3}
+
+
 def test_odd_pipeline(spark, odd):
     import corpus_pipeline as pipe
 
