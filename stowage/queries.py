@@ -250,6 +250,12 @@ def d5(spark, d):
     return erasure.shards(_stripes(spark, d).filter(F.col("stripe_id").startswith("0")), K, M).filter(F.col("shard_index") >= K).select("stripe_id", "shard_index", "shard_id")
 
 
+@query("d5_parity_all")
+def d5_all(spark, d):
+    """Parity shards' ids of every distinct stripe; d5_parity is the part of it that SQL can afford."""
+    return erasure.shards(_stripes(spark, d), K, M).filter(F.col("shard_index") >= K).select("stripe_id", "shard_index", "shard_id")
+
+
 @query("d6_reconstruct", STRIPES + ", one AS (SELECT DISTINCT stripe_id FROM stripes) SELECT stripe_id, stripe_id AS rebuilt_id, (substr(stripe_id, 1, 1) < '8') AS degraded FROM one")
 def d6(spark, d):
     """Half of the stripes lose data shards 0 and 2; what is rebuilt has the stripe's digest."""

@@ -143,3 +143,29 @@ def test_log_numbers(spark, tmp_path):
     assert V.truncate(spark, store, 20) == 1 and [r.seq for r in V.log(spark, store).orderBy("seq").collect()] == [21, 22, 23]
     assert V.truncate(spark, store, 23) == 2 and V.log(spark, store).count() == 0
     assert [r.seq for r in V.append(spark.range(1), store, "id").collect()] == [24]
+
+
+def test_parity_of_every_stripe(spark, tmp_path):
+    """d5_parity_all against shift-and-reduce products, byte by byte, of all stripes of a small table."""
+    import hashlib
+
+    from stowage import queries
+
+    folder = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").limit(8).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def times(a, b):
+        out = 0
+        while b:
+            out ^= a if b & 1 else 0
+            a, b = (a << 1) ^ (0x11D if a & 128 else 0), b >> 1
+        return out
+
+    table = {c: [times(c, b) for b in range(256)] for c in (27, 28, 18, 20)}
+    want = set()
+    for sid, data in {(r.stripe_id, bytes(r.data)) for r in queries._stripes(spark, str(tmp_path)).collect()}:
+        for p, coefs in enumerate(((27, 28, 18, 20), (28, 27, 20, 18))):
+            parity = bytes(table[coefs[0]][data[i]] ^ table[coefs[1]][data[256 + i]] ^ table[coefs[2]][data[512 + i]] ^ table[coefs[3]][data[768 + i]] for i in range(256))
+            want.add((sid, 4 + p, hashlib.sha256(parity).hexdigest()))
+    got = [tuple(r) for r in queries.queries()["d5_parity_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and len({s[0] for s, *_ in want}) > 1
