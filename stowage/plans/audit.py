@@ -15,6 +15,12 @@ def bucket_digests(rows: DataFrame) -> DataFrame:
     return held.select("addr", "idx", F.sha2(F.concat(F.array_join("ids", "\n"), F.lit("\n")), 256).alias("hash"), F.size("ids").alias("n"))
 
 
+def expected(refs: DataFrame) -> DataFrame:
+    """addr, bucket, chunk_id of all references; those without an address or a whole id are skipped."""
+    good = refs.filter("addr <> ''").filter(F.col("chunk_id").rlike("^[0-9a-f]{64}$"))
+    return good.select("addr", F.conv(F.substring("chunk_id", 1, 2), 16, 10).cast("int").alias("bucket"), "chunk_id").distinct()
+
+
 def roots(digests: DataFrame) -> DataFrame:
     """addr, root, total: SHA-256 over all 256 raw bucket digests in order."""
     by = digests.groupBy("addr").agg(F.map_from_entries(F.collect_list(F.struct("idx", "hash"))).alias("m"), F.sum("n").alias("total"))

@@ -465,6 +465,12 @@ def h3(spark, d):
     return X.refs(spark, d).filter("substring(chunk_id, 1, 2) = '3f'").select("addr", "chunk_id").distinct()
 
 
+@query("h3_expected_all", "SELECT DISTINCT addr, ('0x' || substr(chunk_id, 1, 2))::INT AS bucket, chunk_id FROM old_refs")
+def h3_all(spark, d):
+    """Every node's expected chunks in every bucket; h3_expected has one bucket."""
+    return audit.expected(X.refs(spark, d))
+
+
 @query("h4_audit", TREE + "SELECT * FROM diff")
 def h4(spark, d):
     return audit.audit(X.refs(spark, d), X.inventory(spark, d))
