@@ -2,8 +2,8 @@
 
 Every rolling two-word hash of every text is looked up among the templates' hashes; the hits join the templates' positions, and
 each hit votes for the diagonal (place in the text minus place in the template). A template of a whole phrase is found where a
-diagonal has all its votes. For longer notices neighbouring diagonals (a few words put in or left out) merge, and the merged span
-is confirmed if enough of the template's distinct two-word steps stand in it. Each hit's two words are compared, not only hashed.
+diagonal has all its votes. For longer notices neighbouring diagonals (a few words put in or left out) merge, and any span of the
+merged, of twice the template's length at most, is confirmed if enough of the template's distinct two-word steps stand in it. Each hit's two words are compared, not only hashed.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; first_word and last_word are null where
 n_base is 0; repeated rows each get their own row.
@@ -11,6 +11,8 @@ n_base is 0; repeated rows each get their own row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,14 +67,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
     found = rows.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").withColumn("h", F.xxhash64("w1", "w2"))
     votes = found.join(small(steps, 0), ["h", "w1", "w2"]).withColumn("diagonal", F.col("i") - F.col("at"))
-    lines = votes.groupBy("row", "name", "label", "base", "steps", "share", "diagonal").agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"), F.min("i").alias("a"), F.max("i").alias("b"))
-    base = lines.filter("base AND n = steps").groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set"))
+    lines = votes.filter("base").groupBy("row", "name", "label", "steps", "diagonal").agg(F.count("*").alias("n"))
+    base = lines.filter("n = steps").groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set"))
 
     by = Window.partitionBy("row", "name").orderBy("diagonal")
-    own = lines.filter("NOT base").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int"), F.lit(1))).withColumn("group", F.sum("new").over(by))
-    merged = own.groupBy("row", "name", "label", "steps", "share", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.min("a").alias("a"), F.max("b").alias("b"))
-    # the span is confirmed if it has enough of the template and isn't much longer than it
-    sure = merged.filter("covered >= share * steps AND b - a + 1 <= 2 * steps").groupBy("row").agg(F.collect_set("label").alias("own_set"), F.max(F.col("covered") / F.col("steps")).alias("cover"))
+    own = votes.filter("NOT base").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int"), F.lit(1))).withColumn("group", F.sum("new").over(by))
+    # spans of 2 * steps words from each hit of a group on: places are scaled, so that one range fits every template
+    scale = math.lcm(*(2 * r.steps for r in steps.select("steps").distinct().collect()))
+    span = Window.partitionBy("row", "name", "group").orderBy(F.col("i").cast("long") * (F.lit(scale).cast("long") / (2 * F.col("steps"))).cast("long")).rangeBetween(0, scale - 1)
+    spans = own.withColumn("covered", F.size(F.collect_set("at").over(span)))
+    # a span is confirmed if it has enough of the template
+    sure = spans.filter("covered >= share * steps").groupBy("row").agg(F.collect_set("label").alias("own_set"), F.max(F.col("covered") / F.col("steps")).alias("cover"))
 
     empty = F.array().cast("array<string>")
     both = F.array_sort(F.array_union(F.coalesce("base_set", empty), F.coalesce("own_set", empty)))

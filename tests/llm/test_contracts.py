@@ -242,6 +242,13 @@ def test_licenses(spark, folder):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_licenses_in_a_row(spark):
+    """Whole phrases close to each other, whose diagonals chain."""
+    texts = ["mozilla public license mozilla public license", "cc by nc " * 50, "bsd 3 clause license bsd 3 clause license", "cc by, cc by-sa, cc by-nc, cc by-nd", "mozilla public x mozilla public y", None]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mpl", 1.0), 1: ("cc-by,cc-by-nc", 1.0), 2: ("bsd", 1.0), 3: ("cc-by,cc-by-nc,cc-by-sa", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 def test_html(spark, folder):
     d, _ = folder
     got = run(spark, "op10_html_extraction", d).set_index("page_id").text
