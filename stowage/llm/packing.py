@@ -6,13 +6,15 @@ adds both and cuts the endless sequence at every multiple of the window; a docum
 side of it. No text or id is shuffled.
 
 Defined cases: a null or empty text is the end id alone; a document longer than a window spans several; only the last sequence
-can be short; an empty table gives no rows. Repeated doc_ids are separate documents, each with its own pieces.
+can be short; an empty table gives no rows. Repeated doc_ids, and rows without one, are separate documents, each with its own
+pieces. A text's literal of the vocabulary's added token is that token's one id, as the tokenizers library encodes by default. Only
+doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
 import functools
-import struct
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,27 +24,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Pretokens, byte_chars
+from .bpe import Codec, binary, byte_chars
 from .shared import documents, frugal, pieces, small, written
 
 WINDOW, END = 2048, 1
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, pattern: str) -> Pretokens:
-    from tokenizers import Tokenizer
-
-    held = Tokenizer.from_file(path)
-    model, chars = held.model, dict(enumerate(byte_chars()))
-
-    def learn(words: list[str]) -> list[bytes]:
-        out = []
-        for w in words:
-            ids = [t.id for t in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars))]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
-
-    return Pretokens(pattern, learn)
+def _codec(path: str, pattern: str) -> Codec:
+    """The encoder of a tokenizers file of byte-level BPE, whose ids must be in the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    byte_of = {c: b for b, c in enumerate(byte_chars())}
+    model, added = held["model"], [(x["content"], x["id"]) for x in held["added_tokens"]]
+    strings = {x for x, _ in added}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in strings}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if model["type"] != "BPE" or merged != sorted(merged) or len(added) > 1 or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in held["added_tokens"]):
+        raise ValueError("not a byte-level BPE file whose ids follow its merges, with one plain added token at most")
+    return Codec(ranks, pattern, added[0] if added else None, bool(model.get("ignore_merges")))
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataFrame:
@@ -53,19 +53,18 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part_id, before = _encoder(path, pattern), TaskContext.get().partitionId(), 0
-        tail = struct.pack("<I", end)
+        own, part_id, before = _codec(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in pieces(batch):
-                ids = [np.frombuffer(x + tail, "<u4") for x in own.encode(part.column(1).to_pylist())]
-                wide = [bool(x.max() > 0xFFFF) for x in ids]
-                n = np.array([len(x) for x in ids], np.int64)
-                at = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part_id, np.int32)), pa.array(at), part.column(0).cast(pa.int64()), pa.array(n), pa.array(wide), pa.array([x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)], pa.binary())],
-                    ["part", "before", "doc_id", "doc_tokens", "wide", "ids"],
-                )
+            ids, off = own.encode(batch.column(1))
+            ids = np.insert(ids, off[1:], np.uint32(end))
+            off = off + np.arange(len(off))
+            wide = bool(ids.max(initial=0) > 0xFFFF)
+            at = before + off[:-1]
+            before += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), part_id, np.int32)), pa.array(at), batch.column(0).cast(pa.int64()), pa.array(np.diff(off)), pa.array(np.full(len(at), wide)), binary(ids.astype("<u4" if wide else "<u2"), (4 if wide else 2) * off)],
+                ["part", "before", "doc_id", "doc_tokens", "wide", "ids"],
+            )
 
     shape = "part int, before long, doc_id long, doc_tokens long, wide boolean, ids binary"
     return written(docs.select("doc_id", "text").mapInArrow(run, shape), "packed-ids")

@@ -78,7 +78,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and the len + 1 offsets of its rows; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

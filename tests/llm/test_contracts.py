@@ -140,7 +140,6 @@ def test_lines_joined_and_first(spark, folder):
 def test_packing(spark, folder):
     d, docs = folder
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in docs.items()}
     got = run(spark, "op3_packing", d).sort_values(["sequence_id", "offset"])
     at = 0
@@ -161,6 +160,31 @@ def test_byte_bpe(spark, folder):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+PARTS = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "é", "ß", "中文", " the", " и", "'s", "'", "1", "23", ".", ",", "<|endoftext|>", "<|", "\0", "hello", " World", "😀", "½", "\x85", "x" * 30, "'ll"]
+
+
+@pytest.mark.parametrize("cache", [40, bpe.CACHE])
+def test_tokens_of_any_strings(cache):
+    """Strings of every kind of character, with a memory that is always full and with one that never is."""
+    from stowage.llm import packing
+
+    rng = random.Random(1)
+    texts = [None, "", "<|endoftext|>", "a   b", "a\n\n\n  b\n "] + ["".join(rng.choices(PARTS, k=rng.randint(0, 25))) for _ in range(3000)]
+    path, ranks = P.path("byte_bpe_50k.json"), bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    whole, rank = Tokenizer.from_file(path), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one, two = packing._codec.__wrapped__(path, P.PATTERN), bpe.Codec(ranks, P.PATTERN)
+    for codec, ids_of in ((one, lambda t: whole.encode(t, add_special_tokens=False).ids), (two, rank.encode_ordinary)):
+        codec.encode.__self__.cache = cache
+        for at in range(0, len(texts), 100):
+            part = texts[at : at + 100]
+            ids, off = codec.encode(pa.array(["skipped", *part]).slice(1))
+            for i, t in enumerate(part):
+                assert ids[off[i] : off[i + 1]].tolist() == ids_of(t or "")
+            if codec is two:
+                data, ends = codec.decode(ids, off)
+                assert [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] == [(t or "").encode() for t in part]
+
+
 def test_language(spark, folder):
     d, docs = folder
     got = run(spark, "op5_language_id", d)
