@@ -18,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, frugal, pieces, written
+from .shared import documents, frugal, pieces, unused, written
 
 #: The white space stripped from a line's ends.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of each filter and of a segment of it, as powers of two: 2^27 bits are 16 MB.
 BITS, SEGMENT_BITS = 27, 19
+#: Tasks whose filters meet in one, and repeated keys that are broadcast at most (some 30 MB a worker).
+FAN, BROADCAST_KEYS = 64, 200_000
 
 
 def keys_of(text: str | None, min_chars: int = 1) -> tuple[list[str], list[bytes | None]]:
@@ -45,22 +47,28 @@ def _positions(texts: list, min_chars: int, bits: int) -> Iterator[np.ndarray]:
         yield np.fromiter({xxhash.xxh3_64_intdigest(k) >> (64 - bits) for k in set(keys_of(t, min_chars)[1]) if k is not None}, np.int64)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["segment", "level", "at"])
-
-
-def _pair(parts: list[np.ndarray], bits: int, segment: int) -> pa.Table:
-    """Rows (segment, level, the bits set in it as uint32) of the pair of filters over these documents."""
+def _marks(parts: list[np.ndarray], bits: int, segment: int) -> pa.Table:
+    """Rows (segment, level, the places set in it as uint32) of the pair of filters over these documents."""
     at, n = np.unique(np.concatenate(parts), return_counts=True)
     rows = []
     for level, x in ((1, at), (2, at[n > 1])):
         cuts = np.searchsorted(x, np.arange(0, (1 << bits) + 1, 1 << segment))
         rows += [(s, level, (x[a:b] - (s << segment)).astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    return _table(rows)
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["segment", "level", "at"])
+
 
+def _merged(segment: int, group: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """One pair of filters, as bits, of several: a place is seen twice if one of them has it twice, or two of them once."""
+    once, twice = np.zeros_like(pairs[0][0]), np.zeros_like(pairs[0][0])
+    for a, b in pairs:
+        twice |= b | once & a
+        once |= a
+    bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (once, twice)]
+    return pa.table([pa.array([segment], pa.int32()), pa.array([group], pa.int32()), *bits], ["segment", "group", "once", "twice"])
 
-def twice_filter(docs: DataFrame, min_chars: int = 1, bits: int = BITS, segment: int = SEGMENT_BITS) -> bytes:
-    """The twice-seen filter, one bit a position. Each task makes its own pair; pairs merge segment by segment."""
+
+def twice_filter(docs: DataFrame, min_chars: int = 1, bits: int = BITS, segment: int = SEGMENT_BITS, fan: int = FAN) -> bytes:
+    """The twice-seen filter, one bit a place. Each task makes its own pair; pairs merge segment by segment, those of fan tasks at a time."""
 
     @frugal
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,44 +79,42 @@ def twice_filter(docs: DataFrame, min_chars: int = 1, bits: int = BITS, segment:
                     held.append(at)
                     n += len(at)
                 if n > 1_000_000:
-                    yield from _pair(held, bits, segment).to_batches()
+                    yield from _marks(held, bits, segment).to_batches()
                     held, n = [], 0
         if n:
-            yield from _pair(held, bits, segment).to_batches()
+            yield from _marks(held, bits, segment).to_batches()
 
-    def merged(table: pa.Table) -> np.ndarray:
-        counts = np.zeros(1 << segment, np.uint8)
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        pairs = []
         for level, at in zip(table["level"].to_pylist(), table["at"].to_pylist(), strict=True):
-            at = np.frombuffer(at, np.uint32)
-            counts[at] = np.minimum(counts[at] + 1, 2) if level == 1 else 2
-        return counts
-
-    def some(table: pa.Table) -> pa.Table:
-        counts = merged(table)
-        return _table([(table["segment"][0].as_py(), level, np.flatnonzero(counts >= level).astype(np.uint32).tobytes()) for level in (1, 2)])
-
-    def last(table: pa.Table) -> pa.Table:
-        return _table([(table["segment"][0].as_py(), 2, np.packbits(merged(table) >= 2, bitorder="little").tobytes())])
-
-    shape = "segment int, level int, at binary"
-    found = docs.select("text").mapInArrow(own, shape)
-    # a first merge over groups of tasks, so that no task gathers a segment from all of them
-    found = found.withColumn("some", F.spark_partition_id() % 16).groupBy("segment", "some").applyInArrow(some, shape)
+            places, none = np.zeros(1 << segment, bool), np.zeros(1 << segment, bool)
+            places[np.frombuffer(at, np.uint32)] = True
+            pairs.append((places, none) if level == 1 else (none, places))
+        return _merged(key[0].as_py(), key[1].as_py(), pairs)
+
+    def next_(key: tuple, table: pa.Table) -> pa.Table:
+        unpacked = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool) for name in ("once", "twice") for x in table[name].to_pylist())
+        pairs = list(unpacked)
+        return _merged(key[0].as_py(), key[1].as_py(), list(zip(pairs[: table.num_rows], pairs[table.num_rows :], strict=True)))
+
+    shape = "segment int, group int, once binary, twice binary"
+    found = docs.select("text").mapInArrow(own, "segment int, level int, at binary").withColumn("group", F.floor(F.spark_partition_id() / fan).cast("int"))
+    level = written(found.groupBy("segment", "group").applyInArrow(first, shape), "line-filters")
+    while (level.agg(F.max("group")).first()[0] or 0) > 0:
+        level = written(level.withColumn("group", F.floor(F.col("group") / fan).cast("int")).groupBy("segment", "group").applyInArrow(next_, shape), "line-filters")
     out = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (segment - 3)
-    for row in found.groupBy("segment").applyInArrow(last, shape).toLocalIterator():
-        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row["at"], np.uint8)
+    for row in level.select("segment", "twice").toLocalIterator():
+        out[row.segment * step : (row.segment + 1) * step] = np.frombuffer(row.twice, np.uint8)
     return out.tobytes()
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: int = BITS) -> DataFrame:
-    """key binary, n_docs long, first_doc long: every key that stands in min_docs documents or more (2 at least)."""
-    spark = docs.sparkSession
-    filter_ = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
+def _suspects(docs: DataFrame, id_: str, seen, min_chars: int, bits: int) -> DataFrame:
+    """id long, key binary: each row's different keys that the twice-seen filter suspects."""
 
     @frugal
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(filter_.value, np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.frombuffer(seen.value, np.uint8)
         for batch in batches:
             for part in pieces(batch):
                 ids, keys = [], []
@@ -116,28 +122,39 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits
                     for k in set(keys_of(text, min_chars)[1]):
                         if k is not None:
                             at = xxhash.xxh3_64_intdigest(k) >> (64 - bits)
-                            if seen[at >> 3] >> (at & 7) & 1:
+                            if twice[at >> 3] >> (at & 7) & 1:
                                 ids.append(doc)
                                 keys.append(k)
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+
+    return docs.select(id_, "text").mapInArrow(run, "id long, key binary")
 
-    found = docs.select("doc_id", "text").mapInArrow(suspects, "doc_id long, key binary")
-    return found.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= max(2, min_docs))
 
+def repeated_lines(docs: DataFrame, seen, min_docs: int = 10, min_chars: int = 1, bits: int = BITS) -> DataFrame:
+    """key binary, n_docs long, first_doc long: every key that stands in min_docs documents or more (2 at least). seen: the broadcast twice-seen filter."""
+    found = _suspects(docs, "doc_id", seen, min_chars, bits)
+    return found.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_doc")).filter(F.col("n_docs") >= max(2, min_docs))
 
-def mark(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", bits: int = BITS, broadcast_keys: int = 1_000_000) -> DataFrame:
+
+def mark(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", bits: int = BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs with text after the drop and, beside, n_lines, n_dropped (long).
 
     keep="none" drops a repeated key's lines everywhere; keep="first" leaves its first line in the document of the smallest id.
-    Up to broadcast_keys repeated keys travel as 16-byte digests; beyond that, the marked lines are joined instead.
+    Up to broadcast_keys repeated keys travel as 16-byte digests; beyond that, the suspected lines are joined with them.
     """
-    keys = written(repeated_lines(docs, min_docs, min_chars, bits).select(F.expr("unhex(substr(sha2(key, 256), 1, 32))").alias("digest"), "first_doc"), "line-keys")
-    n = keys.count()
-    if n <= broadcast_keys:
-        drop = docs.sparkSession.sparkContext.broadcast({bytes(r.digest): r.first_doc for r in keys.toLocalIterator()})
-        return _apply(docs, drop, min_chars, keep)
-    return _apply_joined(docs, keys, min_chars, keep)
+    seen = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
+    keys = written(repeated_lines(docs, seen, min_docs, min_chars, bits).select(_digest_column(), "first_doc"), "line-keys")
+    if keys.count() > broadcast_keys:
+        return _apply_joined(docs, keys, seen, min_chars, keep, bits)
+    seen.unpersist()
+    drop = docs.sparkSession.sparkContext.broadcast({bytes(r.digest): r.first_doc for r in keys.toLocalIterator()})
+    return _apply(docs, drop, min_chars, keep)
+
+
+def _digest_column() -> Column:
+    """The digest of the column key, as _digest() has it."""
+    return F.expr("unhex(substr(sha2(key, 256), 1, 32))").alias("digest")
 
 
 def _digest(key: bytes) -> bytes:
@@ -188,28 +205,20 @@ def _apply(docs: DataFrame, drop, min_chars: int, keep: str, extra: str | None =
     return docs.mapInArrow(cut, f"{shape}, n_lines long, n_dropped long")
 
 
-def _apply_joined(docs: DataFrame, keys: DataFrame, min_chars: int, keep: str) -> DataFrame:
-    """For more repeated keys than are broadcast: each document gets its own repeated keys by a join."""
-
-    @frugal
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                rows = [(doc, _digest(k)) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for k in set(keys_of(text, min_chars)[1]) if k is not None]
-                if rows:
-                    ids, digests = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
-
-    marked = docs.select("doc_id", "text").mapInArrow(own, "doc_id long, digest binary").distinct().join(keys, "digest")
-    mine = marked.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first_doc")).alias("__drop"))
-    mine = mine.withColumnRenamed("doc_id", "__doc")
-    return _apply(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(*docs.columns, "__drop"), None, min_chars, keep, "__drop")
+def _apply_joined(docs: DataFrame, keys: DataFrame, seen, min_chars: int, keep: str, bits: int) -> DataFrame:
+    """For more repeated keys than are broadcast: rows get numbers, in a table, and each row its own repeated keys by a join of the suspected ones."""
+    row, drop = unused("row", docs.columns), unused("drop", docs.columns)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    found = _suspects(numbered, row, seen, min_chars, bits).select("id", _digest_column())
+    mine = found.join(keys, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "first_doc")).alias(drop)).withColumnRenamed("id", unused("id", [*docs.columns, row, drop]))
+    held = numbered.join(mine, numbered[row] == mine[mine.columns[0]], "left").select(*(numbered[c] for c in docs.columns), mine[drop])
+    return _apply(held, None, min_chars, keep, drop)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
     """docs with the repeated lines dropped from text; the same columns (n_chars, if there, follows the text)."""
     names = docs.columns
-    clash = {c: f"__{c}" for c in ("n_lines", "n_dropped") if c in names}
+    clash = {c: unused(c, [*names, "n_lines", "n_dropped"]) for c in names if c.lower() in ("n_lines", "n_dropped")}
     out = mark(docs.withColumnsRenamed(clash), min_docs, min_chars, keep).drop("n_lines", "n_dropped")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
