@@ -1,10 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Fitted on at most FIT_ROWS labelled documents (those of the smallest id hashes, whole texts); the log-probability matrix
-(buckets x languages) is broadcast, and texts are scored in numpy: each n-gram's row of the matrix is gathered and summed.
+Fitted on at most FIT_ROWS rows of labelled documents (those of the smallest id hashes, whole texts); the log-probability matrix
+(buckets x languages) is broadcast, and texts are scored in batches in numpy: the batch's sparse count matrix times the log matrix.
 
 Defined cases: null text or text without a letter is `und`, score 0; ties go to the language that sorts first; without any
-labelled document all are `und`. Letters are lower-cased; all else counts as one space.
+labelled document all are `und`. Letters are lower-cased; all else counts as one space. Repeated rows count and are scored one by
+one; an id of more than FIT_ROWS rows is left out of the fit; rows without an id are scored but not learnt from; an empty table gives an empty table;
+other columns pass through language_filter(), also such as are named like predict()'s.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, frugal, pieces
+from .shared import documents, frugal, pieces, unused
 
 #: Documents that the model is fitted on at most; n-gram orders; hash buckets as a power of two; additive smoothing.
 FIT_ROWS, ORDERS, BUCKET_BITS, ALPHA = 20_000, (1, 2, 3), 15, 0.5
+#: Texts of a batch whose count matrix is made at once.
+TEXTS = 16
 
 
 @functools.cache
@@ -50,31 +54,41 @@ def buckets(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+def sparse_counts(parts: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's count matrix (texts x buckets), sparse: the row and bucket of each entry that isn't 0, in order, and the entry."""
+    rows = np.repeat(np.arange(len(parts), dtype=np.int64) << bits, [len(p) for p in parts])
+    counts = np.bincount(rows + np.concatenate(parts), minlength=len(parts) << bits)
+    at = np.flatnonzero(counts)
+    return at >> bits, at & ((1 << bits) - 1), counts[at]
+
+
 class Model:
-    """languages in order; logs: float32 matrix (buckets, languages); prior: log of each language's share."""
+    """languages in order; logs: matrix of log probabilities (buckets, languages); prior: log of each language's share."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, rows: np.ndarray, alpha: float = ALPHA):
         self.languages = languages
         if not languages:
             return
         c = counts.astype(np.float64) + alpha
-        self.logs = np.ascontiguousarray(np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        self.logs = np.ascontiguousarray(np.log(c / c.sum(axis=1, keepdims=True)).T)
         self.prior = np.log(rows / rows.sum())
 
+    def totals(self, parts: list[np.ndarray], bits: int = BUCKET_BITS) -> np.ndarray:
+        """Log prior and log likelihood (texts x languages) of texts with an n-gram or more: the sparse count matrix times logs."""
+        rows, cols, counts = sparse_counts(parts, bits)
+        terms = self.logs[cols] * counts[:, None]
+        return self.prior + np.add.reduceat(terms, np.searchsorted(rows, np.arange(len(parts))), axis=0)
+
     def predict(self, texts: list[str | None], orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        for t in texts:
-            if not t or not self.languages or not any(map(str.isalpha, t)):
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total = self.prior.copy()
-            b = buckets(t, orders, bits)
-            for at in range(0, len(b), 1 << 16):
-                total += self.logs[b[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-            best = int(np.argmax(total))
-            langs.append(self.languages[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        able = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        for at in range(0, len(able), TEXTS):
+            own = able[at : at + TEXTS]
+            total = self.totals([buckets(texts[i], orders, bits) for i in own], bits)
+            best = total.argmax(axis=1)
+            share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for i, k, score in zip(own, best.tolist(), share.tolist(), strict=True):
+                langs[i], scores[i] = self.languages[k], score
         return langs, scores
 
 
@@ -82,8 +96,10 @@ def fit(docs: DataFrame, where: Column | None = None, rows: int = FIT_ROWS, orde
     """A model of the languages in `lang`, from at most rows documents that have both text and lang (and satisfy where)."""
     able = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     able = able.filter(where) if where is not None else able
-    # the ids alone are ordered and cut; the bound keeps them broadcastable
-    some = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # the ids alone are ordered and cut, by the rows that they stand for; the bound keeps them broadcastable
+    order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    some = able.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") <= rows).select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").orderBy("h", "doc_id").limit(rows)
+    some = some.withColumn("total", F.sum("n").over(order)).filter(F.col("total") <= rows).select("doc_id")
     chosen = able.select("doc_id", "lang", "text").join(F.broadcast(some), "doc_id").repartition(12, F.xxhash64("doc_id"))
 
     @frugal
@@ -137,8 +153,7 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 def language_filter(docs: DataFrame) -> DataFrame:
     """The documents that have a language: `und` ones go. The same columns."""
-    names = [c for c in docs.columns]
-    clash = {"lang_pred": "__lang_pred", "score": "__score"}
-    renamed = docs.withColumnsRenamed({k: v for k, v in clash.items() if k in names})
-    out = predict(renamed, fit(docs)).filter("lang_pred <> 'und'").drop("lang_pred", "score")
+    names = docs.columns
+    clash = {c: unused(c, [*names, "lang_pred", "score"]) for c in names if c.lower() in ("lang_pred", "score")}
+    out = predict(docs.withColumnsRenamed(clash), fit(docs)).filter("lang_pred <> 'und'").drop("lang_pred", "score")
     return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
