@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .shared import documents, frugal, text_bytes
 
 #: Chunks of text that a worker remembers at most.
-CACHE = 800_000
+CACHE = 400_000
 
 
 @functools.cache

@@ -15,7 +15,8 @@ so it is found from the few groups that have so many. No cap drops a pair: a wid
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is its own component; fewer words than
 WORDS make one shingle; rows of one doc_id are one document for linking and one row each in the result; rows without a doc_id link with nothing and have no
 component; ties of leaders go by
-a hash of the id, which changes no result; an empty table gives no rows.
+a hash of the id, which changes no result; an empty table gives no rows; only doc_id and text are read, and near_dedup() passes all columns on, so
+none clashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, frugal, pieces, small, text_bytes, written
+from .shared import TEXTS_BROADCAST_BYTES, documents, frugal, give_back, pieces, small, text_bytes, written
 
 #: Words of a shingle; least similarity in hundredths; share of the hash range whose tokens are a set's first ones.
 WORDS, SHARE, PREFIX = 5, 75, 0.3
@@ -104,7 +105,7 @@ def _sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         if b - a >= WORDS:
             yield np.unique(grams[a : b - WORDS + 1])
         elif b > a:
-            yield _mix(np.array([(words[a:b] * _STEP[: b - a]).sum(dtype=np.uint64) + _STEP[8 + b - a]], np.uint64))
+            yield _mix(np.array([(words[a:b] * _STEP[: b - a]).sum(dtype=np.uint64)]) + _STEP[8 + b - a : 9 + b - a])
         else:
             yield empty
 
@@ -182,14 +183,15 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["doc_id", "n", "digest", "keys", "first", "far"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, keys array<long>, first binary, far boolean"), "signatures")
+    out = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, keys array<long>, first binary, far boolean"), "signatures")
+    held.unpersist()
+    return out
 
 
 def verify(pairs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: the links between documents of pairs' blocks. pairs: x, y of blocks; blocks: block, doc_id. Blocks are bounded in members."""
-    need = written(blocks.join(pairs.select(F.explode(F.array("x", "y")).alias("block")).distinct(), "block", "left_semi"), "blocks")
+    """a, b: the links between documents of pairs' blocks. pairs: x, y of blocks; blocks: block, doc_id, of these pairs alone, a table. Blocks are bounded in members."""
     # a table, so that the joins can be split over tasks where a block is in very many pairs
-    held = written(docs.select("doc_id", "text").join(small(need), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m")), "texts")
+    held = written(docs.select("doc_id", "text").join(small(blocks, limit=TEXTS_BROADCAST_BYTES), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("m")), "texts")
     both = pairs.join(held.select(F.col("block").alias("x"), F.col("m").alias("mx")), "x").join(held.select(F.col("block").alias("y"), F.col("m").alias("my")), "y")
 
     @frugal
@@ -296,10 +298,12 @@ def matrix(units: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
         count = np.diff(np.append(new, len(a)))
         wide = np.repeat(size > FEW, size)
+        give_back()
         kind = np.concatenate([np.zeros(len(new), np.int32), np.ones(int(wide.sum()), np.int32)])
         return pa.table([kind, np.concatenate([a[new], t[wide].view(np.int64)]), np.concatenate([b[new], u[wide]]), np.concatenate([count, np.ones(int(wide.sum()), np.int64)])], ["kind", "x", "y", "c"])
 
     sent = written(units.select("unit", "first").mapInArrow(send, "b int, token long, unit long, tokens binary, units binary"), "matrix")
+    held.unpersist()
     shape = "kind int, x long, y long, c long"
     met = sent.filter("b >= 0").groupBy("b").applyInArrow(meet, shape)
     return written(met.unionByName(sent.filter("b < 0").selectExpr("1 AS kind", "token AS x", "unit AS y", "1L AS c")), "overlaps")
@@ -365,7 +369,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     stars, labels = None, None
     for salt in range(0, ROUNDS * LEADERS, LEADERS):
         tries = written(leader_pairs(reps, labels, salt), "leaders")
-        alone = tries.select(F.explode(F.array("x", "y")).alias("block")).distinct().select("block", F.col("block").alias("doc_id"))
+        alone = written(tries.select(F.explode(F.array("x", "y")).alias("block")).distinct().select("block", F.col("block").alias("doc_id")), "blocks")
         new = written(verify(tries, alone, docs), "stars")
         stars = new if stars is None else stars.unionByName(new)
         labels = written(components(stars), "labels")

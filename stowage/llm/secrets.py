@@ -4,7 +4,9 @@ Plain patterns (assign, access, hex) report as they match. Beyond them, base64 a
 only if their bytes parse: a DER private key (every nested length adds up to the end: PKCS#1, PKCS#8 or SEC 1), an OpenSSH key
 (magic and length-prefixed fields), or a signed token whose header is a JSON object with "alg" and whose payload is JSON.
 
-Defined cases: null or empty text has no spans; offsets are code points, end exclusive; equal spans of one kind appear once.
+Defined cases: null or empty text has no spans; offsets are code points, end exclusive; equal spans of one kind appear once;
+repeated rows, also of one doc_id or without one, each get their own row; an empty table gives no rows; scan() reads only doc_id and
+text, and mask_secrets() passes all columns on, so none clashes.
 """
 
 from __future__ import annotations

@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids or small keys up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a join's side is broadcast; beyond it the join shuffles. The second bound is for joins with whole texts, which cost more to shuffle.
+BROADCAST_BYTES, TEXTS_BROADCAST_BYTES = 8 << 20, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only where that is unset (tests, one machine) a new one is set."""
+    """The folder that the session names in spark.checkpoint.dir. Where that is unset, on one machine a new one is set; a cluster raises."""
     small_batches(spark)
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stowage-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -48,10 +50,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for a broadcast if it has at most limit rows (counted here unless rows is given); else as it is, for a shuffled join."""
+def row_bytes(df: DataFrame) -> int:
+    """What a row of df takes in a broadcast table, roughly."""
+    size = {"bigint": 8, "int": 8, "double": 8, "boolean": 8}
+    return 24 + sum(size.get(kind, 32 if kind in ("string", "binary") else 128) for _, kind in df.dtypes)
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast if it takes at most limit bytes (rows are counted here unless given); else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows * row_bytes(df) <= limit else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until none of the columns has it (upper and lower case count as equal)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -60,16 +76,21 @@ def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns the worker's freed memory to the system: the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A step for mapInArrow that gives its freed memory back when it ends: the worker stays for other tasks."""
+    """A step for mapInArrow that gives its freed memory back when it ends."""
 
     @functools.wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from step(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 
