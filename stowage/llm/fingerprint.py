@@ -7,19 +7,21 @@ mean equal texts; differing branches are followed down to the leaves, which loca
 (with their multiplicity) that both trees have, of the larger tree's leaves.
 
 Defined cases: a null or empty text has a root and no leaf; two of them are alike (1), one of them and any text are not (0);
-documents without a doc_id come last in the order; rows of one doc_id, or without one, follow each other by text.
+documents without a doc_id come last in the order; rows of one doc_id, or without one, follow each other by text; an empty table
+gives no rows; other columns are ignored by the query and kept by fingerprints(), but for one of that name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import documents, pieces
@@ -27,6 +29,8 @@ from .shared import documents, pieces
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Words of a leaf at most, and hex digits of its digest.
 LEAF_WORDS, DIGITS = 12, 8
+#: Ranges of ids at most.
+MOST_RANGES = 20_000
 
 
 def _leaves(paragraph: str) -> list[str]:
@@ -86,9 +90,10 @@ def likeness(a: str, b: str) -> float:
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of a whose digests b hasn't: where the edits are."""
-    there = {p for s in b.split("/")[1:] for p in s.split(":")}
-    return [(i, j) for i, s in enumerate(a.split("/")[1:]) if s not in b.split("/") for j, p in enumerate(s.split(":")) if p not in there]
+    """(section, paragraph) of a whose digests b hasn't: where the edits are. Sections that both have are not opened."""
+    theirs = b.split("/")[1:]
+    there, whole = {p for s in theirs for p in s.split(":")}, set(theirs)
+    return [(i, j) for i, s in enumerate(a.split("/")[1:]) if s not in whole for j, p in enumerate(s.split(":")) if p not in there]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -105,28 +110,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{shape}, fingerprint string")
 
 
+def _ranges(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts key reaches, by two short searches: first among every root of their number, then within one such step."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    reached = lambda values, x: F.size(F.filter(values, lambda c: x >= c))
+    literal = lambda values: F.array(*(F.lit(c).cast("long") for c in values))
+    coarse = reached(literal(cuts[step - 1 :: step]), key)
+    fine = F.get(F.array(*(literal(cuts[i : i + step - 1]) if cuts[i : i + step - 1] else F.array().cast("array<bigint>") for i in range(0, len(cuts) + 1, step))), coarse)
+    return coarse * step + F.coalesce(reached(fine, key), F.lit(0))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, doc_id, text, ghost) such that, bucket by bucket in descending doc_id, each row that is no ghost is followed by its next document.
 
     Buckets are ranges of doc_id. The first document of each is also sent, as a ghost, to the bucket before it, the very first
     one to the last bucket; so nothing needs all documents in one order in one task. One shuffle of the texts.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
-    parts = min(500, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     span = docs.agg(F.min("key").alias("a"), F.count("*").alias("n")).first()
     if not span.n:
         return docs.select(F.lit(0).alias("bucket"), "doc_id", "text", F.lit(False).alias("ghost"))
-    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / (4 * parts) for i in range(1, 4 * parts)], 0.002)} - {span.a})
+    cuts = sorted({int(x) for x in docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.5 / parts)} - {span.a})
     # bucket 0 has the largest ids; a cut is the smallest id of its bucket
-    bucket = F.lit(len(cuts)) - F.coalesce(F.expr(f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + if(key >= c, 1, 0))"), F.lit(0)) if cuts else F.lit(0)
-    rows = docs.withColumn("bucket", bucket.cast("int"))
-    heads = {r.bucket: r.h for r in rows.groupBy("bucket").agg(F.max("key").alias("h")).collect()}
+    rows = docs.withColumn("bucket", (F.lit(len(cuts)) - _ranges(F.col("key"), cuts)).cast("int"))
+    heads = {r.bucket: r.h for r in rows.groupBy("bucket").agg(F.max("key").alias("h")).collect()}  # one row a bucket
     order = sorted(heads)
-    before = {heads[b]: (order[i - 1] if i else order[-1], i == 0) for i, b in enumerate(order)}
-    ghost = F.create_map(*[x for h, (b, _) in before.items() for x in (F.lit(h), F.lit(b))])
+    before = F.broadcast(spark.createDataFrame([(order[i - 1] if i else order[-1], heads[b]) for i, b in enumerate(order)], "bucket int, key long"))
     # of documents that repeat the head's id the ghost is the first by text, as in the bucket's own order
     own = rows.select("bucket", "doc_id", "text", F.lit(False).alias("ghost"), "key")
-    ghosts = docs.filter(F.col("key").isin(list(before))).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select(ghost[F.col("key")].alias("bucket"), "doc_id", "text", F.lit(True).alias("ghost"), "key")
+    ghosts = docs.join(before, "key").groupBy("bucket", "key").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("bucket", "doc_id", "text", F.lit(True).alias("ghost"), "key")
     return own.unionByName(ghosts).repartition(len(order), "bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), F.coalesce("text", F.lit(""))).select("bucket", "doc_id", "text", "ghost")
 
 
