@@ -6,7 +6,8 @@ each payload once a task; over all tasks one place is kept a digest, so equal te
 of their own for each attempt and are complete before any row names them, so a repeated task leaves no wrong place behind.
 Header-only range reads fill the metadata columns; features come from the stored bytes, read back.
 
-Defined cases: a null or empty text is one payload of WIDTH bytes 255; repeated texts share a place; extra columns are ignored.
+Defined cases: a null or empty text is one payload of WIDTH bytes 255; repeated texts share a place, repeated rows each
+get their own row; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,23 +177,21 @@ def metadata(place: DataFrame, folder: str) -> DataFrame:
 
 
 def _features(file, offset: int, length: int) -> tuple:
-    width, height, bits = png_header(file.read_at(HEADER, offset))
     media = file.read_at(length, offset)
     data = from_png(media)
-    if len(data) != width * height * bits // 8:
-        raise ValueError("header and samples differ")
-    return width, height, bits, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)
 
 
 def features(place: DataFrame, folder: str) -> DataFrame:
-    """By digest: metadata from the header read, and what the stored bytes, read back and decoded, show."""
-    names = ["width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    shape = "width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _reads(place, folder, _features, names, shape, [pa.int32()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+    """By digest: what the stored bytes, read back and decoded, show."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    shape = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _reads(place, folder, _features, names, shape, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media-shards")
     rows = store(documents(spark, sf_dir), folder)
-    found = features(places(rows), folder)
+    place = written(places(rows), "media-places")
+    found = features(place, folder).join(metadata(place, folder), "digest")
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
