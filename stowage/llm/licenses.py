@@ -1,12 +1,13 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every rolling two-word hash of every text is looked up among the templates' hashes; the hits join the templates' positions, and
-each hit votes for the diagonal (place in the text minus place in the template). A template of a whole phrase is found where a
+Every rolling two-word hash of every text joins the templates' positions, a fixed table of a few hundred rows; each hit, its two
+words compared, votes for the diagonal (place in the text minus place in the template). A template of a whole phrase is found where a
 diagonal has all its votes. For longer notices neighbouring diagonals (a few words put in or left out) merge, and any span of the
-merged, of twice the template's length at most, is confirmed if enough of the template's distinct two-word steps stand in it. Each hit's two words are compared, not only hashed.
+merged, of twice the template's length at most, is confirmed if enough of the template's distinct two-word steps stand in it.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; first_word and last_word are null where
-n_base is 0; repeated rows each get their own row.
+n_base is 0; repeated rows, also of one doc_id or without one, each get their own row; an empty table gives no rows; only doc_id and
+text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import documents, small, written
+from .shared import documents, written
 
 #: Fixed phrases of the base scan and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -34,6 +35,8 @@ NOTICES = [
     ("gpl-notice", "gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", 0.6),
     ("bsd-notice", "bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.6),
 ]
+#: The hash that stands for a text itself beside its pairs of words.
+WHOLE = 0
 #: How far apart neighbouring diagonals are at most, in words.
 NEAR = 4
 
@@ -41,7 +44,7 @@ NEAR = 4
 def words(text: Column) -> Column:
     """The lower-cased (A-Z) words of a text."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def templates(spark) -> DataFrame:
@@ -56,17 +59,18 @@ def templates(spark) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs."""
-    spark = docs.sparkSession
-    steps = templates(spark)
-    known = sorted({r.h for r in steps.select("h").collect()})
-    w = F.col("w")
-    # the hash of each two words at i, i + 1 (from 0); those of no template go at once, as in a semi join with the fixed table
-    hit = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)).isin(known))
-    hits = F.when(F.size(w) < 2, F.array().cast("array<struct<i:int,w1:string,w2:string>>")).otherwise(F.transform(hit, lambda i: F.struct(i.alias("i"), F.get(w, i).alias("w1"), F.get(w, i + 1).alias("w2"))))
-    rows = written(docs.select("doc_id", words(F.col("text")).alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(w).cast("long").alias("n_words"), hits.alias("hits")), "license-hits")
-
-    found = rows.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").withColumn("h", F.xxhash64("w1", "w2"))
-    votes = found.join(small(steps, 0), ["h", "w1", "w2"]).withColumn("diagonal", F.col("i") - F.col("at"))
+    steps = templates(docs.sparkSession)
+    # one element a rolling pair of words and one, without a second word, for the text itself: that one joins the row of hash null
+    words_ = docs.select("doc_id", words(F.col("text")).alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), "w")
+    pairs = words_.select("row", "doc_id", "n_words", F.posexplode(F.arrays_zip(F.concat("w", F.array(F.lit(""))).alias("w1"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("w2"))).alias("i", "x"))
+    whole = F.col("i") == F.col("n_words")
+    pairs = pairs.filter(whole | F.col("x.w2").isNotNull()).select("row", "doc_id", "n_words", "i", "x.w1", "x.w2", F.when(whole, WHOLE).otherwise(F.xxhash64("x.w1", "x.w2")).alias("h"))
+    places = steps.unionByName(docs.sparkSession.createDataFrame([(WHOLE,)], "h long"), allowMissingColumns=True).withColumnsRenamed({"w1": "t1", "w2": "t2"})
+    hits = pairs.join(F.broadcast(places), "h").filter("t1 IS NULL AND i = n_words OR w1 = t1 AND w2 = t2 AND i < n_words")
+    hits = written(hits.select("row", "doc_id", "n_words", "i", "name", "label", "base", "at", "steps", "share"), "license-hits")
+
+    rows = hits.filter("name IS NULL").select("row", "doc_id", "n_words")
+    votes = hits.filter("name IS NOT NULL").withColumn("diagonal", F.col("i") - F.col("at"))
     lines = votes.filter("base").groupBy("row", "name", "label", "steps", "diagonal").agg(F.count("*").alias("n"))
     base = lines.filter("n = steps").groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set"))
 
