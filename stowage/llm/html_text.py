@@ -8,39 +8,50 @@ block tag is in it (an element on the same pages) or it is on half of the host's
 article and main elements and if it has SIZE tokens: a lone sentence, or an article's copies, repeat in the same way. The class on most pages is the page's frame and the others nest in it.
 On a page a class counts only if its tokens stand in one slot of the frame, in order; else its tokens are that page's own.
 What template tokens don't cover are the slots. The main text is the slots' text in the page's content element (article, else
-main, else an element named for content, else the body), without elements that are by tag, role or name menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments. Template text goes inside an article or main element too, unless that leaves the page
-no text: then its article or main element keeps its text.
-
-Defined cases: null or empty html gives an empty text; a null url is a host of its own; unclosed and stray tags are tolerated;
-blocks repeat in the result as often as on the page.
+main, else an element named for content that has half of the page's own text, else the body), without elements that are by tag, role
+or name menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. A name that only may say so doesn't drop a
+heading or paragraph unless its tag is template too. Template text goes inside an article or main element too, unless
+its class has the page's title or template text is two thirds of the element's: then it is an article's copies.
+
+Defined cases: null or empty html gives an empty text; a null url is a host of its own; unclosed and stray tags are tolerated, at
+any depth; blocks repeat in the result as often as on the page; repeated rows count as pages and get a row each; an empty table gives
+no rows; only page_id, url and html are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small, small_batches, written
+from .shared import frugal, pieces, small, small_batches, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|([^<]+)|(<)""",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th blockquote fieldset".split())
 DROP_TAGS = frozenset("aside button dialog footer form head menu nav title".split())
-DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies discussion disqus respond share sharing social related recommended recommendations widget toolbar pagination pager login signup search copyright".split())
+#: Names (class, id) of parts to drop: those that say so wherever they stand, and those that on a line of text (LINES) need the template's word.
+CERTAIN_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription comment comments disqus respond reply replies".split())
+DROP_NAMES = CERTAIN_NAMES | frozenset("popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer discussion share sharing social related recommended recommendations widget toolbar pagination pager login signup search copyright".split())
+#: Words that may stand beside such a word in one name without another meaning.
+BESIDE = frozenset("site page main top bottom left right header box block area bar wrap wrapper container list item items button buttons link links section widget primary secondary global form post posts article articles user reader inner outer slot unit thread content text body row col column group panel icon icons js".split())
+#: Tags of single lines or paragraphs.
+LINES = frozenset("h1 h2 h3 h4 h5 h6 p pre".split())
 HEAD_NAMES = frozenset("header masthead topbar".split())
 DROP_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar".split())
 CONTENT_NAMES = frozenset("content post entry story article articlebody maincontent".split())
@@ -51,12 +62,12 @@ SIZE = 2
 
 
 def _attributes(raw: str) -> tuple[str, frozenset, str]:
-    """role, the words of class and id, and hidden, content or nothing."""
+    """role, the names of class and id, and hidden, content or nothing."""
     names, role, state = [], "", ""
     for name, value in ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            names += re.split(r"[^a-z0-9]+", value)
+            names += value.split()
         elif name == "role":
             role = value
         elif name == "itemprop":
@@ -66,13 +77,41 @@ def _attributes(raw: str) -> tuple[str, frozenset, str]:
     return role, frozenset(names), state
 
 
-def parse(page: str | None) -> list[tuple[str, str, int, bool]]:
-    """The page's tokens in order: (path, text, level, dropped). text is empty for a block tag.
+@functools.lru_cache(50_000)
+def _meaning(name: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a class or id names a part to drop for certain, one to drop, a page's head, the content."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    plain = all(w in DROP_NAMES or w in HEAD_NAMES or w in BESIDE for w in words)
+    return plain and any(w in CERTAIN_NAMES for w in words), plain and any(w in DROP_NAMES for w in words), plain and any(w in HEAD_NAMES for w in words), any(w in CONTENT_NAMES for w in words)
+
+
+class Token(NamedTuple):
+    """A block tag (text empty) or a text block. digest: of the path of tags and names to it, and its text; level: 3 in an article,
+    2 in main, 1 in an element named for content, 0 elsewhere; doubt: the place of the tag that its name may drop, or -1; title: in an h1."""
+
+    digest: int
+    text: str
+    level: int
+    dropped: bool
+    doubt: int
+    title: bool
+
+
+class _Open(NamedTuple):
+    tag: str
+    path: int
+    level: int
+    dropped: bool
+    doubt: int
+    p: int  # where in the stack the p and the li stand that a new block or li ends; 0 for none
+    li: int
 
-    level: 3 in an article, 2 in main, 1 in an element named for content, 0 elsewhere.
-    """
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, level, dropped
+
+def parse(page: str | None) -> list[Token]:
+    """The page's tokens in order. Paths are rolling hashes and implied ends are kept with each open element, so depth costs nothing."""
+    out: list[Token] = []
+    stack = [_Open("", 0, 0, False, -1, 0, 0)]
+    open_: Counter = Counter()
     held: list[str] = []
 
     def flush() -> None:
@@ -80,7 +119,13 @@ def parse(page: str | None) -> list[tuple[str, str, int, bool]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((stack[-1][1], text, *stack[-1][2:]))
+                top = stack[-1]
+                out.append(Token(xxhash.xxh3_64_intdigest(text, top.path) - (1 << 63), text, top.level, top.dropped, top.doubt, top.tag == "h1"))
+
+    def end(at: int) -> None:
+        for x in stack[at:]:
+            open_[x.tag] -= 1
+        del stack[at:]
 
     for raw_tag, close, tag, attributes, text, stray in TOKEN.findall(page or ""):
         if text or stray:
@@ -97,66 +142,72 @@ def parse(page: str | None) -> list[tuple[str, str, int, bool]]:
         if block:
             flush()
         if close:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if open_[tag] > 0:
+                while stack[-1].tag != tag:
+                    open_[stack.pop().tag] -= 1
+                open_[stack.pop().tag] -= 1
             continue
         if tag in VOID:
             continue
+        role, names, state = _attributes(attributes) if attributes else ("", frozenset(), "")
+        means = [any(x) for x in zip(*map(_meaning, names), strict=True)] if names else [False] * 4
         if not block:
-            role, names, state = _attributes(attributes) if attributes else ("", frozenset(), "")
-            if state == "hidden" or names & DROP_NAMES:
+            top = stack[-1]
+            if state == "hidden" or means[1]:
                 flush()
-                stack.append((tag, f"{stack[-1][1]}/{tag}", stack[-1][2], True))
-            elif stack[-1][3] and len(stack) > 1 and stack[-1][0] == tag:
-                stack.append((tag, *stack[-1][1:]))  # so that its end doesn't end the dropped element
+                open_[tag] += 1
+                stack.append(top._replace(tag=tag, path=xxhash.xxh3_64_intdigest(tag, top.path), dropped=True))
+            elif top.dropped and top.tag == tag:
+                open_[tag] += 1
+                stack.append(top)  # so that its end doesn't end the dropped element
             continue
-        for ends in ("p",) if tag != "li" else ("p", "li"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE or ends == "li" and stack[i][0] in ("ul", "ol"):
-                    break
-        _, path, level, dropped = stack[-1]
-        role, names, state = _attributes(attributes) if attributes else ("", frozenset(), "")
-        level = max(level, 3 if tag == "article" or state == "content" else 2 if tag == "main" or role == "main" else 1 if names & CONTENT_NAMES and tag != "body" else 0)
-        head = tag == "header" or role == "banner" or bool(names & HEAD_NAMES)
-        # names on the page's own frame (html, body, article, main) describe the page, not a part to drop, but for comments
-        named = names & DROP_NAMES if tag not in ("html", "body", "article", "main") else names & {"comment", "comments", "reply", "replies"}
-        dropped = dropped or tag in DROP_TAGS or bool(named) or role in DROP_ROLES or state == "hidden" or head and level < 2
-        path = f"{path}/{tag}{'.' + '.'.join(sorted(names)) if names - {''} else ''}"
-        out.append((path, "", level, dropped))
-        stack.append((tag, path, level, dropped))
+        if stack[-1].p:
+            end(stack[-1].p)
+        if tag == "li" and stack[-1].li:
+            end(stack[-1].li)
+        top = stack[-1]
+        level = max(top.level, 3 if tag == "article" or state == "content" else 2 if tag == "main" or role == "main" else 1 if means[3] and tag != "body" else 0)
+        head = tag == "header" or role == "banner" or means[2]
+        certain, named = means[0], means[1]
+        if tag in ("html", "body", "article", "main"):
+            # names on the page's own frame describe the page, not a part to drop, but for comments
+            certain = named = any(w in ("comment", "comments", "reply", "replies") for n in names if _meaning(n)[0] for w in re.split(r"[^a-z]+", n))
+        doubtful = named and not certain and tag in LINES
+        dropped = top.dropped or tag in DROP_TAGS or named and not doubtful or role in DROP_ROLES or state == "hidden" or head and level < 2
+        shown = ".".join(sorted(n for n in names if not re.search(r"\d", n)))  # names with numbers are often of one page
+        path = xxhash.xxh3_64_intdigest(f"{tag}.{shown}", top.path)
+        doubt = len(out) if doubtful else top.doubt
+        out.append(Token(path - (1 << 63), "", level, dropped, doubt, False))
+        scope, at = tag in SCOPE, len(stack)
+        stack.append(_Open(tag, path, level, dropped, doubt, at if tag == "p" else 0 if scope else top.p, at if tag == "li" else 0 if scope or tag in ("ul", "ol") else top.li))
+        open_[tag] += 1
     flush()
     return out
 
 
-def _digest(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
-
-
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://|[/?#].*$", "", (url or "").lower(), flags=re.S)
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """host, token, tag, n, page, key of every page's different tokens, and a row without a token for the page itself; key is the html's digest."""
+    """host, token, tag, n, row, key of every page's different tokens, and one without a token for the page itself; row numbers the pages, key is the html's digest."""
 
+    @frugal
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in pieces(batch, 64):
                 rows = []
-                for page, url, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for url, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     host, key = host_of(url), _key(raw)
-                    rows += [(host, token, tag, n, page, key) for (token, tag), n in Counter((_digest(p, t), not t) for p, t, _, _ in parse(raw)).items()]
-                    rows.append((host, None, False, 1, page, key))
+                    rows += [(host, token, tag, n, row, key) for (token, tag), n in Counter((t.digest, not t.text) for t in parse(raw)).items()]
+                    rows.append((host, None, False, 1, row, key))
+                    row += 1
                 if rows:
                     types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "tag", "n", "page", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "token", "tag", "n", "row", "key"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(tokens, "host string, token long, tag boolean, n long, page long, key binary")
+    return pages.select("url", "html").mapInArrow(tokens, "host string, token long, tag boolean, n long, row long, key binary")
 
 
 def _key(raw: str | None) -> bytes:
@@ -165,7 +216,7 @@ def _key(raw: str | None) -> bytes:
 
 def deduced(pages: DataFrame) -> DataFrame:
     """host, token, pages, first, sure: the templates' tokens. pages and first (its least token) name a host's class."""
-    vectors = _tokens(pages).groupBy("host", "token", "tag").agg(F.count("*").alias("pages"), F.expr("bit_xor(xxhash64(page, n))").alias("vector")).filter(F.col("pages") >= SUPPORT)
+    vectors = _tokens(pages).groupBy("host", "token", "tag").agg(F.count("*").alias("pages"), F.expr("bit_xor(xxhash64(row, n))").alias("vector")).filter(F.col("pages") >= SUPPORT)
     vectors = written(vectors, "html-tokens")
     totals = vectors.filter("token IS NULL").select("host", F.col("pages").alias("all"))
     by = ["host", "pages", "vector"]
@@ -174,11 +225,11 @@ def deduced(pages: DataFrame) -> DataFrame:
     return written(vectors.filter("token IS NOT NULL").drop("tag").join(classes.drop("size"), by).drop("vector"), "html-templates")
 
 
-def slots(tokens: list, known: dict[int, tuple]) -> list[tuple | None]:
+def slots(tokens: list[Token], known: dict[int, tuple]) -> list[tuple | None]:
     """The class of each of a page's tokens, None for the page's own: those no valid class has. known: token -> (-pages, first, sure)."""
     at_: dict[tuple, list[int]] = {}
-    for i, (path, text, _, _) in enumerate(tokens):
-        found = known.get(_digest(path, text))
+    for i, t in enumerate(tokens):
+        found = known.get(t.digest)
         if found is not None:
             at_.setdefault(found, []).append(i)
     out: list[tuple | None] = [None] * len(tokens)
@@ -187,7 +238,7 @@ def slots(tokens: list, known: dict[int, tuple]) -> list[tuple | None]:
         at = at_[found]
         # a nested class stands in one slot of the frame
         if frame and len(at) > 1 and bisect_left(frame, at[-1]) > bisect_left(frame, at[0]):
-            at = [i for i in at if tokens[i][1]]
+            at = [i for i in at if tokens[i].text]
         for i in at:
             out[i] = found
         frame = frame or at
@@ -197,17 +248,26 @@ def slots(tokens: list, known: dict[int, tuple]) -> list[tuple | None]:
 def main_text(page: str | None, known: dict[int, tuple] | None) -> str:
     tokens = parse(page)
     found = slots(tokens, known or {})
-    best = max((level for _, text, level, dropped in tokens if text and not dropped), default=0)
-    content = [i for i, (_, text, level, dropped) in enumerate(tokens) if text and not dropped and level >= best]
-    kept = [i for i in content if found[i] is None or tokens[i][2] >= 2 and not found[i][2]]
+    size = lambda which: sum(len(tokens[i].text) for i in which)
+    # a line whose name alone may drop it goes if its tag is template, or where a host's pages are too few to tell
+    able = [i for i, t in enumerate(tokens) if t.text and not t.dropped and not (t.doubt >= 0 and (not known or found[t.doubt] is not None))]
+    best = max((tokens[i].level for i in able), default=0)
+    content = [i for i in able if tokens[i].level >= best]
+    if best == 1 and 2 * size(content) < size(i for i in able if found[i] is None):
+        best, content = 0, able  # a name alone doesn't leave out most of the page's own text
+    # a class that has the page's title is an article's copies, no template
+    copied = {found[i] for i in content if tokens[i].title}
+    kept = [i for i in content if found[i] is None or tokens[i].level >= 2 and (not found[i][2] or found[i] in copied)]
+    if best >= 2 and 3 * size(kept) < size(content):
+        kept = content  # two thirds of an article on other pages too: copies
     if not kept and content:
-        # a copy of other pages: its article's text, or elsewhere that of its rarest class, if that isn't a template for certain
+        # elsewhere a copy of other pages has the text of its rarest class, if that isn't a template for certain
         rarest = max(found[i] for i in content)
-        kept = content if best >= 2 else [i for i in content if found[i] == rarest and not rarest[2]]
-    return "\n\n".join(tokens[i][1] for i in kept)
+        kept = [i for i in content if found[i] == rarest and not rarest[2]]
+    return "\n\n".join(tokens[i].text for i in kept)
 
 
-def extract(pages: DataFrame, limit: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, limit: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages. Templates of up to limit tokens are broadcast; beyond that each page gets its own tokens' classes by a join."""
     names, types = ["page_id", "url", "text", "n_chars"], "page_id long, url string, text string, n_chars long"
     template = deduced(pages)
@@ -218,6 +278,7 @@ def extract(pages: DataFrame, limit: int = 200_000) -> DataFrame:
             by_host.setdefault(r.host, {})[r.token] = (-r.pages, r.first, r.sure)
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts = shared.value if shared else {}
         for batch in batches:

@@ -278,7 +278,7 @@ def test_html(spark, folder):
     got = run(spark, "op10_html_extraction", d).set_index("page_id").text
     assert got.to_dict() == {0: "", 1: "", 2: "plain text", 3: "T & x\n\none two\n\nthree"}
     page = '<body><header>H</header><div class="sidebar">S</div><div class="cookie-notice">N</div><main><h1>T</h1><p>a&nbsp; b</p><aside>x</aside><form>q</form><script>1<2</script><p>c</p><section class="comments"><article class="comment">no</article></section></main><div id="footer">F</div></body>'
-    assert html_text.main_text(page, []) == "T\n\na b\n\nc"
+    assert html_text.main_text(page, {}) == "T\n\na b\n\nc"
 
 
 def _pages(spark, pages):
@@ -293,6 +293,58 @@ def test_html_template_inside_articles(spark):
     assert got == {i: f"Title {i}\n\nown {i}" if i < 5 else "the same\n\ntext" for i in range(10)}
 
 
+def test_html_names_and_depth():
+    text = lambda h, known=None: html_text.main_text(h, known)
+    assert text('<article><p>a</p><p data-id="footer">keep me</p><p data-class=ad>b</p></article>') == "a\n\nkeep me\n\nb"
+    assert text('<article><section class="related-work"><p>kept</p></section><div class="related-posts">x</div><div class="site-footer">x</div><p>b</p></article>') == "kept\n\nb"
+    page = '<article><h2 class="search">On search</h2><p>b</p></article>'
+    tag = next(t.digest for t in html_text.parse(page) if t.doubt >= 0)
+    other = {1: (-9, 1, True)}
+    assert text(page, other) == "On search\n\nb" and text(page, {tag: (-9, tag, True), **other}) == "b" == text(page)
+    assert text('<div class="content"><p>short</p></div><p>' + "most of the text " * 9 + "</p>").startswith("short\n\nmost")
+    deep = "<div>" * 100_000 + "x" + "</div>" * 100_000 + "<p><ul>" * 20_000 + "<h1>" * 20_000 + "y"
+    assert text(deep) == "x\n\ny"
+
+
+def test_html_classes_are_those_of_brute_force(spark):
+    """Tokens, occurrence vectors and classes of small hosts against dictionaries, repeated and id-less pages too."""
+    rng = random.Random(3)
+    blocks = ["<div class=m><a>Home</a></div>", "<p>same</p>", "<ul><li>x<li>y</ul>", "<p>other</p><p>other</p>", '<div id="n7">n</div>']
+    pages = [(f"http://h{i % 3}/p", "<body>" + "".join(b for b in blocks if rng.random() < 0.7) + f"<p>own {i % 11}</p></body>") for i in range(40)]
+    frame = spark.createDataFrame([(None if i % 4 else 1, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    vectors = {}
+    for i, (u, h) in enumerate(pages):
+        for (token, tag), n in Counter((t.digest, not t.text) for t in html_text.parse(h)).items():
+            vectors.setdefault((u[7:9], token, tag), set()).add((i, n))
+    classes = {}
+    for (host, token, tag), v in vectors.items():
+        if len(v) >= html_text.SUPPORT:
+            classes.setdefault((host, frozenset(v)), []).append((token, tag))
+    want = set()
+    for (host, v), tokens in classes.items():
+        sure = any(tag for _, tag in tokens) or 2 * len(v) >= sum(u[7:9] == host for u, _ in pages)
+        if sure or len(tokens) >= html_text.SIZE:
+            want |= {(host, t, len(v), min(tokens)[0], sure) for t, _ in tokens}
+    got = {(r.host, r.token, r.pages, r.first, r.sure) for r in html_text.deduced(frame).collect()}
+    assert got == want and len({x[3] for x in want}) > 6
+
+
+def test_html_classes_decide(spark):
+    """What the classes find is not in the text; without them it would be."""
+    pages = [("http://a/x", f'<article><h1>T {i}</h1><p>own text {i}</p><div>Read our terms</div></article>') for i in range(6)]
+    got = [r.text for r in html_text.extract(_pages(spark, pages)).collect()]
+    assert "terms" not in "".join(got) and all("terms" in html_text.main_text(h, {}) for _, h in pages)
+
+
+def test_html_near_copies_of_an_article_keep_it(spark):
+    """Four of five pages share most of an article, one with another title and one with an own end."""
+    body = "".join(f"<p>shared paragraph {k}</p>" for k in range(6))
+    pages = [("http://a/x", f"<article><h1>{'Other' if i == 2 else 'Title'}</h1>{body}{'<p>end</p>' if i == 1 else ''}</article>") for i in range(4)] + [("http://a/x", "<article><h1>Z</h1><p>z</p></article>")]
+    got = {r.page_id: r.text for r in html_text.extract(_pages(spark, pages)).collect()}
+    shared = "\n\n".join(f"shared paragraph {k}" for k in range(6))
+    assert got == {0: f"Title\n\n{shared}", 1: f"Title\n\n{shared}\n\nend", 2: f"Other\n\n{shared}", 3: f"Title\n\n{shared}", 4: "Z\n\nz"}
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_html_layouts_of_one_host(spark, limit):
     """Three layouts, a third of the pages each: unnamed menus go, a repeated sentence and an article's copies stay."""
