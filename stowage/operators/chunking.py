@@ -8,28 +8,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
 
 
+def pieces_of(body: str, size: int, at: str) -> Column:
+    """The body's pieces of size bytes, the last one shorter, as an array of (at, data): exploded, no row carries the whole body."""
+    return F.expr(f"transform(sequence(0, cast(ceil(octet_length({body}) / {size}) AS INT) - 1), i -> struct(i AS {at}, substring({body}, i * {size} + 1, {size}) AS data))")
+
+
 def split_fixed(objects: DataFrame, size: int, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
-    """keys, chunk_index, chunk_id, size, data: body in pieces of size bytes, the last one shorter; an empty body has none."""
+    """keys, chunk_index, chunk_id, size, data: body in pieces of size bytes, the last one shorter; an empty body has none. Also on a stream of objects."""
     if size < 1:
         raise ValueError("size must be positive")
-    n = F.ceil(F.octet_length("body") / size).cast("int")
-    parts = objects.filter(F.octet_length("body") > 0).select(*keys, "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    data = F.expr(f"substring(body, chunk_index * {size} + 1, {size})")
-    return parts.select(*keys, "chunk_index", data.alias("data")).select(*keys, "chunk_index", content_id(F.col("data")).alias("chunk_id"), F.octet_length("data").cast("long").alias("size"), "data")
+    parts = objects.filter(F.octet_length("body") > 0).select(*keys, F.explode(pieces_of("body", size, "chunk_index")).alias("x")).select(*keys, "x.*")
+    return parts.select(*keys, "chunk_index", content_id(F.col("data")).alias("chunk_id"), F.octet_length("data").cast("long").alias("size"), "data")
 
 
 def join_chunks(chunks: DataFrame, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
-    """keys, body, size, sha_ok, size_ok: chunks (chunk_index, chunk_id, size, data) put together in order and verified."""
+    """keys, body, size, sha_ok, size_ok: chunks (chunk_index, chunk_id, size, data) put together in order, as bytes, and verified."""
     good = F.sha2("data", 256) == F.col("chunk_id")
     fits = F.octet_length("data") == F.col("size")
-    held = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("c"), F.sum("size").alias("size"), F.bool_and(good).alias("sha_ok"), F.bool_and(fits).alias("size_ok"))
-    return held.select(*keys, F.expr("unhex(array_join(transform(c, x -> hex(x.data)), ''))").alias("body"), "size", "sha_ok", "size_ok")
+    body = F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY chunk_index)")
+    return chunks.groupBy(*keys).agg(body.alias("body"), F.sum("size").alias("size"), F.bool_and(good).alias("sha_ok"), F.bool_and(fits).alias("size_ok"))
+
+
+def read_objects(refs: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
+    """keys, status, body: the objects of refs (chunk_index, chunk_id, size) in order from stored (chunk_id, data).
+
+    status is ok, or the first chunk's fault: missing, or size where its length isn't the reference's; body is null then.
+    """
+    held = refs.join(stored.select("chunk_id", "data"), "chunk_id", "left")
+    fault = F.when(F.col("data").isNull(), "missing").when(F.octet_length("data") != F.col("size"), "size")
+    by = held.groupBy(*keys).agg(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY chunk_index)").alias("body"), F.min_by(fault, F.when(fault.isNotNull(), F.col("chunk_index"))).alias("fault"))
+    return by.select(*keys, F.coalesce("fault", F.lit("ok")).alias("status"), F.when(F.col("fault").isNull(), F.col("body")).alias("body"))
 
 
 def dedup_stats(chunks: DataFrame) -> DataFrame:
@@ -91,19 +105,21 @@ def cut_points(data: bytes, config: ContentDefined) -> list[int]:
     return ends
 
 
-def split_content(objects: DataFrame, config: ContentDefined = ContentDefined()) -> DataFrame:
-    """bucket, key, chunk_index, offset, size, chunk_id of content-defined chunks (Arrow batches: cuts are sequential in a body)."""
+def split_content(objects: DataFrame, config: ContentDefined = ContentDefined(), data: bool = False) -> DataFrame:
+    """bucket, key, chunk_index, offset, size, chunk_id (and data, if asked for) of content-defined chunks (Arrow batches: cuts are sequential in a body)."""
+    names = ["bucket", "key", "chunk_index", "offset", "size", "chunk_id", *(["data"] if data else [])]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for bucket, key, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = 0
-                for i, end in enumerate(cut_points(body or b"", config)):
-                    rows.append((bucket, key, i, at, end - at, hashlib.sha256(body[at:end]).hexdigest()))
+            for bucket, key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held, at = memoryview(body.as_buffer() or b""), 0  # pieces are hashed where they are
+                for i, end in enumerate(cut_points(held, config)):
+                    rows.append((bucket, key, i, at, end - at, hashlib.sha256(held[at:end]).hexdigest(), *([bytes(held[at:end])] if data else [])))
                     at = end
             if rows:
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "key", "chunk_index", "offset", "size", "chunk_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    return objects.select("bucket", "key", "body").mapInArrow(run, "bucket string, key string, chunk_index int, offset long, size long, chunk_id string")
+    shape = "bucket string, key string, chunk_index int, offset long, size long, chunk_id string" + (", data binary" if data else "")
+    return objects.select("bucket", "key", "body").mapInArrow(run, shape)

@@ -1,4 +1,4 @@
-"""Reed-Solomon over GF(2^8), polynomial 0x11d: numpy kernels on Arrow batches, and the relational form over a multiplication table."""
+"""Reed-Solomon over GF(2^8), polynomial 0x11d: numpy kernels on Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
+from .chunking import pieces_of
 
 POLYNOMIAL = 0x11D
 
@@ -105,11 +106,15 @@ def parse_code(text):
 
 def stripes(objects: DataFrame, k: int, shard: int, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
     """keys, stripe_index, stripe_id, data_len, data: the body in zero-padded stripes of k * shard bytes."""
-    size = k * shard
-    n = F.ceil(F.octet_length("body") / size).cast("int")
-    rows = objects.filter(F.octet_length("body") > 0).select(*keys, "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("stripe_index"))
-    cut = rows.select(*keys, "stripe_index", F.expr(f"substring(body, stripe_index * {size} + 1, {size})").alias("raw"))
-    return cut.select(*keys, "stripe_index", F.octet_length("raw").alias("data_len"), F.expr(f"rpad(raw, {size}, X'00')").alias("data")).withColumn("stripe_id", content_id(F.col("data")))
+    cut = objects.filter(F.octet_length("body") > 0).select(*keys, F.explode(pieces_of("body", k * shard, "stripe_index")).alias("x")).select(*keys, "x.*")
+    padded = F.expr(f"rpad(data, {k * shard}, X'00')")
+    return cut.select(*keys, "stripe_index", F.octet_length("data").alias("data_len"), padded.alias("data")).withColumn("stripe_id", content_id(F.col("data")))
+
+
+def content_stripes(chunks: DataFrame, k: int, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
+    """keys, stripe_index, stripe_id, data_len, data of content-defined chunks (chunk_index, data): each is a stripe, padded to a multiple of k."""
+    padded = F.expr(f"rpad(data, cast(greatest(1, ceil(octet_length(data) / {k})) * {k} AS INT), X'00')")
+    return chunks.select(*keys, F.col("chunk_index").alias("stripe_index"), F.octet_length("data").alias("data_len"), padded.alias("data")).withColumn("stripe_id", content_id(F.col("data")))
 
 
 def shards(stripe: DataFrame, k: int, m: int) -> DataFrame:
@@ -126,37 +131,74 @@ def shards(stripe: DataFrame, k: int, m: int) -> DataFrame:
     return stripe.select("stripe_id", "data").dropDuplicates(["stripe_id"]).mapInArrow(run, "stripe_id string, shard_index int, shard_id string, data binary")
 
 
+def _held(held: DataFrame) -> DataFrame:
+    """stripe_id, s: each stripe's shards in order. Dealt by stripe at once, so that what reads it twice makes the shards once."""
+    return held.repartition("stripe_id").groupBy("stripe_id").agg(F.array_sort(F.collect_list(F.struct("shard_index", "data"))).alias("s"))
+
+
 def rebuilt(held: DataFrame, k: int, m: int) -> DataFrame:
     """stripe_id, degraded, data (null if fewer than k shards): stripes with all data shards are joined in the JVM, only degraded ones reach Python."""
-    by = held.groupBy("stripe_id").agg(F.array_sort(F.collect_list(F.struct("shard_index", "data"))).alias("s"), F.count_if(F.col("shard_index") < k).alias("n_data"), F.count("*").alias("n"))
-    whole = by.filter(F.col("n_data") == k).select("stripe_id", F.lit(False).alias("degraded"), F.expr(f"unhex(array_join(transform(slice(s, 1, {k}), x -> hex(x.data)), ''))").alias("data"))
+    by = _held(held).withColumn("n_data", F.size(F.filter("s", lambda x: x["shard_index"] < k)))
+    whole = by.filter(F.col("n_data") == k).select("stripe_id", F.lit(False).alias("degraded"), F.concat(*(F.get("s", F.lit(i))["data"] for i in range(k))).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for s in batch.column(1).to_pylist():
-                have: list = [None] * (k + m)
-                for x in s:
-                    have[x["shard_index"]] = np.frombuffer(x["data"], np.uint8)
-                out.append(b"".join(x.tobytes() for x in reconstruct(have, k)[:k]) if len(s) >= k else None)
+                out.append(b"".join(x.tobytes() for x in reconstruct(_placed(s, k + m), k)[:k]) if len(s) >= k else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * len(out)), pa.array(out, pa.binary())], ["stripe_id", "degraded", "data"])
 
     return whole.unionByName(by.filter(F.col("n_data") < k).select("stripe_id", "s").mapInArrow(run, "stripe_id string, degraded boolean, data binary"))
 
 
+def _placed(s: list[dict], n: int) -> list[np.ndarray | None]:
+    have: list = [None] * n
+    for x in s:
+        have[x["shard_index"]] = np.frombuffer(x["data"], np.uint8)
+    return have
+
+
+def read_bodies(refs: DataFrame, held: DataFrame, k: int, m: int, keys: tuple[str, ...] = ("bucket", "key")) -> DataFrame:
+    """keys, body, degraded: objects (refs: stripe_index, stripe_id, data_len) read from the shards that are held and verify.
+
+    held: stripe_id, shard_index, shard_id, data. Stripes are rebuilt where needed and trimmed to data_len; body is null where a
+    stripe has fewer than k shards.
+    """
+    good = held.filter(F.sha2("data", 256) == F.col("shard_id")).select("stripe_id", "shard_index", "data")
+    both = refs.join(rebuilt(good, k, m), "stripe_id", "left").withColumn("data", F.expr("substring(data, 1, data_len)"))
+    by = both.groupBy(*keys).agg(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY stripe_index)").alias("body"), F.bool_and(F.col("data").isNotNull()).alias("whole"), F.bool_or(F.coalesce("degraded", F.lit(True))).alias("degraded"))
+    return by.select(*keys, F.when(F.col("whole"), F.col("body")).alias("body"), "degraded")
+
+
+def repaired(held: DataFrame, plan: DataFrame, k: int, m: int) -> DataFrame:
+    """stripe_id, shard_index, addr, shard_id, data: each planned shard made anew from the first k that are held, and its new place.
+
+    plan: stripe_id, shard_index, new_addr (null: none). Data shards are reconstructed, lost parity is encoded again from the data, in one
+    pass by stripe. shard_id and data are null where a stripe has fewer than k shards: the repair failed.
+    """
+    dead = plan.filter("new_addr IS NOT NULL").groupBy("stripe_id").agg(F.array_sort(F.collect_list(F.struct("shard_index", "new_addr"))).alias("dead"))
+    both = dead.join(_held(held), "stripe_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sid, dead_, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = None
+                if s is not None and len(s) >= k:
+                    data = np.stack(reconstruct(_placed(s[:k], k + m), k)[:k])
+                    data = np.concatenate([data, encode(data, m)]) if any(x["shard_index"] >= k for x in dead_) else data
+                for x in dead_:
+                    new = data[x["shard_index"]].tobytes() if data is not None else None
+                    rows.append((sid, x["shard_index"], x["new_addr"], new and hashlib.sha256(new).hexdigest(), new))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], ["stripe_id", "shard_index", "addr", "shard_id", "data"])
+
+    return both.select("stripe_id", "dead", "s").mapInArrow(run, "stripe_id string, shard_index int, addr string, shard_id string, data binary")
+
+
 def gf_rows(spark: SparkSession) -> DataFrame:
     """a, b, p of all 65,536 products, in the JVM: exponents and logarithms of 2 by a fold."""
     t = mul_table()
     rows = [(int(a), t[a].tobytes()) for a in range(256)]
     x = spark.createDataFrame(rows, "a int, row binary")
     return x.select("a", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("b"), "row").select("a", "b", F.conv(F.hex(F.expr("substring(row, b + 1, 1)")), 16, 10).cast("int").alias("p"))
-
-
-def parity_relational(stripe: DataFrame, k: int, m: int, shard: int) -> DataFrame:
-    """stripe_id, p, pos, value: parity bytes as a join with coefficients and products, folded by bit_xor. For checks, not for speed."""
-    e = encoding_matrix(k, m)[k:]
-    coef = stripe.sparkSession.createDataFrame([(p, c, int(e[p, c])) for p in range(m) for c in range(k)], "p int, c int, coef int")
-    bytes_ = stripe.select("stripe_id", "data").dropDuplicates(["stripe_id"]).select("stripe_id", "data", F.explode(F.sequence(F.lit(0), F.lit(k * shard - 1))).alias("i"))
-    bytes_ = bytes_.select("stripe_id", (F.col("i") / shard).cast("int").alias("c"), (F.col("i") % shard).alias("pos"), F.conv(F.hex(F.expr("substring(data, i + 1, 1)")), 16, 10).cast("int").alias("b"))
-    products = F.broadcast(gf_rows(stripe.sparkSession).withColumnsRenamed({"a": "coef", "p": "product"}))
-    return bytes_.join(F.broadcast(coef), "c").join(products, ["coef", "b"]).groupBy("stripe_id", "p", "pos").agg(F.bit_xor("product").alias("value"))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed bounds of the duration histogram, in seconds.
 LADDER = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
-OPERATIONS = ("put_object", "delete_object", "create_bucket", "delete_bucket", "multipart_create", "multipart_part", "multipart_complete", "multipart_abort", "add_dn", "remove_dn")
+#: Fixed names of the log's operations, as they stand in its lines.
+OPERATIONS = (
+    "put_object",
+    "delete_object",
+    "create_bucket",
+    "delete_bucket",
+    "create_multipart_upload",
+    "put_multipart_part",
+    "complete_multipart_upload",
+    "abort_multipart_upload",
+    "add_runtime_dn",
+    "remove_runtime_dn",
+)
 
 
 def since(log: DataFrame, seq: int) -> DataFrame:
@@ -33,11 +45,23 @@ def merge(snapshot: DataFrame, log: DataFrame, seq: int) -> DataFrame:
 
 
 def liveness(probes: DataFrame, threshold: int = 3) -> DataFrame:
-    """addr, total_probes, consec_fails, healthy, latency_ms of the last probe: the fold of a node's probes in order of seq."""
-    w = Window.partitionBy("addr").orderBy("seq")
-    own = probes.withColumn("n", F.row_number().over(w))
-    by = own.groupBy("addr").agg(F.count("*").alias("total_probes"), (F.max("n") - F.coalesce(F.max(F.when(F.col("ok"), F.col("n"))), F.lit(0))).cast("long").alias("consec_fails"), F.max_by("latency_ms", "seq").alias("latency_ms"), F.max(F.when(F.col("ok"), F.col("seq"))).alias("last_ok"))
-    return by.withColumn("healthy", F.col("consec_fails") < threshold)
+    """addr, total_probes, consec_fails, healthy, latency_ms of the last probe: the fold of a node's probes in order of seq.
+
+    Two aggregates with map-side combining: the last success, then the probes behind it. A row a node is broadcast between them.
+    """
+    by = probes.groupBy("addr").agg(F.count("*").alias("total_probes"), F.max_by("latency_ms", "seq").alias("latency_ms"), F.max(F.when(F.col("ok"), F.col("seq"))).alias("last_ok"))
+    behind = probes.join(F.broadcast(by.select("addr", "last_ok")), "addr").filter("last_ok IS NULL OR seq > last_ok").groupBy("addr").agg(F.count("*").alias("consec_fails"))
+    out = by.join(behind, "addr", "left").withColumn("consec_fails", F.coalesce("consec_fails", F.lit(0)).cast("long"))
+    return out.select("addr", "total_probes", "consec_fails", "latency_ms", "last_ok").withColumn("healthy", F.col("consec_fails") < threshold)
+
+
+def state_of(log: DataFrame) -> DataFrame:
+    """bucket, key, seq, version of the live keys: puts since the last delete count up, a logged completion brings its own version (logged_version) and later puts count on from it."""
+    by = log.groupBy("bucket", "key").agg(F.max(F.when(F.col("op") == "delete_object", F.col("seq"))).alias("gone"), F.max(F.when(F.col("op") == "complete_multipart_upload", F.col("seq"))).alias("done"))
+    own = log.filter(F.col("op").isin("put_object", "complete_multipart_upload")).join(by, ["bucket", "key"]).filter("gone IS NULL OR seq > gone")
+    base = F.max(F.when(F.col("seq") == F.col("done"), F.col("logged_version")))
+    after = F.count_if((F.col("op") == "put_object") & (F.col("done").isNull() | (F.col("done") < F.coalesce("gone", F.lit(0))) | (F.col("seq") > F.col("done"))))
+    return own.groupBy("bucket", "key").agg(F.max("seq").alias("seq"), (F.coalesce(base, F.lit(0)) + after).cast("long").alias("version"))
 
 
 def histogram(observations: DataFrame, bounds: tuple = LADDER) -> DataFrame:

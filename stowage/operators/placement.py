@@ -27,9 +27,14 @@ def pick_by_domain(key: Column, n: int, nodes: list[Node]) -> Column:
         return F.array().cast("array<string>")
     if len({d for _, _, d in nodes}) == 1:
         return pick(key, n, nodes)
-    byscore = _scored(key, nodes)
-    later = F.transform(byscore, lambda x, i: F.struct(F.exists(F.slice(byscore, 1, i), lambda y: y["domain"] == x["domain"]).alias("again"), x["s"].alias("s"), x["addr"].alias("addr")))
-    return F.transform(F.slice(F.array_sort(later), 1, n), lambda x: x["addr"])
+
+
+    def picked(byscore: Column) -> Column:
+        later = F.transform(byscore, lambda x, i: F.struct(F.exists(F.slice(byscore, 1, i), lambda y: y["domain"] == x["domain"]).alias("again"), x["s"].alias("s"), x["addr"].alias("addr")))
+        return F.transform(F.slice(F.array_sort(later), 1, n), lambda x: x["addr"])
+
+    # an array of one element binds the scores, which are else computed again for each node
+    return F.element_at(F.transform(F.array(_scored(key, nodes)), picked), 1)
 
 
 def pick_class(key: Column, n: int, nodes: list[Node], wanted: str) -> Column:
@@ -38,6 +43,16 @@ def pick_class(key: Column, n: int, nodes: list[Node], wanted: str) -> Column:
     return pick(key, n, own) if len(own) >= n else pick_by_domain(key, n, nodes)
 
 
+def pick_labelled(key: Column, label: Column, replicas: Column, wanted: int, n: int, nodes: list[Node]) -> Column:
+    """Among the nodes of the label's class as many as there are replicas, blind to domains, if the class has wanted nodes; else n by domain among all."""
+    out = pick_by_domain(key, n, nodes)
+    for name in sorted({c for _, c, _ in nodes}):
+        own = [x for x in nodes if x[1] == name]
+        if len(own) >= wanted:
+            out = F.when(label == name, F.transform(F.slice(_scored(key, own), F.lit(1), replicas), lambda x: x["addr"])).otherwise(out)
+    return out
+
+
 def references(ids: DataFrame, key: str, placed: Column) -> DataFrame:
     """key, addr, replica_pos."""
     return ids.select(key, F.posexplode(placed).alias("replica_pos", "addr"))

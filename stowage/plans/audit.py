@@ -55,12 +55,49 @@ def sources(targets: DataFrame, owners: DataFrame, missing: DataFrame, corrupt:
     return targets.join(found, ["chunk_id", "addr"], "left")
 
 
-def classify(jobs: DataFrame) -> DataFrame:
-    """jobs: addr, chunk_id, reason, source, ec. mode: replication, ec-deferred or no-source."""
-    return jobs.withColumn("mode", F.when(F.col("ec"), "ec-deferred").when(F.col("source").isNull(), "no-source").otherwise("replication"))
-
-
-def budgeted(jobs: DataFrame, budget: int, order: list[str], group: str) -> DataFrame:
-    """Serial order by order within each group; a job runs while fewer than budget before it have succeeded; 0 is no limit. jobs: ok."""
-    before = F.coalesce(F.sum(F.col("ok").cast("int")).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return jobs.withColumn("state", F.when((F.lit(budget) > 0) & (before >= budget), "throttled").when(F.col("ok"), "repaired").otherwise("failed"))
+def classify(jobs: DataFrame, inline: bool = False) -> DataFrame:
+    """jobs: addr, chunk_id, reason, source, ec and, if there, reachable. mode: skip, ec-inline or ec-deferred, no-source or replication."""
+    up = F.col("reachable") if "reachable" in jobs.columns else F.lit(True)
+    return jobs.withColumn("mode", F.when(~up, "skip").when(F.col("ec"), "ec-inline" if inline else "ec-deferred").when(F.col("source").isNull(), "no-source").otherwise("replication"))
+
+
+def dry_run(jobs: DataFrame, inline: bool = False) -> DataFrame:
+    """classify() with planned: what a run would do. Nothing is done, and no budget holds."""
+    return classify(jobs, inline).withColumn("planned", F.col("mode").isin("replication", "ec-inline"))
+
+
+def budgeted(jobs: DataFrame, budget: int, groups: list[str], order: list[str]) -> DataFrame:
+    """Serial order by groups, then order, over all jobs: a job runs while fewer than budget before it have succeeded; 0 is no limit.
+
+    jobs: mode, ok. groups lead the order and have few values (nodes, reasons, buckets): their totals, one row each, give each
+    group's start, so no task orders all jobs. state: throttled, the mode of a job that copies nothing, repaired or failed.
+    """
+    good = (F.col("ok") & (F.col("mode") == "replication")).cast("int")
+    span = (Window.unboundedPreceding, -1)
+    firsts = jobs.groupBy(*groups).agg(F.sum(good).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy(*groups).rowsBetween(*span)), F.lit(0))).drop("n")
+    own = F.coalesce(F.sum(good).over(Window.partitionBy(*groups).orderBy(*order).rowsBetween(*span)), F.lit(0))
+    out = jobs.withColumn("own", own).join(F.broadcast(firsts), groups).withColumn("before", F.col("first") + F.col("own")).drop("first", "own")
+    return out.withColumn("state", F.when((F.lit(budget) > 0) & (F.col("before") >= budget), "throttled").when(F.col("mode") != "replication", F.col("mode")).when(F.col("ok"), "repaired").otherwise("failed"))
+
+
+def stripe_repairs(shards: DataFrame, gone: DataFrame, spoilt: DataFrame) -> DataFrame:
+    """One repair a stripe: stripe_id, dead (array of shard_index, addr, force), survivors (array of shard_index, addr).
+
+    shards: stripe_id, shard_index, addr, shard_id; gone, spoilt: addr, shard_id that an audit misses, that a scrub found wrong. A spoilt
+    shard is overwritten (force) and is no survivor; the new address is the old one.
+    """
+    flagged = shards.join(gone.select("addr", "shard_id").distinct().withColumn("gone", F.lit(True)), ["addr", "shard_id"], "left").join(spoilt.select("addr", "shard_id").distinct().withColumn("spoilt", F.lit(True)), ["addr", "shard_id"], "left")
+    bad = F.col("gone").isNotNull() | F.col("spoilt").isNotNull()
+    by = flagged.groupBy("stripe_id").agg(
+        F.array_sort(F.collect_list(F.when(bad, F.struct("shard_index", "addr", F.col("gone").isNull().alias("force"))))).alias("dead"),
+        F.array_sort(F.collect_list(F.when(~bad, F.struct("shard_index", "addr")))).alias("survivors"),
+    )
+    return by.filter(F.size("dead") > 0)
+
+
+def scheduled(repairs: DataFrame, budget: int, spent: int, order: list[str]) -> DataFrame:
+    """repairs with state: the first budget - spent in order are scheduled, the others throttled; a budget of 0 is no limit. At most budget rows are gathered."""
+    if budget <= 0:
+        return repairs.withColumn("state", F.lit("scheduled"))
+    first = repairs.orderBy(*order).limit(max(0, budget - spent)).select(*order).withColumn("state", F.lit("scheduled"))
+    return repairs.join(F.broadcast(first), order, "left").withColumn("state", F.coalesce("state", F.lit("throttled")))

@@ -6,6 +6,7 @@ A query's name begins with the operator family's letter and number. Every frame
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from .sources import snapshots
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 K, M, SHARD = 4, 2, 256
+CDC = chunking.ContentDefined(256, 1024, 4096, 11, 9, 0)
 
 
 def query(name: str, sql: str | None = None):
@@ -113,9 +115,29 @@ def a15(spark, d):
     return X.inventory(spark, d).groupBy("addr").agg(F.count("*").alias("chunks")).select(F.to_json(F.struct("addr", "chunks")).alias("line"))
 
 
-@query("a16_xml_listing")
+XML_PAGE = 50
+
+
+@query("a16_xml_listing", f"""SELECT bucket, '<ListBucketResult><Name>' || bucket || '</Name><KeyCount>' || count(*)::VARCHAR || '</KeyCount>' || string_agg('<Contents><Key>' || replace(replace(key, '&', '&amp;'), '<', '&lt;') || '</Key><Size>' || size::VARCHAR || '</Size></Contents>', '' ORDER BY key) || '</ListBucketResult>' AS xml
+FROM (SELECT bucket, key, octet_length(body) AS size, row_number() OVER (PARTITION BY bucket ORDER BY key) AS n FROM objects_raw) WHERE n <= {XML_PAGE} GROUP BY bucket""")
 def a16(spark, d):
-    return X.objects_raw(spark, d).filter("bucket = 'src3'").select("key", F.to_xml(F.struct(F.col("key").alias("Key"), F.octet_length("body").alias("Size"))).alias("xml"))
+    """The first page of each bucket, as one document of its envelope; a page is of a bounded size, so the rest is cut before it is gathered."""
+    w = Window.partitionBy("bucket").orderBy("key")
+    rows = X.objects_raw(spark, d).select("bucket", "key", F.octet_length("body").alias("size"), F.row_number().over(w).alias("n")).filter(F.col("n") <= XML_PAGE)
+    safe = F.regexp_replace(F.regexp_replace("key", "&", "&amp;"), "<", "&lt;")
+    one = F.concat(F.lit("<Contents><Key>"), safe, F.lit("</Key><Size>"), F.col("size").cast("string"), F.lit("</Size></Contents>"))
+    by = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", one.alias("x")))).alias("c"))
+    return by.select("bucket", F.concat(F.lit("<ListBucketResult><Name>"), "bucket", F.lit("</Name><KeyCount>"), F.size("c").cast("string"), F.lit("</KeyCount>"), F.array_join(F.transform("c", lambda x: x["x"]), ""), F.lit("</ListBucketResult>")).alias("xml"))
+
+
+@query("a16_xml_request", "SELECT upload_id, string_agg(part_number::VARCHAR || ':' || etag, ',' ORDER BY part_number) AS asked FROM parts GROUP BY 1")
+def a16_request(spark, d):
+    """Completion requests written as XML and parsed again."""
+    rows = X.parts(spark, d).groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part_number", "etag"))).alias("p"))
+    one = lambda x: F.concat(F.lit("<Part><PartNumber>"), x["part_number"].cast("string"), F.lit("</PartNumber><ETag>"), x["etag"], F.lit("</ETag></Part>"))
+    xml = rows.select("upload_id", F.concat(F.lit("<CompleteMultipartUpload>"), F.array_join(F.transform("p", one), ""), F.lit("</CompleteMultipartUpload>")).alias("xml"))
+    asked = xml.select("upload_id", F.from_xml("xml", "Part array<struct<PartNumber: bigint, ETag: string>>").alias("r"))
+    return asked.select("upload_id", F.array_join(F.transform("r.Part", lambda x: F.concat(x["PartNumber"].cast("string"), F.lit(":"), x["ETag"])), ",").alias("asked"))
 
 
 # --- chunking and dedup
@@ -128,7 +150,7 @@ def b1(spark, d):
 
 @query("b3_content_defined_chunks")
 def b3(spark, d):
-    return chunking.split_content(X.objects_raw(spark, d), chunking.ContentDefined(256, 1024, 4096, 11, 9, 0))
+    return chunking.split_content(X.objects_raw(spark, d), CDC)
 
 
 @query("b6_join_chunks", "SELECT bucket, key, sha256(body) AS digest, octet_length(body)::BIGINT AS size, true AS sha_ok, true AS size_ok FROM objects_raw WHERE octet_length(body) > 0")
@@ -240,19 +262,16 @@ def _stripes(spark, d):
     return erasure.stripes(X.objects_raw(spark, d), K, SHARD)
 
 
-@query("d5_parity", STRIPES + """, few AS (SELECT DISTINCT stripe_id, data FROM stripes WHERE stripe_id LIKE '0%'), coef(p, c, coef) AS (VALUES (0,0,27),(0,1,28),(0,2,18),(0,3,20),(1,0,28),(1,1,27),(1,2,20),(1,3,18)),
+PARITY = STRIPES + """, few AS (SELECT DISTINCT stripe_id, data FROM stripes), coef(p, c, coef) AS (VALUES (0,0,27),(0,1,28),(0,2,18),(0,3,20),(1,0,28),(1,1,27),(1,2,20),(1,3,18)),
 mul AS (SELECT a, b, bit_xor(CASE WHEN (b >> s) & 1 = 1 THEN x ELSE 0 END)::INT AS p FROM (SELECT a, b, s, list_reduce(list_prepend(a, range(s)), lambda v, i: CASE WHEN v & 128 = 128 THEN xor((v << 1), 285) & 255 ELSE v << 1 END) AS x FROM (SELECT DISTINCT coef::BIGINT AS a FROM coef), range(256) tb(b), range(8) ts(s)) GROUP BY 1, 2),
 bts AS (SELECT stripe_id, i // 256 AS c, i % 256 AS pos, ('0x' || hex(data[i + 1 : i + 1]))::INT AS b FROM few, range(1024) t(i)),
-par AS (SELECT stripe_id, coef.p AS p, pos, bit_xor(mul.p) AS v FROM bts JOIN coef USING (c) JOIN mul ON mul.a = coef.coef AND mul.b = bts.b GROUP BY 1, 2, 3)
-SELECT stripe_id, (4 + p)::INT AS shard_index, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY pos))) AS shard_id FROM par GROUP BY 1, 2""")
-def d5(spark, d):
-    """Parity shards' ids; the SQL has the stripes whose id begins with 0, by definition of this query."""
-    return erasure.shards(_stripes(spark, d).filter(F.col("stripe_id").startswith("0")), K, M).filter(F.col("shard_index") >= K).select("stripe_id", "shard_index", "shard_id")
+par AS (SELECT stripe_id, (4 + p)::INT AS shard_index, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY pos))) AS shard_id FROM (SELECT stripe_id, coef.p AS p, pos, bit_xor(mul.p) AS v FROM bts JOIN coef USING (c) JOIN mul ON mul.a = coef.coef AND mul.b = bts.b GROUP BY 1, 2, 3) GROUP BY 1, 2)
+"""
 
 
-@query("d5_parity_all")
-def d5_all(spark, d):
-    """Parity shards' ids of every distinct stripe; d5_parity is the part of it that SQL can afford."""
+@query("d5_parity", PARITY + "SELECT stripe_id, shard_index, shard_id FROM par")
+def d5(spark, d):
+    """Parity shards' ids of every distinct stripe."""
     return erasure.shards(_stripes(spark, d), K, M).filter(F.col("shard_index") >= K).select("stripe_id", "shard_index", "shard_id")
 
 
@@ -272,6 +291,13 @@ def d7(spark, d):
 CODES = "(VALUES ('4+2'), (' 6+3 '), ('0+2'), ('4+'), ('x+2'), ('4+2+1'), ('')) t(code)"
 
 
+@query("d8_content_stripes")
+def d8(spark, d):
+    """Stripes of content-defined chunks, each padded to a multiple of K."""
+    chunks = chunking.split_content(X.objects_raw(spark, d), CDC, data=True)
+    return erasure.content_stripes(chunks, K).select("bucket", "key", "stripe_index", "data_len", F.octet_length("data").alias("padded"), "stripe_id")
+
+
 @query("d9_parse_code", f"SELECT code, CASE WHEN ok THEN k END AS k, CASE WHEN ok THEN m END AS m FROM (SELECT *, coalesce(n = 2 AND k > 0 AND m > 0, false) AS ok FROM (SELECT code, len(string_split(trim(code), '+')) AS n, try_cast(trim(string_split(trim(code), '+')[1]) AS INT) AS k, try_cast(trim(string_split(trim(code), '+')[2]) AS INT) AS m FROM {CODES}))")
 def d9(spark, d):
     rows = spark.createDataFrame([("4+2",), (" 6+3 ",), ("0+2",), ("4+",), ("x+2",), ("4+2+1",), ("",)], "code string")
@@ -285,10 +311,19 @@ want AS (SELECT stripe_id, addr, (row_number() OVER (PARTITION BY stripe_id ORDE
 """
 
 
+def _placed(spark, d):
+    """stripe_id, want (addresses by shard index) of every distinct stripe."""
+    return _stripes(spark, d).select("stripe_id").distinct().select("stripe_id", placement.pick_by_domain(F.col("stripe_id"), K + M, X.NODES).alias("want"))
+
+
 def _shard_rows(spark, d):
     """stripe_id, shard_index, addr of every distinct stripe."""
-    ids = _stripes(spark, d).select("stripe_id").distinct()
-    return ids.select("stripe_id", F.posexplode(placement.pick_by_domain(F.col("stripe_id"), K + M, X.NODES)).alias("shard_index", "addr"))
+    return _placed(spark, d).select("stripe_id", F.posexplode("want").alias("shard_index", "addr"))
+
+
+def _in_shards(addr, **more):
+    """want as an array of shards, each at addr(index, wanted address)."""
+    return F.transform("want", lambda x, i: F.struct(i.alias("shard_index"), *(f(i).alias(n) for n, f in more.items()), addr(i, x).alias("addr")))
 
 
 @query("d10_read_status", SHARD_AT + "SELECT stripe_id, (count(*) FILTER (addr NOT IN ('dn1', 'dn4', 'dn5')) >= 4) AS readable, bool_or(shard_index < 4 AND addr IN ('dn1', 'dn4', 'dn5')) AS degraded FROM want GROUP BY 1")
@@ -297,6 +332,16 @@ def d10(spark, d):
     return _shard_rows(spark, d).groupBy("stripe_id").agg((F.count_if(~down) >= K).alias("readable"), F.bool_or((F.col("shard_index") < K) & down).alias("degraded"))
 
 
+@query("d10_read_bodies", SHARD_AT + "SELECT s.bucket, s.key, sha256(any_value(o.body)) AS digest, bool_or(w.g) AS degraded FROM stripes s JOIN objects_raw o ON o.bucket = s.bucket AND o.key = s.key JOIN (SELECT stripe_id, bool_or(shard_index < 4 AND addr IN ('dn1', 'dn4')) AS g FROM want GROUP BY 1) w ON w.stripe_id = s.stripe_id GROUP BY 1, 2")
+def d10_bodies(spark, d):
+    """Bodies read with two of six nodes down and a shard of others spoilt: what is lost is rebuilt, and padding trimmed."""
+    stripes = _stripes(spark, d)
+    up = _shard_rows(spark, d).filter(~F.col("addr").isin("dn1", "dn4"))
+    held = erasure.shards(stripes, K, M).join(up.select("stripe_id", "shard_index"), ["stripe_id", "shard_index"])
+    bodies = erasure.read_bodies(stripes.select("bucket", "key", "stripe_index", "stripe_id", "data_len"), held, K, M)
+    return bodies.select("bucket", "key", F.sha2("body", 256).alias("digest"), "degraded")
+
+
 @query("d11_degraded_reads", SHARD_AT + "SELECT count(*)::BIGINT AS reads, (count(*) FILTER (g))::BIGINT AS degraded FROM (SELECT stripe_id, bool_or(shard_index < 4 AND addr = 'dn2') AS g FROM want GROUP BY 1)")
 def d11(spark, d):
     by = _shard_rows(spark, d).groupBy("stripe_id").agg(F.bool_or((F.col("shard_index") < K) & (F.col("addr") == "dn2")).alias("g"))
@@ -333,15 +378,40 @@ free AS (SELECT w.stripe_id, w.addr, row_number() OVER (PARTITION BY w.stripe_id
 
 
 def _displaced(spark, d):
-    want = _shard_rows(spark, d)
-    away = F.col("shard_index").isin(1, 3) & (F.substring("stripe_id", 1, 1) < "8")
-    actual = want.select("stripe_id", "shard_index", F.sha2(F.concat("stripe_id", F.col("shard_index").cast("string")), 256).alias("shard_id"), F.when(away, F.concat(F.lit("dn"), (F.col("shard_index") + 6).cast("string"))).otherwise(F.col("addr")).alias("addr"))
-    return actual, want.select("stripe_id", "addr")
+    """stripe_id, shards (as they are), desired, of every distinct stripe: one row each."""
+    away = lambda i: i.isin(1, 3) & (F.substring("stripe_id", 1, 1) < "8")
+    shards = _in_shards(lambda i, x: F.when(away(i), F.concat(F.lit("dn"), (i + 6).cast("string"))).otherwise(x), shard_id=lambda i: F.sha2(F.concat("stripe_id", i.cast("string")), 256))
+    return _placed(spark, d).select("stripe_id", shards.alias("shards"), F.col("want").alias("desired"))
 
 
 @query("e3_shard_moves", SHARD_MOVES + "SELECT d.stripe_id, d.shard_index, d.addr AS old_addr, f.addr AS new_addr FROM disp d JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r")
 def e3(spark, d):
-    return rebalance.plan_shards(*_displaced(spark, d)).drop("shard_id")
+    return rebalance.plan_shards(_displaced(spark, d)).drop("shard_id")
+
+
+@query("e1_plan_summary", MOVES + SHARD_MOVES + "SELECT (SELECT count(*) FROM objects_raw)::BIGINT AS scanned, (SELECT count(*) FROM plan)::BIGINT AS chunk_moves, (SELECT count(*) FROM disp d JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r)::BIGINT AS shard_moves")
+def e1(spark, d):
+    return rebalance.summary(X.objects_raw(spark, d), _moves(spark, d), rebalance.plan_shards(_displaced(spark, d)))
+
+
+LABELLED = """, lab AS (SELECT chunk_id, size, CASE WHEN substr(chunk_id, 1, 1) < '8' THEN 'hot' WHEN substr(chunk_id, 1, 1) < 'c' THEN 'none' ELSE '' END AS label, CASE WHEN substr(chunk_id, 2, 1) < '4' THEN 2 ELSE 3 END AS n FROM distinct_chunks),
+act AS (SELECT l.chunk_id, o.addr FROM lab l JOIN old_refs o USING (chunk_id) WHERE o.pos < l.n),
+dm AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, domain ORDER BY score DESC, addr) AS d FROM scored),
+bd AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY d > 1, score DESC, addr) AS r FROM dm), hr AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, addr) AS r FROM scored WHERE class = 'hot'),
+wish AS (SELECT l.chunk_id, hr.addr FROM lab l JOIN hr USING (chunk_id) WHERE label = 'hot' AND hr.r <= l.n UNION ALL SELECT l.chunk_id, bd.addr FROM lab l JOIN bd USING (chunk_id) WHERE label <> 'hot' AND bd.r <= 3),
+mi AS (SELECT w.chunk_id, string_agg(w.addr, ',' ORDER BY w.addr) AS missing FROM wish w LEFT JOIN act a ON a.chunk_id = w.chunk_id AND a.addr = w.addr WHERE a.addr IS NULL GROUP BY 1),
+su AS (SELECT a.chunk_id, string_agg(a.addr, ',' ORDER BY a.addr) AS surplus FROM act a LEFT JOIN wish w ON a.chunk_id = w.chunk_id AND a.addr = w.addr WHERE w.addr IS NULL GROUP BY 1)
+"""
+
+
+@query("e2_class_plan", LABELLED + "SELECT l.chunk_id, l.label, missing, coalesce(surplus, '') AS surplus FROM lab l JOIN mi USING (chunk_id) LEFT JOIN su USING (chunk_id)")
+def e2_class(spark, d):
+    """Chunks of labelled objects move within their class, as many copies as they have; unlabelled ones, and those of a class that is too small, by domain."""
+    c, first = F.col("chunk_id"), F.substring("chunk_id", 1, 1)
+    label = F.when(first < "8", "hot").when(first < "c", "none").otherwise("")
+    rows = X.distinct_chunks(spark, d).select("chunk_id", "size", label.alias("label"), F.slice(placement.pick(c, 3, X.OLD), F.lit(1), F.when(F.substring("chunk_id", 2, 1) < "4", 2).otherwise(3)).alias("actual"))
+    rows = rows.withColumn("desired", placement.pick_labelled(c, F.col("label"), F.size("actual"), 3, 3, X.NODES))
+    return rebalance.plan_chunks(rows).select("chunk_id", "label", F.array_join("missing", ",").alias("missing"), F.array_join("surplus", ",").alias("surplus"))
 
 
 def _outcomes(plan):
@@ -356,9 +426,10 @@ def e4(spark, d):
 
 @query("e5_apply_shards", SHARD_MOVES + "SELECT a.stripe_id, a.shard_index, CASE WHEN f.addr IS NOT NULL AND substr(a.stripe_id, 2, 1) <> '3' THEN f.addr ELSE a.addr END AS addr FROM act a LEFT JOIN disp d ON d.stripe_id = a.stripe_id AND d.shard_index = a.shard_index LEFT JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r")
 def e5(spark, d):
-    actual, want = _displaced(spark, d)
-    plan = rebalance.plan_shards(actual, want).select("stripe_id", "shard_index", "new_addr")
+    stripes = _displaced(spark, d)
+    plan = rebalance.plan_shards(stripes).select("stripe_id", "shard_index", "new_addr")
     ok = F.col("new_addr").isNotNull() & (F.substring("stripe_id", 2, 1) != "3")
+    actual = stripes.select("stripe_id", F.inline("shards"))
     return actual.join(plan, ["stripe_id", "shard_index"], "left").select("stripe_id", "shard_index", F.when(ok, F.col("new_addr")).otherwise(F.col("addr")).alias("addr"))
 
 
@@ -415,26 +486,48 @@ free AS (SELECT w.stripe_id, w.addr, row_number() OVER (PARTITION BY w.stripe_id
 
 
 def _broken(spark, d):
-    want = _shard_rows(spark, d)
+    """stripe_id, shards, desired of every distinct stripe, some shards on nodes that are gone."""
     first = F.substring("stripe_id", 1, 1)
-    addr = F.when(F.col("shard_index").isin(1, 4) & (first < "8"), F.concat(F.lit("dn"), (F.col("shard_index") + 6).cast("string"))).when(F.col("shard_index") == 5, "dn99").when((F.col("shard_index") == 2) & (first == "0"), "dn98").otherwise(F.col("addr"))
-    return want.select("stripe_id", "shard_index", addr.alias("addr")), want.select("stripe_id", "addr")
+    at = lambda i, x: F.when(i.isin(1, 4) & (first < "8"), F.concat(F.lit("dn"), (i + 6).cast("string"))).when(i == 5, "dn99").when((i == 2) & (first == "0"), "dn98").otherwise(x)
+    return _placed(spark, d).select("stripe_id", _in_shards(at).alias("shards"), F.col("want").alias("desired"))
 
 
 @query("g1_stripe_states", REPAIR + "SELECT stripe_id, survivors::BIGINT AS survivors, dead::BIGINT AS dead, state FROM states")
 def g1(spark, d):
-    return repair.status(_broken(spark, d)[0], X.nodes(spark), K)
+    return repair.status(_broken(spark, d), X.nodes(spark), K)
 
 
 @query("g3_repair_plan", REPAIR + "SELECT d.stripe_id, d.shard_index, d.addr AS old_addr, CASE WHEN state = 'repairable' THEN f.addr END AS new_addr, state FROM deads d JOIN states s ON s.stripe_id = d.stripe_id LEFT JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r WHERE state = 'unrepairable' OR f.addr IS NOT NULL")
 def g3(spark, d):
-    shards, want = _broken(spark, d)
-    return repair.plan(shards, X.nodes(spark), want, K)
+    return repair.plan(_broken(spark, d), X.nodes(spark), K)
 
 
 @query("g5_repair_stats", REPAIR + "SELECT count(*)::BIGINT AS scanned, (count(*) FILTER (state = 'repairable'))::BIGINT AS repairable, (count(*) FILTER (state = 'unrepairable'))::BIGINT AS unrepairable FROM states")
 def g5(spark, d):
-    return repair.stats(repair.status(_broken(spark, d)[0], X.nodes(spark), K))
+    return repair.stats(repair.status(_broken(spark, d), X.nodes(spark), K))
+
+
+REMADE = PARITY + REPAIR.removeprefix(STRIPES) + """, made AS (SELECT d.stripe_id, d.shard_index, f.addr FROM deads d JOIN states s ON s.stripe_id = d.stripe_id JOIN free f ON f.stripe_id = d.stripe_id AND f.r = d.r WHERE state = 'repairable'),
+whole AS (SELECT stripe_id, i::INT AS shard_index, sha256(data[i * 256 + 1 : (i + 1) * 256]) AS shard_id FROM few, range(4) t(i) UNION ALL SELECT * FROM par)
+"""
+
+
+def _remade(spark, d):
+    stripes, live = _broken(spark, d), X.nodes(spark)
+    up = stripes.select("stripe_id", F.inline("shards")).join(F.broadcast(live.select("addr")), "addr", "left_semi")
+    held = erasure.shards(_stripes(spark, d), K, M).join(up.select("stripe_id", "shard_index"), ["stripe_id", "shard_index"])
+    return erasure.repaired(held, repair.plan(stripes, live, K), K, M)
+
+
+@query("g4_repair", REMADE + "SELECT stripe_id, shard_index, addr, shard_id FROM made JOIN whole USING (stripe_id, shard_index)")
+def g4(spark, d):
+    """The dead shards of repairable stripes made anew, data and parity, and where they go."""
+    return _remade(spark, d).select("stripe_id", "shard_index", "addr", "shard_id")
+
+
+@query("g5_run_stats", REMADE + "SELECT count(DISTINCT stripe_id)::BIGINT AS stripes, count(DISTINCT stripe_id)::BIGINT AS repaired, 0::BIGINT AS failed, (count(*) * 256)::BIGINT AS bytes FROM made")
+def g5_run(spark, d):
+    return repair.run_stats(_remade(spark, d))
 
 
 # --- Merkle inventories and audits
@@ -460,14 +553,9 @@ def h2(spark, d):
     return X.inventory(spark, d).filter("substring(chunk_id, 1, 2) = '3f'").select("addr", "chunk_id")
 
 
-@query("h3_expected", "SELECT DISTINCT addr, chunk_id FROM old_refs WHERE substr(chunk_id, 1, 2) = '3f'")
+@query("h3_expected", "SELECT DISTINCT addr, ('0x' || substr(chunk_id, 1, 2))::INT AS bucket, chunk_id FROM old_refs")
 def h3(spark, d):
-    return X.refs(spark, d).filter("substring(chunk_id, 1, 2) = '3f'").select("addr", "chunk_id").distinct()
-
-
-@query("h3_expected_all", "SELECT DISTINCT addr, ('0x' || substr(chunk_id, 1, 2))::INT AS bucket, chunk_id FROM old_refs")
-def h3_all(spark, d):
-    """Every node's expected chunks in every bucket; h3_expected has one bucket."""
+    """Every node's expected chunks in every bucket."""
     return audit.expected(X.refs(spark, d))
 
 
@@ -519,10 +607,46 @@ def h9(spark, d):
     return audit.classify(_jobs(spark, d)).groupBy("mode", "reason").agg(F.count("*").alias("n"))
 
 
-@query("h11_budget", JOBS + ", b AS (SELECT *, source IS NOT NULL AND substr(chunk_id, 2, 1) <> '7' AS ok FROM classed WHERE NOT ec), r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY reason ORDER BY addr, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT addr, chunk_id, reason, CASE WHEN before >= 20 THEN 'throttled' WHEN ok THEN 'repaired' ELSE 'failed' END AS state FROM r")
+BUDGET = JOBS + """, b AS (SELECT *, CASE WHEN ec THEN 'ec-deferred' WHEN source IS NULL THEN 'no-source' ELSE 'replication' END AS mode, source IS NOT NULL AND substr(chunk_id, 2, 1) <> '7' AS ok FROM classed),
+r AS (SELECT *, coalesce(sum((ok AND mode = 'replication')::INT) OVER (ORDER BY addr, reason = 'corrupt', chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+"""
+
+
+@query("h11_budget", BUDGET + "SELECT addr, chunk_id, reason, CASE WHEN before >= 20 THEN 'throttled' WHEN mode <> 'replication' THEN mode WHEN ok THEN 'repaired' ELSE 'failed' END AS state FROM r")
 def h11(spark, d):
-    jobs = _jobs(spark, d).filter("NOT ec").withColumn("ok", F.col("source").isNotNull() & (F.substring("chunk_id", 2, 1) != "7"))
-    return audit.budgeted(jobs, 20, ["addr", "chunk_id"], "reason").select("addr", "chunk_id", "reason", "state")
+    """One budget for all jobs: node by node, missing chunks before spoilt ones."""
+    jobs = audit.classify(_jobs(spark, d)).withColumn("ok", F.col("source").isNotNull() & (F.substring("chunk_id", 2, 1) != "7")).withColumn("turn", F.col("reason") == "corrupt").withColumn("bucket", F.substring("chunk_id", 1, 2))
+    return audit.budgeted(jobs, 20, ["addr", "turn", "bucket"], ["chunk_id"]).select("addr", "chunk_id", "reason", "state")
+
+
+STRIPE_JOBS = SHARD_AT + """, fl AS (SELECT stripe_id, shard_index, addr, substr(sha256(stripe_id || shard_index::VARCHAR || 'gone'), 1, 1) = '0' AS gone, substr(sha256(stripe_id || shard_index::VARCHAR || 'spoilt'), 1, 1) = '1' AS spoilt FROM want),
+sj AS (SELECT stripe_id, string_agg(shard_index::VARCHAR || '@' || addr || CASE WHEN gone THEN '' ELSE '!' END, ',' ORDER BY shard_index) FILTER (gone OR spoilt) AS dead, coalesce(string_agg(shard_index::VARCHAR, ',' ORDER BY shard_index) FILTER (NOT gone AND NOT spoilt), '') AS survivors FROM fl GROUP BY 1 HAVING bool_or(gone OR spoilt))
+"""
+
+
+def _stripe_jobs(spark, d):
+    drawn = lambda tag: F.substring(F.sha2(F.concat("stripe_id", F.col("shard_index").cast("string"), F.lit(tag)), 256), 1, 1)
+    shards = _shard_rows(spark, d).withColumn("shard_id", F.concat_ws("-", "stripe_id", "shard_index"))
+    return audit.stripe_repairs(shards, shards.filter(drawn("gone") == "0"), shards.filter(drawn("spoilt") == "1"))
+
+
+@query("h10_stripe_repairs", STRIPE_JOBS + "SELECT stripe_id, dead, survivors FROM sj")
+def h10(spark, d):
+    """Missing and spoilt shards of a stripe are one repair; ! marks those to overwrite."""
+    text = lambda x: F.concat(x["shard_index"].cast("string"), F.lit("@"), x["addr"], F.when(x["force"], "!").otherwise(""))
+    return _stripe_jobs(spark, d).select("stripe_id", F.array_join(F.transform("dead", text), ",").alias("dead"), F.array_join(F.transform("survivors", lambda x: x["shard_index"].cast("string")), ",").alias("survivors"))
+
+
+@query("h11_stripe_budget", STRIPE_JOBS + "SELECT stripe_id, CASE WHEN row_number() OVER (ORDER BY stripe_id) <= 15 THEN 'scheduled' ELSE 'throttled' END AS state FROM sj")
+def h11_stripes(spark, d):
+    """Of a budget of 20, five spent on copies: stripes take the rest in order."""
+    return audit.scheduled(_stripe_jobs(spark, d), 20, 5, ["stripe_id"]).select("stripe_id", "state")
+
+
+@query("h12_dry_run", JOBS + "SELECT mode, mode IN ('replication', 'ec-inline') AS planned, count(*)::BIGINT AS n FROM (SELECT CASE WHEN addr = 'dn4' THEN 'skip' WHEN ec THEN 'ec-inline' WHEN source IS NULL THEN 'no-source' ELSE 'replication' END AS mode FROM classed) GROUP BY 1, 2")
+def h12(spark, d):
+    """What a run would do with stripes repaired inline and one node out of reach."""
+    return audit.dry_run(_jobs(spark, d).withColumn("reachable", F.col("addr") != "dn4"), inline=True).groupBy("mode", "planned").agg(F.count("*").alias("n"))
 
 
 @query("h13_first_seen", "SELECT key, min(seq)::BIGINT AS seq FROM wal WHERE op = 'delete_object' GROUP BY key")
@@ -548,6 +672,16 @@ def i1(spark, d):
     return scrub_stream(rotten.withColumn("addr", F.struct("bucket", "key", "chunk_index"))).select("addr.*", "chunk_id")
 
 
+@query("i2_corrupt_set", "SELECT addr, chunk_id FROM corrupt")
+def i2(spark, d):
+    """What a scrub found, kept as a version of a table and read again; malformed ids are dropped."""
+    found = X.corrupt(spark, d)
+    found = found.unionByName(found.select("addr", F.upper("chunk_id").alias("chunk_id")).filter("chunk_id <> lower(chunk_id)"))
+    store = snapshots.new_store(spark)
+    snapshots.snapshot({"corrupt": found.filter(H.is_chunk_id(F.col("chunk_id")))}, store)
+    return snapshots.load(spark, store, "corrupt")
+
+
 @query("i3_scrub_status", "SELECT i.addr, count(*)::BIGINT AS total, count(c.addr)::BIGINT AS corrupt, coalesce(string_agg(c.chunk_id, ',' ORDER BY c.chunk_id), '') AS ids FROM inventory i LEFT JOIN corrupt c ON c.addr = i.addr AND c.chunk_id = i.chunk_id GROUP BY 1")
 def i3(spark, d):
     bad = X.corrupt(spark, d).withColumn("bad", F.col("chunk_id"))
@@ -574,6 +708,12 @@ def j2(spark, d):
     return by.agg(*[F.count_if(F.col("a") >= w).alias(str(w)) for w in (1, 2, 3)]).select(F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(str(w)).alias("met")) for w in (1, 2, 3)])).alias("x")).select("x.*")
 
 
+@query("j2_quorum_errors", "SELECT w, CASE WHEN w = 0 THEN 2 WHEN w BETWEEN 1 AND 3 THEN w END::BIGINT AS wanted FROM (VALUES (-1), (0), (1), (2), (3), (4)) t(w)")
+def j2_errors(spark, d):
+    """Null is an error: less than 0, or more than there are targets."""
+    return spark.createDataFrame([(w,) for w in range(-1, 5)], "w int").select("w", catalog.quorum_wanted(F.col("w"), F.lit(3)).alias("wanted"))
+
+
 HEADERS = [("", 3), ("2", 3), ("4", 3), ("0", 3), ("-1", 3), ("x", 3), ("3", 3)]
 HEADER_SQL = "(VALUES ('', 3), ('2', 3), ('4', 3), ('0', 3), ('-1', 3), ('x', 3), ('3', 3)) t(h, most)"
 
@@ -623,6 +763,24 @@ def k3(spark, d):
     return catalog.list_page(X.objects_raw(spark, d), "src0", "en/", "5", "en/00000050", 20)
 
 
+PAGES = [("", 3), ("en/00000050", 20), ("", 1000), ("", 0), ("zz", 5), ("en/00000005", 1)]
+
+
+def _page_sql(i: int, cursor: str, n: int) -> str:
+    emitted = f"(SELECT *, row_number() OVER (ORDER BY emit) AS n FROM (SELECT DISTINCT emit, p FROM (SELECT CASE WHEN instr(substr(key, 4), '5') > 0 THEN 'en/' || substr(substr(key, 4), 1, instr(substr(key, 4), '5')) ELSE key END AS emit, instr(substr(key, 4), '5') > 0 AS p FROM objects_raw WHERE bucket = 'src0' AND starts_with(key, 'en/') AND key > '{cursor}') WHERE NOT p OR emit > '{cursor}'))"
+    return f"SELECT {i} AS page, coalesce(string_agg(emit, ',' ORDER BY n) FILTER (n <= {n} AND NOT p), '') AS contents, coalesce(string_agg(emit, ',' ORDER BY n) FILTER (n <= {n} AND p), '') AS prefixes, (count(*) FILTER (n <= {n}))::INT AS key_count, count(*) > {n} AS is_truncated, CASE WHEN count(*) > {n} THEN coalesce(max(emit) FILTER (n <= {n}), '') ELSE '' END AS next_token FROM {emitted}"
+
+
+@query("k3_list_results", " UNION ALL ".join(_page_sql(i, *page) for i, page in enumerate(PAGES)))
+def k3_results(spark, d):
+    """Whole page results: keys, common prefixes, truncation and the token to go on from, of none, some and all keys."""
+    objects, out = X.objects_raw(spark, d), None
+    for i, (cursor, n) in enumerate(PAGES):
+        one = catalog.list_result(objects, "src0", "en/", "5", cursor, n).select(F.lit(i).alias("page"), F.array_join("contents", ",").alias("contents"), F.array_join("prefixes", ",").alias("prefixes"), "key_count", "is_truncated", "next_token")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 KEYS_SQL = "(VALUES (NULL), ('10'), ('0'), ('-5'), ('junk'), ('5000')) t(raw)"
 
 
@@ -637,15 +795,48 @@ def k5(spark, d):
     return X.parts(spark, d).filter("upload_id = 5 AND part_number > 1").orderBy("part_number").limit(3)
 
 
+@query("k5_parts_results", " UNION ALL ".join(f"SELECT {m} AS marker, {n} AS most, coalesce(string_agg(part_number::VARCHAR, ',' ORDER BY part_number) FILTER (r <= {n}), '') AS numbers, count(*) > {n} AS is_truncated, coalesce(max(part_number) FILTER (r <= {n}), 0)::BIGINT AS next_marker FROM (SELECT part_number, row_number() OVER (ORDER BY part_number) AS r FROM parts WHERE upload_id = 5 AND part_number > {m})" for m, n in ((0, 1), (1, 2), (0, 1000), (99, 2))))
+def k5_results(spark, d):
+    parts, out = X.parts(spark, d), None
+    for m, n in ((0, 1), (1, 2), (0, 1000), (99, 2)):
+        one = catalog.parts_result(parts, 5, m, n).select(F.lit(m).alias("marker"), F.lit(n).alias("most"), F.array_join("part_numbers", ",").alias("numbers"), "is_truncated", "next_marker")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+REQUESTED = """, c AS (SELECT upload_id, upload_id % 8 AS u, count(*) AS n, sum(size) AS size, '"' || sha256(string_agg(etag, '' ORDER BY part_number)) || '-' || count(*)::VARCHAR || '"' AS tag FROM parts GROUP BY 1),
+k AS (SELECT *, CASE WHEN u = 1 THEN 'InvalidPart' WHEN u = 2 AND n > 1 THEN 'InvalidPartOrder' WHEN u IN (3, 4, 5) THEN 'InvalidPart' WHEN u = 6 THEN 'NoSuchUpload' ELSE 'ok' END AS status FROM c),
+done AS (SELECT upload_id, status, CASE WHEN status = 'ok' THEN n END::BIGINT AS n_parts, CASE WHEN status = 'ok' THEN size END::BIGINT AS size, CASE WHEN status = 'ok' THEN tag END AS etag FROM k)
+"""
+
+
+def _completed(spark, d):
+    """Requests by upload_id % 8: whole, empty, backwards, with a number that isn't there, a wrong tag, a number 0, of no pending upload, without tags."""
+    parts, u = X.parts(spark, d), F.col("upload_id") % 8
+    extra = lambda n: F.array(F.struct(F.lit(n).cast("long").alias("part_number"), F.lit("").alias("etag")))
+    own = F.array_sort(F.collect_list(F.struct("part_number", "etag")))
+    with_tag = lambda f: F.transform("own", lambda x, i: F.struct(x["part_number"].alias("part_number"), f(x, i).alias("etag")))
+    asked = F.when(u == 1, F.slice("own", 1, 0)).when(u == 2, F.reverse("own")).when(u == 3, F.concat("own", extra(99))).when(u == 4, with_tag(lambda x, i: F.when(i == 0, "other").otherwise(x["etag"]))).when(u == 5, F.concat(extra(0), "own")).when(u == 7, with_tag(lambda x, i: F.lit("")))
+    requested = parts.groupBy("upload_id").agg(own.alias("own")).select("upload_id", F.coalesce(asked, F.col("own")).alias("asked"))
+    return catalog.complete_requested(parts.filter(u != 6).select("upload_id").distinct(), parts, requested)
+
+
+@query("k6_complete_requested", REQUESTED + "SELECT * FROM done")
+def k6_requested(spark, d):
+    return _completed(spark, d)
+
+
 @query("k6_complete_uploads", """SELECT upload_id, count(*)::BIGINT AS n_parts, sum(size)::BIGINT AS size, '"' || sha256(string_agg(etag, '' ORDER BY part_number)) || '-' || count(*)::VARCHAR || '"' AS etag, true AS ok FROM parts GROUP BY 1""")
 def k6(spark, d):
     return catalog.complete_uploads(X.parts(spark, d))
 
 
-@query("k7_replace_part", """SELECT upload_id, 1::BIGINT AS part_number, arg_max(etag, part_number) AS etag FROM parts GROUP BY 1""")
+@query("k7_put_parts", """SELECT upload_id, part_number, CASE WHEN part_number = 1 THEN 'again-' || upload_id::VARCHAR ELSE etag END AS etag, CASE WHEN part_number = 1 THEN 7 ELSE size END::BIGINT AS size FROM parts WHERE upload_id % 3 <> 1""")
 def k7(spark, d):
-    """Parts put again under one number: the last one stays."""
-    return X.parts(spark, d).groupBy("upload_id").agg(F.max_by("etag", "part_number").alias("etag")).select("upload_id", F.lit(1).cast("long").alias("part_number"), "etag")
+    """Part 1 is put twice more, the last one stays; a third of the uploads is aborted."""
+    parts = X.parts(spark, d)
+    again = lambda seq, tag, size: parts.filter("part_number = 1").select("upload_id", "part_number", F.concat(F.lit(tag), F.col("upload_id").cast("string")).alias("etag"), F.lit(size).cast("long").alias("size"), F.lit(seq).cast("long").alias("seq"))
+    return catalog.put_parts(parts, again(1, "once-", 9).unionByName(again(2, "again-", 7)), parts.filter("upload_id % 3 = 1").select("upload_id"))
 
 
 @query("k8_expired_uploads", "SELECT event_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10 00:00:00'")
@@ -660,6 +851,16 @@ def k9(spark, d):
     return all_.join(used, "bucket", "left").select("bucket", F.col("u").isNull().alias("deletable"))
 
 
+@query("k10_normalised", "SELECT * FROM (VALUES (1, 'c1:10:dn1,dn2', ''), (2, 'c2:5:dn3', ''), (3, '', 'x'), (4, '', '')) t(id, chunks, chunk_id)")
+def k10(spark, d):
+    """An object of the old form of one chunk, one of the new form, one of stripes and an empty one."""
+    c = lambda i, n, r: [(i, n, r)]
+    rows = [(1, [], [], "c1", 10, ["dn1", "dn2"]), (2, c("c2", 5, ["dn3"]), [], "", 0, []), (3, [], ["s"], "x", 1, ["dn1"]), (4, [], [], "", 0, [])]
+    frame = spark.createDataFrame(rows, "id int, chunks array<struct<chunk_id: string, size: int, replicas: array<string>>>, stripes array<string>, chunk_id string, size int, replicas array<string>")
+    text = lambda x: F.concat_ws(":", x["chunk_id"], x["size"].cast("string"), F.array_join(x["replicas"], ","))
+    return catalog.normalised(frame).select("id", F.array_join(F.transform("chunks", text), "|").alias("chunks"), "chunk_id")
+
+
 NAMES = ["abc", "ab", "a.b-c", "-abc", "abc-", "a..b", "192.168.1.1", "Abc", "999.1.1.1", "x" * 63, "x" * 64]
 
 
@@ -673,11 +874,10 @@ def k12(spark, d):
     return catalog.versions(X.wal(spark, d))
 
 
-@query("k13_store_stats", STRIPES + "SELECT (SELECT count(*) FROM objects_raw)::BIGINT AS objects, (SELECT count(*) FROM chunks)::BIGINT AS chunks, (SELECT count(*) FROM stripes)::BIGINT AS stripes, (SELECT count(*) FROM stripes)::BIGINT * 6 AS shards, (SELECT count(*) FROM nodes)::BIGINT AS dns")
+@query("k13_store_stats", "SELECT count(*)::BIGINT AS objects, (count(*) FILTER (doc_id % 3 = 0))::BIGINT AS ec_objects, (sum(ceil(octet_length(body) / 700.0)) FILTER (doc_id % 3 <> 0))::BIGINT AS chunks, (sum(ceil(octet_length(body) / 1200.0)) FILTER (doc_id % 3 = 0))::BIGINT AS stripes, (sum(ceil(octet_length(body) / 1200.0) * 6) FILTER (doc_id % 3 = 0))::BIGINT AS shards, 6::BIGINT AS dns FROM objects_raw")
 def k13(spark, d):
-    """Counts from sizes alone, in one scan."""
-    n = F.sum(F.ceil(F.octet_length("body") / X.CHUNK)).cast("long")
-    return X.objects_raw(spark, d).agg(F.count("*").alias("objects"), n.alias("chunks"), n.alias("stripes"), (n * (K + M)).alias("shards"), F.lit(len(X.NODES)).cast("long").alias("dns"))
+    """A third of the objects are coded, in shards of 300 bytes; the others have chunks of 700."""
+    return catalog.store_stats(X.objects_raw(spark, d), 700, K, M, 300, len(X.NODES), F.col("doc_id") % 3 == 0)
 
 
 @query("k14_safe_delete", "SELECT DISTINCT chunk_id FROM chunks WHERE bucket = 'src3' AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE bucket <> 'src3')")
@@ -692,7 +892,10 @@ def k15(spark, d):
     return X.objects_raw(spark, d).select("bucket", "key", F.coalesce(F.lit(None).cast("string"), F.lit("application/octet-stream")).alias("content_type"), F.octet_length("body").cast("long").alias("content_length"), H.etag(F.col("body")).alias("etag"))
 
 
-REQUESTS = [("GET", "", "", "", "ListBuckets"), ("PUT", "b", "", "", "CreateBucket"), ("DELETE", "b", "", "", "DeleteBucket"), ("GET", "b", "", "list-type=2&prefix=x", "ListObjectsV2"), ("POST", "b", "k", "uploads", "CreateMultipartUpload"), ("PUT", "b", "k", "partNumber=1&uploadId=u", "UploadPart"), ("GET", "b", "k", "uploadId=u", "ListParts"), ("POST", "b", "k", "uploadId=u", "CompleteMultipartUpload"), ("DELETE", "b", "k", "uploadId=u", "AbortMultipartUpload"), ("PUT", "b", "k", "", "PutObject"), ("GET", "b", "k", "", "GetObject"), ("HEAD", "b", "k", "", "HeadObject"), ("DELETE", "b", "k", "", "DeleteObject"), ("PATCH", "b", "k", "", "Unsupported")]
+REQUESTS = [("GET", "", "", "", "ListBuckets"), ("PUT", "b", "", "", "CreateBucket"), ("DELETE", "b", "", "", "DeleteBucket"), ("GET", "b", "", "list-type=2&prefix=x", "ListObjectsV2"), ("POST", "b", "k", "uploads", "CreateMultipartUpload"), ("PUT", "b", "k", "partNumber=1&uploadId=u", "UploadPart"), ("GET", "b", "k", "uploadId=u", "ListParts"), ("POST", "b", "k", "uploadId=u", "CompleteMultipartUpload"), ("DELETE", "b", "k", "uploadId=u", "AbortMultipartUpload"), ("PUT", "b", "k", "", "PutObject"), ("GET", "b", "k", "", "GetObject"), ("HEAD", "b", "k", "", "HeadObject"), ("DELETE", "b", "k", "", "DeleteObject"), ("PATCH", "b", "k", "", "Unsupported"),
+    ("HEAD", "b", "", "", "Unsupported"), ("GET", "b", "", "uploads", "Unsupported"), ("GET", "b", "", "", "Unsupported"), ("GET", "b", "", "list-type=1", "Unsupported"), ("POST", "b", "", "delete", "Unsupported"), ("PUT", "", "", "", "Unsupported"), ("HEAD", "", "", "", "Unsupported"),
+    ("PUT", "b", "k", "uploadId=u", "PutObject"), ("PUT", "b", "k", "partNumber=1&uploadId=", "PutObject"), ("GET", "b", "k", "uploadId=", "GetObject"), ("DELETE", "b", "k", "uploadId", "DeleteObject"), ("POST", "b", "k", "uploadId=", "Unsupported"), ("POST", "b", "k", "", "Unsupported"), ("POST", "b", "k", "uploads=&uploadId=u", "CreateMultipartUpload"),
+    ("GET", "b", "k", "xuploadId=u", "GetObject"), ("GET", "b", "k", "uploadId=&uploadId=u", "GetObject"), ("GET", "b", "k", "a=b&uploadId=u&c", "ListParts")]
 
 
 @query("k16_requests", "SELECT * FROM (VALUES " + ", ".join(str(r) for r in REQUESTS) + ") t(method, bucket, key, query, op)")
@@ -701,9 +904,13 @@ def k16(spark, d):
     return rows.withColumn("op", catalog.classify_request(*(F.col(c) for c in rows.columns)))
 
 
-@query("k17_url_paths", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?]+)', 1) AS bucket, regexp_extract(url, '^[a-z]+://[^/?]+/([^?]*)', 1) AS key FROM pages")
+@query("k17_url_paths", "SELECT page_id, split_part(url, '/', 3) AS bucket, 'a b+c/' || regexp_extract(url, '^[a-z]+://[^/?]+/([^?#]*)', 1) AS key FROM pages")
 def k17(spark, d):
-    return X.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?]+)", 1).alias("bucket"), F.regexp_extract("url", "^[a-z]+://[^/?]+/([^?]*)", 1).alias("key"))
+    """Request paths /bucket/key with escapes: %20 is a blank, a plus is itself."""
+    host, rest = (F.regexp_extract("url", pattern, 1) for pattern in ("^[a-z]+://([^/]+)", "^[a-z]+://[^/?]+/([^?#]*)"))
+    paths = X.table(spark, d, "pages").select("page_id", F.concat(F.lit("/"), host, F.lit("/a%20b+c/"), rest).alias("path"))
+    bucket, key = catalog.split_path(F.col("path"))
+    return paths.select("page_id", bucket.alias("bucket"), key.alias("key"))
 
 
 @query("k18_put_assembly", "SELECT bucket, key, sum(size)::BIGINT AS size, string_agg(chunk_id, ',' ORDER BY chunk_index) AS refs FROM chunks GROUP BY 1, 2")
@@ -712,6 +919,16 @@ def k18(spark, d):
     return by.select("bucket", "key", "size", F.array_join(F.transform("c", lambda x: x["chunk_id"]), ",").alias("refs"))
 
 
+@query("k19_read", """SELECT c.bucket, c.key, coalesce(arg_min(f, chunk_index) FILTER (f IS NOT NULL), 'ok') AS status, CASE WHEN count(f) = 0 THEN sha256(any_value(o.body)) END AS digest
+FROM (SELECT *, CASE WHEN substr(chunk_id, 1, 2) = '01' THEN 'missing' WHEN substr(chunk_id, 1, 2) = '00' THEN 'size' END AS f FROM chunks) c JOIN objects_raw o ON o.bucket = c.bucket AND o.key = c.key GROUP BY 1, 2""")
+def k19(spark, d):
+    """Bodies from their chunks in order, where some are gone and some are cut short: the first fault is told."""
+    chunks = chunking.split_fixed(X.objects_raw(spark, d), X.CHUNK)
+    stored = chunks.select("chunk_id", "data").dropDuplicates(["chunk_id"]).filter("substring(chunk_id, 1, 2) <> '01'")
+    stored = stored.withColumn("data", F.when(F.col("chunk_id").startswith("00"), F.expr("substring(data, 1, octet_length(data) - 1)")).otherwise(F.col("data")))
+    return chunking.read_objects(chunks.select("bucket", "key", "chunk_index", "chunk_id", "size"), stored).select("bucket", "key", "status", F.sha2("body", 256).alias("digest"))
+
+
 @query("k20_inspect", "SELECT '{\"bucket\":\"' || bucket || '\",\"key\":\"' || key || '\",\"size\":' || octet_length(body)::VARCHAR || '}' AS line FROM objects_raw WHERE bucket = 'src3'")
 def k20(spark, d):
     return X.objects_raw(spark, d).filter("bucket = 'src3'").select(F.to_json(F.struct("bucket", "key", F.octet_length("body").alias("size"))).alias("line"))
@@ -741,10 +958,15 @@ def l5(spark, d):
     return X.wal(spark, d).agg(F.max("seq").alias("seq"))
 
 
-@query("l7_operations", "SELECT op, count(*)::BIGINT AS n FROM wal GROUP BY op")
+OPERATION_NAMES = "put_object delete_object create_bucket delete_bucket create_multipart_upload put_multipart_part complete_multipart_upload abort_multipart_upload add_runtime_dn remove_runtime_dn"
+
+
+@query("l7_operations", f"SELECT op, count(*)::BIGINT AS n FROM (SELECT string_split('{OPERATION_NAMES}', ' ')[(seq % 10 + 1)::INT] AS op FROM wal) GROUP BY op")
 def l7(spark, d):
+    """A log with every operation, whose names are checked; an unknown one is an error."""
+    rows = X.wal(spark, d).select(F.element_at(F.split(F.lit(OPERATION_NAMES), " "), (F.col("seq") % 10 + 1).cast("int")).alias("op"))
     known = F.when(F.col("op").isin(*logs.OPERATIONS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op "), "op")))
-    return X.wal(spark, d).select(known.cast("string").alias("op")).groupBy("op").agg(F.count("*").alias("n"))
+    return rows.select(known.cast("string").alias("op")).groupBy("op").agg(F.count("*").alias("n"))
 
 
 FOLD = ", last AS (SELECT bucket, key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM wal GROUP BY 1, 2)\n"
@@ -766,13 +988,12 @@ def l10(spark, d):
     return X.wal(spark, d).orderBy(F.desc("seq")).limit(10).select("seq", "op", "key")
 
 
-@query("l11_key_sync", "SELECT * FROM (VALUES ('k1', 'keep'), ('k2', 'remove'), ('k3', 'add'), ('k4', 'keep')) t(kid, action)")
+@query("l11_key_sync", "SELECT * FROM (VALUES ('k1', 'remove', 3), ('k2', 'make primary', 2), ('k3', 'add', 1), ('k5', 'remove', 3)) t(kid, action, turn)")
 def l11(spark, d):
-    """What to do with each key: the primary and the last one are never removed."""
-    own = spark.createDataFrame([("k1", True), ("k2", False), ("k4", False)], "kid string, is_primary boolean")
-    there = spark.createDataFrame([("k1",), ("k3",), ("k4",)], "kid string").withColumn("t", F.lit(True))
-    act = F.when(F.col("is_primary").isNull(), "add").when(F.col("t").isNull() & ~F.col("is_primary"), "remove").otherwise("keep")
-    return own.join(there, "kid", "full_outer").select("kid", act.alias("action"))
+    """What makes a ring the wanted one: keys are added, then the primary switches, then the others go."""
+    wanted = spark.createDataFrame([("k2", True), ("k3", False), ("k4", False)], "kid string, is_primary boolean")
+    held = spark.createDataFrame([("k1", True), ("k2", False), ("k4", False), ("k5", False)], "kid string, is_primary boolean")
+    return catalog.key_actions(wanted, held)
 
 
 # --- liveness
@@ -868,24 +1089,52 @@ def o2(spark, d):
 
 @query("o3_key_ring", "SELECT * FROM (VALUES ('k1', true, false), ('k2', false, true), ('k3', false, true)) t(kid, is_primary, removable)")
 def o3(spark, d):
-    """The last added key is made primary on request; the primary and an only key can't be removed."""
-    ring = spark.createDataFrame([("k1", True), ("k2", False), ("k3", False)], "kid string, is_primary boolean")
-    n = ring.agg(F.count("*").alias("n"))
-    return ring.crossJoin(F.broadcast(n)).select("kid", "is_primary", (~F.col("is_primary") & (F.col("n") > 1)).alias("removable"))
+    """The primary and an only key can't be removed."""
+    return catalog.removable_keys(spark.createDataFrame([("k1", True), ("k2", False), ("k3", False)], "kid string, is_primary boolean"))
+
+
+STAMP, REGION = "20240101T000000Z", "us-east-1"
+_KEY = signing.signing_key("secret", STAMP[:8], REGION)
+_PADS = ["unhex('" + bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() + "')" for x in (0x36, 0x5C)]
+SIGNED = f""", canon AS (SELECT page_id, sha256(encode(html)) AS h FROM pages),
+req AS (SELECT page_id, h, 'GET' || chr(10) || '/b/' || page_id::VARCHAR || chr(10) || chr(10) || 'host:host' || chr(10) || 'x-amz-content-sha256:' || h || chr(10) || 'x-amz-date:{STAMP}' || chr(10) || chr(10) || 'host;x-amz-content-sha256;x-amz-date' || chr(10) || h AS c FROM canon),
+sts AS (SELECT page_id, 'AWS4-HMAC-SHA256' || chr(10) || '{STAMP}' || chr(10) || '{STAMP[:8]}/{REGION}/s3/aws4_request' || chr(10) || sha256(c) AS t FROM req),
+v4 AS (SELECT page_id, sha256({_PADS[1]} || unhex(sha256({_PADS[0]} || encode(t)))) AS signature FROM sts)
+"""
 
 
-@query("o4_request_signatures")
+def _v4(spark, d):
+    """id, method, path, host, stamp, body_hash, signature of a request a page."""
+    rows = X.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/b/"), F.col("page_id").cast("string")).alias("path"), F.lit("host").alias("host"), F.lit(STAMP).alias("stamp"), F.sha2(F.encode("html", "UTF-8"), 256).alias("body_hash"))
+    return rows.join(signing.sign_requests(rows, "secret", REGION, STAMP[:8]), "id")
+
+
+@query("o4_request_signatures", SIGNED + "SELECT page_id AS id, signature FROM v4")
 def o4(spark, d):
-    rows = X.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/b/"), F.col("page_id").cast("string")).alias("path"), F.lit("host").alias("host"), F.lit("20240101T000000Z").alias("stamp"), F.sha2(F.encode("html", "UTF-8"), 256).alias("body_hash"))
-    return signing.sign_requests(rows, "secret", "us-east-1")
+    return _v4(spark, d).select("id", "signature")
+
 
+FAULTS = ["ok", "MissingSecurityHeader", "AuthorizationHeaderMalformed", "AccessDenied", "MissingSecurityHeader", "AuthorizationHeaderMalformed", "AccessDenied", "MissingSecurityHeader", "AuthorizationHeaderMalformed", "AccessDenied", "SignatureDoesNotMatch", "AuthorizationHeaderMalformed"]
 
-ERRORS = [("NoSuchKey", 404), ("NoSuchBucket", 404), ("NoSuchUpload", 404), ("InvalidPart", 400), ("InvalidPartOrder", 400), ("BucketAlreadyExists", 409), ("BucketNotEmpty", 409), ("InvalidBucketName", 400), ("SignatureDoesNotMatch", 403), ("NotImplemented", 501)]
 
+@query("o4_verify_requests", f"SELECT page_id AS id, string_split('{','.join(FAULTS)}', ',')[(page_id % {len(FAULTS)} + 1)::INT] AS verdict FROM pages")
+def o4_verify(spark, d):
+    """Signed requests, most with one fault: no header, no credential, an unknown key, no date, another date's scope, an old time, no body hash, an unsigned
+    required header, an unsigned x-amz header, another signature, a short scope."""
+    r, date = F.col("id") % len(FAULTS), F.lit(STAMP[:8])
+    scope = F.concat(F.when(r == 5, "20231231").otherwise(date), F.lit(f"/{REGION}/s3"), F.when(r == 11, "").otherwise("/aws4_request"))
+    names = F.when(r == 8, "host;x-amz-date").otherwise(";".join(signing.REQUIRED))
+    credential = F.when(r == 2, "").otherwise(F.concat(F.lit("Credential="), F.when(r == 3, "who").otherwise("me"), F.lit("/"), scope, F.lit(", ")))
+    header = F.concat(F.lit("AWS4-HMAC-SHA256 "), credential, F.lit("SignedHeaders="), names, F.lit(", Signature="), F.when(r == 10, F.reverse("signature")).otherwise(F.col("signature")))
+    pairs = F.array(F.struct(F.lit("host").alias("key"), F.col("host").alias("value")), *(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("authorization", F.when(r != 1, header)), ("x-amz-date", F.when(r != 4, F.when(r == 6, f"{STAMP[:8]}T010000Z").otherwise(F.col("stamp")))), ("x-amz-content-sha256", F.when(r != 7, F.col("body_hash"))), ("x-amz-meta-x", F.when(r == 9, "x")))))
+    requests = _v4(spark, d).select("id", "method", "path", F.lit("").alias("query"), F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("headers"))
+    return signing.verify_requests(requests, {"me": "secret"}, datetime(2024, 1, 1, 0, 10, tzinfo=UTC))
 
-@query("o5_error_codes", "SELECT * FROM (VALUES " + ", ".join(map(str, ERRORS)) + ") t(code, status)")
+
+@query("o5_error_codes", REQUESTED + "SELECT status, CASE status WHEN 'ok' THEN 200 WHEN 'NoSuchUpload' THEN 404 ELSE 400 END AS http, count(*)::BIGINT AS n FROM done GROUP BY 1, 2")
 def o5(spark, d):
-    return spark.createDataFrame(ERRORS, "code string, status int")
+    """The HTTP status of each outcome of completions."""
+    return _completed(spark, d).groupBy("status", catalog.http_status(F.col("status")).alias("http")).agg(F.count("*").alias("n"))
 
 
 # --- supporting
@@ -897,6 +1146,31 @@ def p1(spark, d):
     return votes.groupBy("term").agg(F.count_if("granted").alias("votes"), (F.count_if("granted") >= 6 // 2 + 1).alias("elected"))
 
 
+@query("s7_upserts", "SELECT * FROM (VALUES ('dn1', 'hot', 'rack1'), ('dn2', 'cold', 'rack2'), ('dn3', 'hot', 'rack9'), ('dn4', 'cold', 'rack1'), ('dn5', 'cold', 'rack2'), ('dn7', 'hot', 'rack4')) t(addr, class, domain)")
+def s7(spark, d):
+    """The node registry after changes of a class, of a domain twice, an added node and a removed one."""
+    rows = [(1, "dn2", "cold", "rack2", False), (2, "dn3", "hot", "rack8", False), (3, "dn3", "hot", "rack9", False), (4, "dn7", "hot", "rack4", False), (5, "dn6", "cold", "rack3", True)]
+    return catalog.upsert(X.nodes(spark), spark.createDataFrame(rows, "seq int, addr string, class string, domain string, removed boolean"), "addr")
+
+
+@query("s8_deletes", "SELECT bucket, key, 'deleted' AS outcome FROM objects_raw WHERE doc_id % 5 = 0 UNION ALL SELECT 'src0', 'no/such/key', 'NoSuchKey'")
+def s8(spark, d):
+    """Deletes of objects, one of a key that isn't there."""
+    objects = X.objects_raw(spark, d)
+    asked = objects.filter("doc_id % 5 = 0").select("bucket", "key").unionByName(spark.createDataFrame([("src0", "no/such/key")], "bucket string, key string"))
+    return catalog.delete_objects(objects, asked)[1]
+
+
+@query("s9_replayed_versions", """, lg AS (SELECT event_id + 1 AS seq, user_id AS u, event_type AS e FROM events), g AS (SELECT u, max(seq) FILTER (e = 'error') AS gone, max(seq) FILTER (e = 'signup') AS done FROM lg GROUP BY 1)
+SELECT 'b' AS bucket, 'user/' || lg.u::VARCHAR AS key, max(seq)::BIGINT AS seq, (coalesce(max(CASE WHEN seq = done THEN 100 + seq % 7 END), 0) + count(*) FILTER (e <> 'signup' AND seq > greatest(coalesce(gone, 0), coalesce(done, 0))))::BIGINT AS version
+FROM lg JOIN g ON g.u = lg.u WHERE e <> 'error' AND (gone IS NULL OR seq > gone) GROUP BY lg.u""")
+def s9(spark, d):
+    """Versions after a replay in which completions of uploads keep the version that they were logged with."""
+    e = X.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.lit("b").alias("bucket"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("key"), "event_type")
+    op = F.when(F.col("event_type") == "error", "delete_object").when(F.col("event_type") == "signup", "complete_multipart_upload").otherwise("put_object")
+    return logs.state_of(e.select("seq", "bucket", "key", op.alias("op"), (F.lit(100) + F.col("seq") % 7).alias("logged_version")))
+
+
 @query("s11_run_status", "SELECT addr, count(*)::BIGINT AS runs, (count(*) FILTER (NOT ok))::BIGINT AS errors, max(seq)::BIGINT AS last FROM probes GROUP BY 1")
 def s11(spark, d):
     return X.probes(spark, d).groupBy("addr").agg(F.count("*").alias("runs"), F.count_if(~F.col("ok")).alias("errors"), F.max("seq").alias("last"))

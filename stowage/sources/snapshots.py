@@ -16,8 +16,13 @@ MANIFEST = "version long, name string, n_rows long, seq long"
 
 
 def new_store(spark: SparkSession) -> str:
-    """A new store's place in the folder that spark.checkpoint.dir names; where that is unset (tests, one machine) in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stowage-")
+    """A new store's place in the folder that spark.checkpoint.dir names; where that is unset, on one machine in a temporary one; a cluster raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="stowage-")
     return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 

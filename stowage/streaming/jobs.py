@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the log and liveness operators; each has a batch twin that tests hold it against."""
+"""Structured Streaming forms of the log, liveness and scrub operators; tests hold each against its batch twin."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ def wal_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
 
 
 def upsert_into(folder: str):
-    """A foreachBatch sink: state version n + 1 is state n with the batch folded in; each version is a folder, so a retried batch writes its own anew."""
-    from ..operators.logs import fold
+    """A foreachBatch sink: state version n + 1 is state n with the batch folded in; each version is a folder, so a retried batch writes its own anew.
 
+    Each micro-batch rewrites the state, so its size should be a fair share of it; older versions stay, for readers, until their folders are deleted.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.select("bucket", "key", "seq", "op", "value")
@@ -28,7 +29,6 @@ def upsert_into(folder: str):
         last = new.groupBy("bucket", "key").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"), F.max_by("value", "seq").alias("value"))
         last.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
-    sink.fold = fold
     return sink
 
 

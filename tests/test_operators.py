@@ -40,9 +40,78 @@ def test_rebalance_cases(spark):
 def test_repair_states(spark):
     rows = [("s", i, f"dn{i}") for i in range(6)]
     shards = spark.createDataFrame(rows, "stripe_id string, shard_index int, addr string")
-    for dead, state in ((0, "healthy"), (2, "repairable"), (3, "unrepairable")):
+    stripes = shards.groupBy("stripe_id").agg(F.collect_list(F.struct("shard_index", "addr")).alias("shards")).withColumn("desired", F.array(*(F.lit(f"dn{i}") for i in (9, 8, 5, 7, 2, 3))))
+    for dead, state, places in ((0, "healthy", []), (2, "repairable", ["dn7", "dn8"]), (3, "unrepairable", [None] * 3)):
         live = spark.createDataFrame([(f"dn{i}",) for i in range(dead, 10)], "addr string")
-        assert repair.status(shards, live, 4).first().state == state
+        assert repair.status(stripes, live, 4).first().state == state
+        assert [r.new_addr for r in repair.plan(stripes, live, 4).orderBy("shard_index").collect()] == places
+
+
+def test_repair_makes_the_lost_shards(spark):
+    """Every loss of one or two shards of a stripe gives the same bytes again; of three the repair fails."""
+    data = np.random.default_rng(4).integers(0, 256, (4, 16), dtype=np.uint8)
+    every = [x.tobytes() for x in [*data, *erasure.encode(data, 2)]]
+    cases = [lost for n in (1, 2, 3) for lost in itertools.combinations(range(6), n)]
+    held = spark.createDataFrame([(f"s{i}", j, bytearray(x)) for i, lost in enumerate(cases) for j, x in enumerate(every) if j not in lost], "stripe_id string, shard_index int, data binary")
+    plan = spark.createDataFrame([(f"s{i}", j, f"new{j}") for i, lost in enumerate(cases) for j in lost], "stripe_id string, shard_index int, new_addr string")
+    made = erasure.repaired(held, plan, 4, 2)
+    got = {(r.stripe_id, r.shard_index): (r.addr, r.data and bytes(r.data)) for r in made.collect()}
+    assert got == {(f"s{i}", j): (f"new{j}", every[j] if len(lost) < 3 else None) for i, lost in enumerate(cases) for j in lost}
+    assert tuple(repair.run_stats(made).first()) == (41, 21, 20, 16 * (6 + 30))
+
+
+def test_budget_of_successes(spark):
+    rng = np.random.default_rng(5)
+    jobs = [(f"dn{rng.integers(3)}", bool(rng.random() < 0.3), f"{rng.integers(256):02x}{i}", str(rng.choice(["replication", "no-source", "ec-deferred"], p=[0.8, 0.1, 0.1])), bool(rng.random() < 0.7)) for i in range(200)]
+    frame = spark.createDataFrame(jobs, "addr string, turn boolean, chunk_id string, mode string, ok boolean").withColumn("bucket", F.substring("chunk_id", 1, 2))
+    for budget in (0, 1, 17, 500):
+        done, want = 0, {}
+        for a, _, c, mode, ok in sorted(jobs, key=lambda j: j[:3]):
+            want[a, c] = "throttled" if budget and done >= budget else mode if mode != "replication" else "repaired" if ok else "failed"
+            done += want[a, c] == "repaired"
+        assert {(r.addr, r.chunk_id): r.state for r in audit.budgeted(frame, budget, ["addr", "turn", "bucket"], ["chunk_id"]).collect()} == want
+
+
+def test_updates_of_replicas_are_range_checked(spark):
+    objects = spark.createDataFrame([("a", [["x"], ["y"]]), ("b", [["x"]]), ("c", [["z"]])], "id string, chunks array<array<string>>")
+    changes = spark.createDataFrame([("a", 1, ["q", "r"]), ("b", 1, ["q"])], "id string, at int, replicas array<string>")
+    got = {r.id: (r.chunks, r.ok) for r in rebalance.update_replicas(objects, changes).collect()}
+    assert got == {"a": ([["x"], ["q", "r"]], True), "b": ([["x"]], False), "c": ([["z"]], True)}
+
+
+def test_shard_plan_from_rows(spark):
+    shards = spark.createDataFrame([("s", i, f"id{i}", a) for i, a in enumerate(["dn1", "dn8", "dn3", "dn9"])], "stripe_id string, shard_index int, shard_id string, addr string")
+    desired = spark.createDataFrame([("s", a) for a in ("dn1", "dn2", "dn3")], "stripe_id string, addr string")
+    assert [tuple(r) for r in rebalance.plan_shards(rebalance.gathered(shards, desired)).collect()] == [("s", 1, "id1", "dn8", "dn2")]
+
+
+def test_content_stripes(spark):
+    rows = spark.createDataFrame([("b", "k", i, bytearray(b"x" * n)) for i, n in enumerate((1, 4, 9))], "bucket string, key string, chunk_index int, data binary")
+    got = [(r.stripe_index, r.data_len, bytes(r.data)) for r in erasure.content_stripes(rows, 4).orderBy("stripe_index").collect()]
+    assert got == [(0, 1, b"x\0\0\0"), (1, 4, b"xxxx"), (2, 9, b"x" * 9 + b"\0" * 3)]
+
+
+def test_split_of_a_stream(spark, tmp_path):
+    """Fixed chunks of objects as they arrive are those of the batch."""
+    frame = spark.createDataFrame([("b", f"k{i}", bytearray(bytes(range(i * 7)))) for i in range(9)], "bucket string, key string, body binary")
+    frame.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = chunking.split_fixed(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 10).drop("data")
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(chunking.split_fixed(frame, 10).drop("data"))
+
+
+def test_liveness_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    probes = [(f"dn{rng.integers(4)}", i, bool(rng.random() < 0.6), i) for i in range(200)]
+    for f in range(4):
+        spark.createDataFrame(probes[f * 50 : f * 50 + 50], "addr string, seq long, ok boolean, latency_ms long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # files of one folder are taken in the order of their times; seq decides within a batch, batches come in order
+    stream = jobs.liveness_stream(spark.readStream.schema("addr string, seq long, ok boolean, latency_ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).select("addr", "seq", "ok"))
+    seen = {}
+    stream.writeStream.outputMode("update").foreachBatch(lambda batch, _: seen.update({r.addr: (r.total_probes, r.consec_fails, r.healthy) for r in batch.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    batch = logs.liveness(spark.createDataFrame(probes, "addr string, seq long, ok boolean, latency_ms long"))
+    assert seen == {r.addr: (r.total_probes, r.consec_fails, r.healthy) for r in batch.collect()}
 
 
 def test_golden_movement(spark):
@@ -146,7 +215,7 @@ def test_log_numbers(spark, tmp_path):
 
 
 def test_parity_of_every_stripe(spark, tmp_path):
-    """d5_parity_all against shift-and-reduce products, byte by byte, of all stripes of a small table."""
+    """d5_parity against shift-and-reduce products, byte by byte, of all stripes of a small table."""
     import hashlib
 
     from stowage import queries
@@ -167,5 +236,5 @@ def test_parity_of_every_stripe(spark, tmp_path):
         for p, coefs in enumerate(((27, 28, 18, 20), (28, 27, 20, 18))):
             parity = bytes(table[coefs[0]][data[i]] ^ table[coefs[1]][data[256 + i]] ^ table[coefs[2]][data[512 + i]] ^ table[coefs[3]][data[768 + i]] for i in range(256))
             want.add((sid, 4 + p, hashlib.sha256(parity).hexdigest()))
-    got = [tuple(r) for r in queries.queries()["d5_parity_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries.queries()["d5_parity"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and len({s[0] for s, *_ in want}) > 1
