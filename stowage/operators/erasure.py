@@ -55,6 +55,7 @@ def invert(m: np.ndarray) -> np.ndarray:
     return w[:, n:]
 
 
+@functools.cache
 def encoding_matrix(k: int, m: int) -> np.ndarray:
     """(k + m) x k, the identity on top: Vandermonde times the inverse of its top square."""
     if k < 1 or m < 1 or k + m > 256:
@@ -82,17 +83,22 @@ def encode(data: np.ndarray, m: int) -> np.ndarray:
     return _apply(encoding_matrix(len(data), m)[len(data) :], data)
 
 
+@functools.lru_cache(4096)
+def _decoder(k: int, m: int, rows: tuple[int, ...], lost: tuple[int, ...]) -> np.ndarray:
+    """The matrix that makes the lost data shards of those of rows."""
+    return invert(encoding_matrix(k, m)[list(rows)])[list(lost)]
+
+
 def reconstruct(shards: list[np.ndarray | None], k: int) -> list[np.ndarray | None]:
     """Missing data shards rebuilt from the first k there are; parity stays as it is."""
     have = [i for i, s in enumerate(shards) if s is not None]
     if len(have) < k:
         raise ValueError("fewer than k shards")
-    lost = [i for i in range(k) if shards[i] is None]
+    lost = tuple(i for i in range(k) if shards[i] is None)
     if not lost:
         return list(shards)
-    rows = have[:k]
-    back = invert(encoding_matrix(k, len(shards) - k)[rows])[lost]
-    made = _apply(back, np.stack([shards[i] for i in rows]))
+    rows = tuple(have[:k])
+    made = _apply(_decoder(k, len(shards) - k, rows, lost), np.stack([shards[i] for i in rows]))
     return [made[lost.index(i)] if i in lost else s for i, s in enumerate(shards)]
 
 
@@ -121,10 +127,15 @@ def shards(stripe: DataFrame, k: int, m: int) -> DataFrame:
     """stripe_id, shard_index, shard_id, data of each distinct stripe: k of data, m of parity, in Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, by_size = [], {}
             for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(data, np.uint8).reshape(k, -1)
-                rows += [(sid, i, hashlib.sha256(s.tobytes()).hexdigest(), s.tobytes()) for i, s in enumerate(np.concatenate([own, encode(own, m)]))]
+                by_size.setdefault(len(data), []).append((sid, data))
+            for size, own in by_size.items():  # stripes of one size are encoded together
+                data = np.frombuffer(b"".join(x for _, x in own), np.uint8).reshape(len(own), k, size // k).transpose(1, 0, 2)
+                every = np.concatenate([data, encode(data.reshape(k, -1), m).reshape(m, len(own), -1)])
+                for j, (sid, _) in enumerate(own):
+                    parts = [every[i, j].tobytes() for i in range(k + m)]
+                    rows += [(sid, i, hashlib.sha256(x).hexdigest(), x) for i, x in enumerate(parts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["stripe_id", "shard_index", "shard_id", "data"])
 

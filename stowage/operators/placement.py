@@ -10,31 +10,38 @@ from ..functions.hashing import descending, score
 Node = tuple[str, str, str]  # addr, class, domain
 
 
-def _scored(key: Column, nodes: list[Node]) -> Column:
-    return F.array_sort(F.array(*[F.struct(descending(score(key, F.lit(a))).alias("s"), F.lit(a).alias("addr"), F.lit(d).alias("domain")) for a, _, d in nodes]))
+def _ranked(key: Column, nodes: list[Node]) -> list[Column]:
+    """A text for each node whose ascending order is score descending, address ascending: the flipped score's 16 digits, then the address."""
+    return [F.concat(descending(score(key, F.lit(a))), F.lit(a)) for a, _, _ in nodes]
+
+
+def _first(ranked: list[Column], n: int | Column, skip: int = 16) -> Column:
+    """The addresses of the first n texts."""
+    return F.transform(F.slice(F.sort_array(F.array(*ranked)), F.lit(1), F.lit(n) if isinstance(n, int) else n), lambda x: F.substring(x, skip + 1, 1 << 30))
 
 
 def pick(key: Column, n: int, nodes: list[Node]) -> Column:
     """Addresses of the n best nodes: score descending, address ascending; all of them if n is more, none if n <= 0."""
     if n <= 0 or not nodes:
         return F.array().cast("array<string>")
-    return F.transform(F.slice(_scored(key, nodes), 1, n), lambda x: x["addr"])
+    return _first(_ranked(key, nodes), n)
 
 
 def pick_by_domain(key: Column, n: int, nodes: list[Node]) -> Column:
     """First the best node of each domain, then the others, both by score."""
     if n <= 0 or not nodes:
         return F.array().cast("array<string>")
-    if len({d for _, _, d in nodes}) == 1:
-        return pick(key, n, nodes)
-
 
-    def picked(byscore: Column) -> Column:
-        later = F.transform(byscore, lambda x, i: F.struct(F.exists(F.slice(byscore, 1, i), lambda y: y["domain"] == x["domain"]).alias("again"), x["s"].alias("s"), x["addr"].alias("addr")))
-        return F.transform(F.slice(F.array_sort(later), 1, n), lambda x: x["addr"])
+    def picked(ranked: Column) -> Column:
+        texts = [F.get(ranked, F.lit(i)) for i in range(len(nodes))]
+        by: dict[str, list[Column]] = {}
+        for text, (_, _, domain) in zip(texts, nodes, strict=True):
+            by.setdefault(domain, []).append(text)
+        best = {d: F.least(*own) if len(own) > 1 else own[0] for d, own in by.items()}
+        return _first([F.concat(F.when(text == best[d], "0").otherwise("1"), text) for text, (_, _, d) in zip(texts, nodes, strict=True)], n, 17)
 
-    # an array of one element binds the scores, which are else computed again for each node
-    return F.element_at(F.transform(F.array(_scored(key, nodes)), picked), 1)
+    # an array of one element binds the texts, which are else hashed again wherever they stand
+    return F.element_at(F.transform(F.array(F.array(*_ranked(key, nodes))), picked), 1)
 
 
 def pick_class(key: Column, n: int, nodes: list[Node], wanted: str) -> Column:
@@ -49,7 +56,7 @@ def pick_labelled(key: Column, label: Column, replicas: Column, wanted: int, n:
     for name in sorted({c for _, c, _ in nodes}):
         own = [x for x in nodes if x[1] == name]
         if len(own) >= wanted:
-            out = F.when(label == name, F.transform(F.slice(_scored(key, own), F.lit(1), replicas), lambda x: x["addr"])).otherwise(out)
+            out = F.when(label == name, _first(_ranked(key, own), replicas)).otherwise(out)
     return out
 
 
