@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -13,9 +14,10 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stowage.llm import bpe, html_text, jaccard_join, language_id, licenses, line_dedup, queries, secrets
+from stowage.llm import bpe, html_text, jaccard_join, language_id, licenses, line_dedup, media, queries, secrets
 from stowage.llm.components import components
 from stowage.llm.line_dedup import mark
 
@@ -78,21 +80,8 @@ def shingles(text):
 
 def test_jaccard(spark, folder):
     d, docs = folder
-    sets = {i: shingles(t) for i, t in docs.items()}
-    parent = {i: i for i in docs}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in docs:
-        for j in docs:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
     got = run(spark, "op1_jaccard_join", d)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == {i: (len(sets[i]), root(i)) for i in docs}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == {i: (len(shingles(t)), least) for (i, t), least in zip(docs.items(), groups_of(docs).values(), strict=True)}
 
 
 def test_need_is_exact():
@@ -115,6 +104,28 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Forests of a few edges each, so that trees meet between them; an end of the rounds is an error."""
+    from stowage.llm import components as C
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 1), (7, 7)]
+    least = {i: i for e in edges if None not in e for i in e if e[0] != e[1]}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b and a is not None:
+                least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    monkeypatch.setattr(C, "_contracted", lambda e: e.repartition(3))  # without forests the rounds alone must do
+    assert {r.id: r.label for r in C.components(frame).collect()} == least
+    with pytest.raises(RuntimeError):
+        C.components(frame, rounds=1)
+    monkeypatch.undo()
+    assert {r.id: r.label for r in C.components(frame).collect()} == least
+    a, b = C.forest(*map(np.array, zip(*[e for e in edges if None not in e], strict=True)))
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: x for i, x in least.items() if x != i}
+
+
 def keys(text):
     return [line.strip(" \t\n\x0b\x0c\r").translate(LOW) for line in (text or "").split("\n")]
 
@@ -355,24 +366,190 @@ def test_html_layouts_of_one_host(spark, limit):
     assert got == {i: f"own {i}" + "\n\noften said" * (i % 5 == 0) if i < 30 else f"copied\n\ntext\n\nown {i}" if i < 34 else f"{i}\n\n{-i}\n\nown {i}" for i in range(40)}
 
 
+def groups_of(texts):
+    """The least id of each id's component of texts that link, by all pairs."""
+    sets, parent = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in texts}
+
+
+def masked_plainly(text):
+    """Every character of a plain secret's span marked, and each run of marked spans that overlap replaced."""
+    spans = [m.span() for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", text, re.A | re.I)]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]{16,}", text)] + [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "<secret>"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def test_pipeline(spark, folder):
+    """Each stage against a brute-force version of it on what the stage before kept."""
     import corpus_pipeline as pipe
 
     d, docs = folder
-    frame, columns = spark.read.parquet(f"{d}/documents.parquet"), None
-    texts = docs
+    frame, texts = spark.read.parquet(f"{d}/documents.parquet"), docs
     for name, stage in pipe.STAGES[:-1]:
         frame = stage(spark, frame, d)
-        columns = columns or frame.columns
-        now = {r.doc_id: r.text for r in frame.collect()}
-        assert frame.columns == SHAPE.replace(" long", "").replace(" string", "").split(", ")
+        rows = frame.collect()
+        now = {r.doc_id: r.text for r in rows}
+        assert frame.columns == SHAPE.replace(" long", "").replace(" string", "").split(", ") and all(r.n_chars == len(r.text) for r in rows)
         if name == "language_id":
             assert now == {i: t for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
+        if name == "line_dedup":
+            n = Counter(k for t in texts.values() for k in set(keys(t)) if k)
+            assert now == {i: "\n".join(x for x, k in zip(t.split("\n"), keys(t), strict=True) if n[k] < 10) for i, t in texts.items()} != texts
         if name == "near_duplicates":
-            assert set(now) <= set(texts) and min(texts) in now
+            assert now == {i: texts[i] for i, least in groups_of(texts).items() if i == least} and len(now) < len(texts)
+        if name == "secrets":
+            assert now == {i: masked_plainly(t) for i, t in texts.items()} != texts
         texts = now
-    got = pipe.STAGES[-1][1](spark, frame, d).toPandas()
-    assert set(got.doc_id) == set(texts)
+    got = pipe.STAGES[-1][1](spark, frame, d).toPandas().sort_values(["sequence_id", "offset"])
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in texts.items()}
+    assert (got.length.cumsum() - got.length == got.sequence_id * 2048 + got.offset).all() and got.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got.itertuples())
+
+
+def test_language_scores_are_those_of_brute_force(spark):
+    """Counts, log probabilities and scores of a fit on three languages, n-gram by n-gram in plain Python."""
+    rng = random.Random(2)
+    parts = {"a": ["the", "of", "and", "wh"], "b": ["der", "ung", "ß", "ich"], "c": ["é", "que", "ou", "les"]}
+    texts = [(lang, " ".join("".join(rng.choices(parts[lang if rng.random() < 0.8 else "a"], k=2)) for _ in range(rng.randint(1, 40))) + "! 12") for lang in "aabbc" for _ in range(8)]
+    model = language_id.fit(spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string"))
+
+    def grams(text):
+        c = re.sub(r" +", " ", " " + "".join(x if x.isalpha() else " " for x in text.lower()) + " ")
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h ^ ord(x)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield h >> 49
+
+    counts = {x: Counter(g for lang, t in texts if lang == x for g in grams(t)) for x in "abc"}
+    asked = [t for _, t in texts] + ["é", "zz unknown 7", "and der que"]
+    langs, scores = model.predict(asked)
+    for t, lang, score in zip(asked, langs, scores, strict=True):
+        total = {x: math.log(sum(y == x for y, _ in texts) / len(texts)) + sum(math.log((counts[x][g] + 0.5) / (counts[x].total() + 0.5 * 2**15)) for g in grams(t)) for x in "abc"}
+        best = max(sorted(total), key=total.get)
+        assert lang == best and abs(score - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-9
+
+
+def test_fit_bounds_rows_not_ids(spark):
+    docs = spark.createDataFrame([(1, "one", "a")] * 30 + [(i, "two", "b") for i in range(2, 12)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, rows=10).languages == ["b"] and language_id.fit(docs, rows=40).languages == ["a", "b"]
+
+
+def test_key_structures():
+    """Keys of each encoding are reported, and cut or lengthened ones are not."""
+    point, oid = der(bytes(range(32)), tag=4), der(b"\x2a\x86\x48\xce\x3d", tag=6)
+    kinds = {
+        "pkcs8": (der(der(b"\0", tag=2), der(oid), der(bytes(range(70)), tag=4)), "der"),
+        "sec1": (der(der(b"\1", tag=2), point, der(oid, tag=0xA0)), "der"),
+        "openssh": (b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + bytes(30), "openssh"),
+    }
+    for raw, kind in kinds.values():
+        b64 = base64.b64encode(raw).decode()
+        spans = secrets.spans_of(f"key {b64} end")[1]
+        assert (kind, 4, 4 + len(b64)) in spans
+        assert secrets.key_kind(raw[:20]) is None and (kind == "openssh" or secrets.key_kind(raw + b"x") is None)
+    assert secrets.key_kind(der(oid, point)) is None and secrets.key_kind(b"") is None
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"RSA-OAEP","enc":"A128GCM"}', b"any")) + ".x"
+    assert [k for k, _, _ in secrets.spans_of(token)[1]] == ["jwt"] and [k for k, _, _ in secrets.spans_of(token.replace(".", "..", 1))[1]] == []
+
+
+def test_likeness_is_the_share_of_common_leaves():
+    """The tree's likeness against multisets of leaves, and differences at the edited place."""
+    from stowage.llm import fingerprint
+
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices("red blue green one two. three! four".split(), k=rng.randint(0, 30))) for _ in range(30)]
+    leaves = lambda t: Counter(x for line in t.split("\n") if line.strip() for x in fingerprint._leaves(line))
+    for _ in range(200):
+        a, b = ("\n".join(rng.choices(lines, k=rng.randint(0, 12))) for _ in range(2))
+        x, y = leaves(a), leaves(b)
+        want = 1.0 if a == b else 0.0 if not x or not y else (x & y).total() / max(x.total(), y.total())
+        assert fingerprint.likeness(fingerprint.tree(a), fingerprint.tree(b)) == want
+    text = [f"paragraph number {i} of this text" for i in range(20)]
+    a, b = (fingerprint.tree("\n".join(t)) for t in (text, [*text[:7], "an edited one", *text[8:]]))
+    places = fingerprint.differences(a, b)
+    assert len(places) == 1 and [p for s in a.split("/")[1:] for p in s.split(":")].index(a.split("/")[1 + places[0][0]].split(":")[places[0][1]]) == 7
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 24, 25, 26])
+def test_ranges_of_ids(spark, n):
+    from stowage.llm.fingerprint import _ranges
+
+    cuts = list(range(-6, 3 * n - 6, 3))
+    got = spark.range(-12, 80).select("id", _ranges(F.col("id"), cuts).alias("r")).collect()
+    assert all(r.r == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_features_of_payloads():
+    for data in (bytes([255]) * 576, bytes(range(256)) * 9, b"abc" * 384, random.Random(1).randbytes(576 * 3)):
+        cut = [i * len(data) // 65 for i in range(66)]
+        means = [sum(data[a:b]) / max(1, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+        bits = "".join("1" if y > x else "0" for x, y in zip(means, means[1:], strict=False))
+        mean = sum(data) / len(data)
+        dev = math.sqrt(max(0.0, sum(x * x for x in data) / len(data) - mean * mean))
+        assert media.feature(data) == f"{int(bits, 2):016x}:{int(mean * 100)}:{int(dev * 100)}"
+
+
+def test_filters_merge_over_many_tasks(spark):
+    """More tasks than one merge takes: the filter is that of all documents in one task."""
+    docs = spark.createDataFrame([(i, f"line {i % 40}\nother {i}") for i in range(120)], "doc_id long, text string")
+    one, many = (line_dedup.twice_filter(docs.repartition(n, "doc_id"), bits=16, segment=12, fan=3) for n in (1, 11))
+    assert one == many and sum(map(int.bit_count, one)) >= 40
+
+
+def test_license_notices_against_brute_force(spark):
+    """Notices with words put in and left out: labels and scores by every pair of words, diagonal and span in plain Python."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = "intro text".split()
+        for _, _, phrase, _ in rng.choices(licenses.NOTICES[6:], k=rng.randint(1, 2)):
+            keep = rng.choice([1.0, 0.9, 0.75, 0.6])
+            words += [x for w in phrase.split() if rng.random() < keep for x in ([w, "junk"] if rng.random() < 0.05 else [w])] + ["and", "more"]
+        texts.append(" ".join(words))
+    got = {r.doc_id: (r.labels, r.score, r.n_base) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        w, labels, cover = t.split(), set(), 0.0
+        for p, label in licenses.BASE.items():
+            labels |= {label} if f" {p} " in f" {t} " else set()
+        for _, label, phrase, share in licenses.NOTICES:
+            q = phrase.split()
+            hits = sorted((a - b, a, b) for a in range(len(w) - 1) for b in range(len(q) - 1) if w[a : a + 2] == q[b : b + 2])
+            runs: list[list] = []
+            for h in hits:
+                if not runs or h[0] - runs[-1][-1][0] > licenses.NEAR:
+                    runs.append([])
+                runs[-1].append(h)
+            steps = len(q) - 1
+            for run_ in runs:
+                for _, a, _ in run_:
+                    c = len({b for _, x, b in run_ if a <= x < a + 2 * steps})
+                    if c >= share * steps:
+                        labels.add(label)
+                        cover = max(cover, c / steps)
+        found += bool(cover)
+        assert got[i][0] == ",".join(sorted(labels)) and abs(got[i][1] - (1.0 if got[i][2] else cover)) < 1e-12
+    assert 10 < found < 60
 
 
 @pytest.mark.parametrize("batch", [["x", "a" * 24], ["", "f" * 24, None, "z " + "0" * 24], ["q", "0" * 24 + " z", "tail"], ["a" * 23, "b" * 23], [""], [None, "c" * 24 + "\n" + "d" * 23]])
