@@ -204,6 +204,22 @@ def store_stats(objects: DataFrame, chunk: int, k: int, m: int, shard: int, node
     return objects.agg(F.count("*").alias("objects"), F.count_if(coded).alias("ec_objects"), count(chunk, ~coded).alias("chunks"), stripes.alias("stripes"), (stripes * (k + m)).alias("shards"), F.lit(nodes).cast("long").alias("dns"))
 
 
+def brief(objects: DataFrame, chunk: int, k: int, m: int, shard: int, coded: Column, limit: int = 1000) -> DataFrame:
+    """key, size, version, chunks, ec, stripes of the first objects (bucket, key, size, version) in scan order; limit <= 0 is all.
+
+    A coded object has its code ("k+m") and stripes, another one its chunks; what doesn't hold, and a count of 0, is null.
+    """
+    n = lambda size, which: F.when(which, F.nullif(F.ceil(F.col("size") / size).cast("long"), F.lit(0).cast("long")))
+    first = list_prefix(objects, limit=limit)
+    return first.select("key", "size", "version", n(chunk, ~coded).alias("chunks"), F.when(coded, F.lit(f"{k}+{m}")).alias("ec"), n(k * shard, coded).alias("stripes"))
+
+
+def expired_uploads(uploads: DataFrame, cutoff: Column, limit: int = 0) -> DataFrame:
+    """Pending uploads (bucket, key, upload_id, created_at) from before the cutoff, the first ones in scan order if there is a limit; those without a time stay."""
+    old = uploads.filter(F.col("created_at") < cutoff)
+    return old.orderBy("bucket", "key", "upload_id").limit(limit) if limit > 0 else old
+
+
 def split_path(path: Column) -> tuple[Column, Column]:
     """bucket and key of an escaped request path: percent escapes are decoded, a plus stays."""
     trimmed = F.regexp_replace(path, "^/", "")

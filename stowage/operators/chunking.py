@@ -123,3 +123,14 @@ def split_content(objects: DataFrame, config: ContentDefined = ContentDefined(),
 
     shape = "bucket string, key string, chunk_index int, offset long, size long, chunk_id string" + (", data binary" if data else "")
     return objects.select("bucket", "key", "body").mapInArrow(run, shape)
+
+
+def put_chunks(stored: DataFrame, puts: DataFrame) -> DataFrame:
+    """addr, chunk_id, size, status of each put of a chunk at a node: mismatch if its id isn't its bytes' digest, already-stored, or stored.
+
+    stored: addr, chunk_id; puts: addr, chunk_id, digest, size, force. A forced put stores over what is there. Repeated puts of one chunk are one.
+    """
+    own = puts.withColumn("same", F.coalesce(F.col("digest") == F.col("chunk_id"), F.lit(False))).groupBy("addr", "chunk_id", "same").agg(F.max("size").alias("size"), F.max("force").alias("force"))
+    there = stored.select("addr", "chunk_id").distinct().withColumn("there", F.lit(True))
+    status = F.when(~F.col("same"), "mismatch").when(F.col("there").isNotNull() & ~F.col("force"), "already-stored").otherwise("stored")
+    return own.join(there, ["addr", "chunk_id"], "left").select("addr", "chunk_id", "size", status.alias("status"))

@@ -44,6 +44,43 @@ def merge(snapshot: DataFrame, log: DataFrame, seq: int) -> DataFrame:
     return fold(base.unionByName(log.filter(F.col("seq") > seq).select("bucket", "key", "seq", "op", "value")))
 
 
+def follow(state: DataFrame, known: int, log: DataFrame, snapshot: DataFrame, at: int) -> tuple[DataFrame, int, str]:
+    """A follower's next state (bucket, key, seq, value), the number up to which it stands, and whence it came: log or snapshot.
+
+    state stands for the log up to known (0: never synced); log holds what the leader retains (seq, op, bucket, key, value); snapshot
+    stands for the log up to at. The rows behind known are applied if the log has them without a gap and knows each operation; else the
+    snapshot replaces the state. One row is fetched to decide.
+    """
+    seen = log.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_if((F.col("seq") > known) & ~F.col("op").isin(*OPERATIONS)).alias("unknown")).first()
+    if known > 0 and seen["first"] is not None and seen["first"] <= known + 1 and seen["unknown"] == 0:
+        return merge(state, log, known), max(known, seen["last"]), "log"
+    return snapshot, at, "snapshot"
+
+
+def sync_status(runs: DataFrame) -> DataFrame:
+    """addr, last_sync, last_size, last_err, total_syncs, total_errors of followers. runs: addr, at, size, err (null where it went well).
+
+    last_err is empty once a later run went well. One aggregate with map-side combining.
+    """
+    good = F.col("err").isNull()
+    by = runs.groupBy("addr").agg(F.max(F.when(good, F.col("at"))).alias("last_sync"), F.max_by("size", F.when(good, F.col("at"))).alias("last_size"), F.max_by("err", "at").alias("err"), F.count_if(good).alias("total_syncs"), F.count_if(~good).alias("total_errors"))
+    return by.select("addr", "last_sync", "last_size", F.coalesce("err", F.lit("")).alias("last_err"), "total_syncs", "total_errors")
+
+
+def group_commit(log: DataFrame, every: int) -> DataFrame:
+    """start (seconds), batch, first: the rows that one tick of every seconds commits, and the time of the first of them. log: at (seconds)."""
+    start = (F.floor(F.col("at") / every) * every).cast("long")
+    return log.groupBy(start.alias("start")).agg(F.count("*").alias("batch"), F.min("at").alias("first"))
+
+
+def commit_gauges(log: DataFrame, every: int, now: int) -> DataFrame:
+    """One row: last_batch (rows of the last tick up to now that had any, else 0) and oldest_unsynced (age in seconds of the oldest row since the last tick, else 0)."""
+    tick = now - now % every
+    by = group_commit(log.filter(F.col("at") <= now), every)
+    done = F.col("start") < tick
+    return by.agg(F.coalesce(F.max_by(F.when(done, F.col("batch")), F.when(done, F.col("start"))), F.lit(0)).cast("long").alias("last_batch"), F.coalesce(F.lit(now) - F.min(F.when(~done, F.col("first"))), F.lit(0)).cast("long").alias("oldest_unsynced"))
+
+
 def liveness(probes: DataFrame, threshold: int = 3) -> DataFrame:
     """addr, total_probes, consec_fails, healthy, latency_ms of the last probe: the fold of a node's probes in order of seq.
 

@@ -101,3 +101,20 @@ def scheduled(repairs: DataFrame, budget: int, spent: int, order: list[str]) ->
         return repairs.withColumn("state", F.lit("scheduled"))
     first = repairs.orderBy(*order).limit(max(0, budget - spent)).select(*order).withColumn("state", F.lit("scheduled"))
     return repairs.join(F.broadcast(first), order, "left").withColumn("state", F.coalesce("state", F.lit("throttled")))
+
+
+def first_seen(sightings: DataFrame, key: str, cap: int = 100_000) -> DataFrame:
+    """key, seq of the sightings that raise an alert: a key's first, until cap keys are held; the next new key clears them and all count anew.
+
+    sightings: key, seq (unique). Each clearing needs the one before it, so there is a job for each cap alerts, which reads the sightings from
+    there and gathers one number; the alerts themselves are one aggregate.
+    """
+    starts = []
+    while True:
+        firsts = (sightings.filter(F.col("seq") >= starts[-1]) if starts else sightings).groupBy(key).agg(F.min("seq").alias("seq"))
+        r = firsts.orderBy("seq").limit(cap + 1).agg(F.max("seq").alias("seq"), F.count("*").alias("n")).first()
+        if r.n <= cap:
+            break
+        starts.append(r.seq)
+    epoch = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("seq"))) if starts else F.lit(0)
+    return sightings.groupBy(key, epoch.alias("__epoch")).agg(F.min("seq").alias("seq")).drop("__epoch")

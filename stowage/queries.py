@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import hashing as H
 from .operators import catalog, chunking, erasure, logs, placement, signing
 from .plans import audit, gc, rebalance, repair
+from .sources import files, snapshots
 from .sources import fixtures as X
-from .sources import snapshots
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -56,8 +56,7 @@ def a3(spark, d):
     rows = X.inventory(spark, d)
     path = F.concat(F.lit("chunks/"), F.substring("chunk_id", 1, 2), F.lit("/"), F.expr("substring(chunk_id, 3)"))
     paths = rows.select("addr", "size", F.explode(F.array(path, F.concat(path, F.lit(".tmp")), F.lit("chunks/zz/other"))).alias("path"))
-    cid = F.concat(F.regexp_extract("path", "^chunks/([^/]+)/([^/]+)$", 1), F.regexp_extract("path", "^chunks/([^/]+)/([^/]+)$", 2))
-    return paths.withColumn("chunk_id", cid).filter(H.is_chunk_id(F.col("chunk_id"))).select("addr", "chunk_id", "size")
+    return paths.withColumn("chunk_id", files.chunk_id_of(F.col("path"))).filter("chunk_id IS NOT NULL").select("addr", "chunk_id", "size")
 
 
 @query("a4_node_listing", "SELECT chunk_id, size, mtime FROM inventory WHERE addr = 'dn2'")
@@ -78,6 +77,15 @@ def a6(spark, d):
     return c.withColumn("id", claimed).filter(F.sha2("data", 256) == F.col("id")).select(F.lit("dn1").alias("addr"), F.col("id").alias("chunk_id"), "size").dropDuplicates(["addr", "chunk_id"])
 
 
+@query("a6_put_outcomes", """SELECT r.addr, r.chunk_id, r.size, CASE WHEN substr(r.chunk_id, 1, 1) = 'f' THEN 'mismatch' WHEN i.addr IS NOT NULL AND c.addr IS NULL THEN 'already-stored' ELSE 'stored' END AS status
+FROM old_refs r LEFT JOIN inventory i ON i.addr = r.addr AND i.chunk_id = r.chunk_id LEFT JOIN corrupt c ON c.addr = r.addr AND c.chunk_id = r.chunk_id""")
+def a6_outcomes(spark, d):
+    """Every chunk is put where it belongs, twice; puts where a scrub found wrong bytes are forced, and bodies of ids that begin with f aren't the chunk's."""
+    rows = X.placed(spark, d).select("chunk_id", "size", F.explode("addrs").alias("addr"), F.when(F.col("chunk_id").startswith("f"), F.sha2(F.lit(b"x"), 256)).otherwise(F.col("chunk_id")).alias("digest"))
+    forced = rows.join(X.corrupt(spark, d).withColumn("rot", F.lit(True)), ["addr", "chunk_id"], "left").withColumn("force", F.col("rot").isNotNull())
+    return chunking.put_chunks(X.inventory(spark, d), forced.unionByName(rows.withColumns({"rot": F.lit(None).cast("boolean"), "force": F.lit(False)})))
+
+
 @query("a7_delete", "SELECT i.addr, i.chunk_id FROM inventory i LEFT JOIN corrupt c ON c.addr = i.addr AND c.chunk_id = i.chunk_id WHERE c.addr IS NULL")
 def a7(spark, d):
     return X.inventory(spark, d).join(X.corrupt(spark, d), ["addr", "chunk_id"], "left_anti").select("addr", "chunk_id")
@@ -654,6 +662,13 @@ def h13(spark, d):
     return X.wal(spark, d).filter("op = 'delete_object'").groupBy("key").agg(F.min("seq").alias("seq"))
 
 
+@query("h13_alerts", """SELECT key, seq FROM (WITH RECURSIVE starts(s, n) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT (SELECT f FROM (SELECT key, min(seq) AS f FROM wal WHERE op = 'delete_object' AND seq >= starts.s GROUP BY key) ORDER BY f LIMIT 1 OFFSET 100)::BIGINT, n + 1 FROM starts WHERE s IS NOT NULL)
+SELECT w.key, s, min(w.seq)::BIGINT AS seq FROM wal w JOIN (SELECT s, lead(s) OVER (ORDER BY s) AS e FROM starts WHERE s IS NOT NULL) ON w.seq >= s AND (e IS NULL OR w.seq < e) WHERE w.op = 'delete_object' GROUP BY w.key, s)""")
+def h13_alerts(spark, d):
+    """Of 100 held keys, so that they are cleared often; the operator's own cap, 100,000, would hold all keys of the test tables."""
+    return audit.first_seen(X.wal(spark, d).filter("op = 'delete_object'").select("key", "seq"), "key", 100)
+
+
 @query("h15_audit_rollup", TREE + "SELECT count(DISTINCT addr)::BIGINT AS divergent, (count(*) FILTER (kind = 'missing'))::BIGINT AS missing FROM diff")
 def h15(spark, d):
     return audit.audit(X.refs(spark, d), X.inventory(spark, d)).agg(F.count_distinct("addr").alias("divergent"), F.count_if(F.col("kind") == "missing").alias("missing"))
@@ -757,6 +772,14 @@ def k2(spark, d):
     return X.chunks(spark, d).groupBy("bucket", "key").agg(F.sum("size").alias("size"), F.count("*").alias("chunks")).select("key", "size", "chunks")
 
 
+@query("k2_brief", """SELECT key, size, version, CASE WHEN doc_id % 3 <> 0 THEN nullif(ceil(size / 700.0)::BIGINT, 0) END AS chunks, CASE WHEN doc_id % 3 = 0 THEN '4+2' END AS ec, CASE WHEN doc_id % 3 = 0 THEN nullif(ceil(size / 1200.0)::BIGINT, 0) END AS stripes
+FROM (SELECT bucket, key, doc_id, octet_length(body)::BIGINT AS size, (doc_id % 5 + 1)::BIGINT AS version FROM objects_raw ORDER BY bucket || '/' || key LIMIT 1000)""")
+def k2_brief(spark, d):
+    """A third of the objects are coded, as in k13."""
+    objects = X.objects_raw(spark, d).select("bucket", "key", "doc_id", F.octet_length("body").cast("long").alias("size"), (F.col("doc_id") % 5 + 1).cast("long").alias("version"))
+    return catalog.brief(objects, 700, K, M, 300, F.col("doc_id") % 3 == 0)
+
+
 @query("k3_list_page", """, keys AS (SELECT key, substr(key, 4) AS rest FROM objects_raw WHERE bucket = 'src0' AND starts_with(key, 'en/') AND key > 'en/00000050'), e AS (SELECT CASE WHEN instr(rest, '5') > 0 THEN 'en/' || substr(rest, 1, instr(rest, '5')) ELSE key END AS emit, instr(rest, '5') > 0 AS is_prefix, key FROM keys)
 SELECT emit, is_prefix FROM (SELECT emit, is_prefix, min(key) AS f FROM e WHERE NOT is_prefix OR emit > 'en/00000050' GROUP BY 1, 2) ORDER BY f LIMIT 20""")
 def k3(spark, d):
@@ -844,6 +867,12 @@ def k8(spark, d):
     return X.table(spark, d, "events").filter("event_type = 'signup' AND ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id")
 
 
+@query("k8_expired_limit", "SELECT event_id AS upload_id FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-10 00:00:00' ORDER BY user_id, event_id LIMIT 20")
+def k8_limit(spark, d):
+    up = X.table(spark, d, "events").filter("event_type = 'signup'").select(F.lit("b").alias("bucket"), F.col("user_id").alias("key"), F.col("event_id").alias("upload_id"), F.col("ts").alias("created_at"))
+    return catalog.expired_uploads(up, F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), 20).select("upload_id")
+
+
 @query("k9_deletable_buckets", "SELECT b.bucket, b.bucket NOT IN (SELECT bucket FROM objects_raw) AS deletable FROM (SELECT DISTINCT bucket FROM objects_raw UNION ALL SELECT 'empty') b")
 def k9(spark, d):
     used = X.objects_raw(spark, d).select("bucket").distinct().withColumn("u", F.lit(True))
@@ -937,10 +966,24 @@ def k20(spark, d):
 # --- log
 
 
+def _committed(spark, d):
+    return X.wal(spark, d).select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+
+
 @query("l2_group_commit", "SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, count(*)::BIGINT AS batch FROM events GROUP BY 1")
 def l2(spark, d):
-    by = X.wal(spark, d).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("batch"))
-    return by.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "batch")
+    return logs.group_commit(_committed(spark, d), 3600).select("start", "batch")
+
+
+NOWS = [X.BASE_TIME - 1, X.BASE_TIME + 7 * 86400 + 1800, X.BASE_TIME + 20 * 86400 + 3599, X.AS_OF + 10**8]
+
+
+@query("l2_gauges", ", times AS (SELECT floor(epoch(ts))::BIGINT AS t FROM wal)\n" + "\nUNION ALL ".join(f"""SELECT {n}::BIGINT AS now, coalesce((SELECT count(*) FROM times WHERE t < {n - n % 3600} GROUP BY t // 3600 ORDER BY t // 3600 DESC LIMIT 1), 0)::BIGINT AS last_batch,
+ coalesce({n} - (SELECT min(t) FROM times WHERE t BETWEEN {n - n % 3600} AND {n}), 0)::BIGINT AS oldest_unsynced""" for n in NOWS))
+def l2_gauges(spark, d):
+    """Before the log, at two times in it and long after it."""
+    out = [logs.commit_gauges(_committed(spark, d), 3600, n).select(F.lit(n).cast("long").alias("now"), "last_batch", "oldest_unsynced") for n in NOWS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("l3_since", "SELECT seq, op, key FROM wal WHERE seq > 9900 ORDER BY seq")
@@ -983,6 +1026,22 @@ def l9(spark, d):
     return logs.merge(logs.fold(w.filter("seq <= 5000")), w, 5000)
 
 
+FOLLOWERS = [("new", 0, 0, "put_object"), ("near", 500, 0, "put_object"), ("edge", 600, 600, "put_object"), ("cut off", 100, 600, "put_object"), ("older", 500, 0, "rename_object")]
+
+
+@query("l9_fall_back", ", cases(follower, source, upto) AS (VALUES ('new', 'snapshot', 700), ('near', 'log', (SELECT max(seq) FROM wal)), ('edge', 'log', (SELECT max(seq) FROM wal)), ('cut off', 'snapshot', 700), ('older', 'snapshot', 700)), folded AS (SELECT follower, source, upto, key, max(seq) AS seq, arg_max(op, seq) AS op FROM cases JOIN wal ON seq <= upto GROUP BY 1, 2, 3, 4)\nSELECT follower, source, upto::BIGINT AS upto, key, seq::BIGINT AS seq FROM folded WHERE op <> 'delete_object'")
+def l9_fall_back(spark, d):
+    """Followers that never synced, that the log serves, that stand where it begins, that it no longer reaches, and that meet an unknown operation."""
+    w = X.wal(spark, d)
+    snapshot, out = logs.fold(w.filter("seq <= 700")), None
+    for name, known, cut, op in FOLLOWERS:
+        held = w.filter(F.col("seq") > cut).withColumn("op", F.when(F.col("seq") == 800, op).otherwise(F.col("op")) if op not in logs.OPERATIONS else F.col("op"))
+        state, upto, source = logs.follow(logs.fold(w.filter(F.col("seq") <= known)), known, held, snapshot, 700)
+        one = state.select(F.lit(name).alias("follower"), F.lit(source).alias("source"), F.lit(upto).cast("long").alias("upto"), "key", "seq")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("l10_recent", "SELECT seq, op, key FROM wal ORDER BY seq DESC LIMIT 10")
 def l10(spark, d):
     return X.wal(spark, d).orderBy(F.desc("seq")).limit(10).select("seq", "op", "key")
@@ -1176,6 +1235,11 @@ def s11(spark, d):
     return X.probes(spark, d).groupBy("addr").agg(F.count("*").alias("runs"), F.count_if(~F.col("ok")).alias("errors"), F.max("seq").alias("last"))
 
 
+@query("s15_sync_status", """SELECT addr, (max(seq) FILTER (ok))::BIGINT AS last_sync, arg_max(latency_ms, seq) FILTER (ok) AS last_size, CASE WHEN arg_max(ok, seq) THEN '' ELSE 'HTTP 503' END AS last_err, (count(*) FILTER (ok))::BIGINT AS total_syncs, (count(*) FILTER (NOT ok))::BIGINT AS total_errors FROM probes GROUP BY addr""")
+def s15(spark, d):
+    return logs.sync_status(X.probes(spark, d).select("addr", F.col("seq").alias("at"), F.col("latency_ms").alias("size"), F.when(~F.col("ok"), "HTTP 503").alias("err")))
+
+
 @query("s17_gc_summary", SWEEPS + "SELECT addr, count(*)::BIGINT AS sweeps, sum(size)::BIGINT AS bytes FROM sweeps GROUP BY addr")
 def s17(spark, d):
     return _sweeps(spark, d).groupBy("addr").agg(F.count("*").alias("sweeps"), F.sum("size").alias("bytes"))

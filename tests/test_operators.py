@@ -238,3 +238,52 @@ def test_parity_of_every_stripe(spark, tmp_path):
             want.add((sid, 4 + p, hashlib.sha256(parity).hexdigest()))
     got = [tuple(r) for r in queries.queries()["d5_parity"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and len({s[0] for s, *_ in want}) > 1
+
+
+def test_inventory_from_files(spark, tmp_path):
+    import os
+
+    from stowage.sources import files
+
+    bodies = [b"a", b"bb", b""]
+    ids = [hashlib.sha256(b).hexdigest() for b in bodies]
+    for b, i in zip(bodies, ids, strict=True):
+        (tmp_path / "chunks" / i[:2]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "chunks" / i[:2] / i[2:]).write_bytes(b)
+        os.utime(tmp_path / "chunks" / i[:2] / i[2:], (1700000000, 1700000000))
+    (tmp_path / "chunks" / ids[0][:2] / (ids[0][2:] + ".tmp")).write_bytes(b"x")
+    (tmp_path / "chunks" / "zz").mkdir()
+    (tmp_path / "chunks" / "zz" / ids[0][2:]).write_bytes(b"x")
+    got = files.inventory(spark, str(tmp_path), "dn1")
+    assert {tuple(r) for r in got.collect()} == {("dn1", i, len(b), 1700000000) for b, i in zip(bodies, ids, strict=True) if b}
+
+
+def test_alerts_by_hand(spark):
+    import random
+
+    r = random.Random(3)
+    seen, want, rows = set(), [], [(r.randrange(9), i) for i in range(200)]
+    for key, seq in rows:
+        if key not in seen:
+            if len(seen) >= 4:
+                seen = set()
+            seen.add(key)
+            want.append((key, seq))
+    frame = spark.createDataFrame(rows, "key int, seq int")
+    assert sorted(tuple(x) for x in audit.first_seen(frame, "key", 4).collect()) == sorted(want)
+    assert audit.first_seen(frame.limit(0), "key", 4).count() == 0
+    assert audit.first_seen(frame, "key").count() == 9
+
+
+def test_puts_of_chunks(spark):
+    stored = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2")], "addr string, chunk_id string")
+    puts = spark.createDataFrame([("a", "1", "1", 5, False), ("a", "1", "1", 5, False), ("a", "2", "2", 5, True), ("b", "2", "2", 5, False), ("a", "3", "x", 5, True), ("a", "4", None, 5, False)], "addr string, chunk_id string, digest string, size int, force boolean")
+    got = {(r.addr, r.chunk_id, r.status) for r in chunking.put_chunks(stored, puts).collect()}
+    assert got == {("a", "1", "already-stored"), ("a", "2", "stored"), ("b", "2", "stored"), ("a", "3", "mismatch"), ("a", "4", "mismatch")}
+
+
+def test_gauges_and_sync_status(spark):
+    at = spark.createDataFrame([(5,), (12,), (13,), (31,), (33,)], "at long")
+    assert [tuple(logs.commit_gauges(at, 10, n).first()) for n in (4, 12, 25, 34, 99)] == [(0, 0), (1, 0), (2, 0), (2, 3), (2, 0)]
+    runs = spark.createDataFrame([("f", 1, 10, None), ("f", 2, None, "x"), ("g", 1, None, "y"), ("g", 2, 7, None), ("h", 1, None, "z")], "addr string, at int, size int, err string")
+    assert {tuple(r) for r in logs.sync_status(runs).collect()} == {("f", 1, 10, "x", 1, 1), ("g", 2, 7, "", 1, 1), ("h", None, None, "z", 0, 1)}
