@@ -26,7 +26,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .shared import documents, frugal, text_bytes
+from .shared import documents, frugal, held, text_bytes
 
 #: Chunks of text that a worker remembers at most.
 CACHE = 400_000
@@ -227,7 +227,7 @@ class Codec:
         return memoryview(data if data is not None else b""), ends[off]
 
 
-@functools.lru_cache(4)
+@held
 def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
@@ -265,7 +265,7 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     def digests(data: memoryview, off: np.ndarray) -> pa.Array:
         return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
 
-    @frugal
+    @functools.partial(frugal, holds=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:

@@ -25,22 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, binary, byte_chars
-from .shared import documents, frugal, pieces, small, written
+from .shared import documents, frugal, held, pieces, small, written
 
 WINDOW, END = 2048, 1
 
 
-@functools.lru_cache(2)
+@held
 def _codec(path: str, pattern: str) -> Codec:
     """The encoder of a tokenizers file of byte-level BPE, whose ids must be in the order of its merges."""
     with open(path, encoding="utf-8") as file:
-        held = json.load(file)
+        found = json.load(file)
     byte_of = {c: b for b, c in enumerate(byte_chars())}
-    model, added = held["model"], [(x["content"], x["id"]) for x in held["added_tokens"]]
+    model, added = found["model"], [(x["content"], x["id"]) for x in found["added_tokens"]]
     strings = {x for x, _ in added}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in strings}
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if model["type"] != "BPE" or merged != sorted(merged) or len(added) > 1 or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in held["added_tokens"]):
+    if model["type"] != "BPE" or merged != sorted(merged) or len(added) > 1 or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in found["added_tokens"]):
         raise ValueError("not a byte-level BPE file whose ids follow its merges, with one plain added token at most")
     return Codec(ranks, pattern, added[0] if added else None, bool(model.get("ignore_merges")))
 
@@ -51,7 +51,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
     ids are little-endian, two bytes each where the vocabulary allows it (wide = false), else four.
     """
 
-    @frugal
+    @functools.partial(frugal, holds=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part_id, before = _codec(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,11 +85,43 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A step for mapInArrow that gives its freed memory back when it ends."""
+#: The model that this worker's steps hold between tasks, by its function and arguments. Only this module's functions touch it: steps are
+#: pickled, with copies of the values that they name.
+HELD: dict = {}
+
+
+def held(make: Callable) -> Callable:
+    """make with its last result kept for the worker's next tasks, until a frugal step runs there that holds none."""
+
+    @functools.wraps(make)
+    def get(*key):
+        name = (make.__module__, make.__qualname__, *key)
+        if name not in HELD:
+            HELD.clear()
+            HELD[name] = make(*key)
+        return HELD[name]
+
+    return get
+
+
+def let_go() -> None:
+    """Frees what the worker's steps of other stages held."""
+    if HELD:
+        HELD.clear()
+        gc.collect()
+        give_back()
+
+
+def frugal(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step for mapInArrow that gives its freed memory back when it ends, and, unless it holds a model itself, lets go of the model of another when it begins.
+
+    Workers outlive their stages: without this, each would hold every model that any stage before needed.
+    """
 
     @functools.wraps(step)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         yield from step(batches)
         give_back()
 
