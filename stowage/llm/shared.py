@@ -85,6 +85,15 @@ def give_back() -> None:
         trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, so that the heap that a stage needed goes back to the system before the next one's workers start.
+
+    One short task a core: an executor that gets none keeps its heap, and no result depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: The model that this worker's steps hold between tasks, by its function and arguments. Only this module's functions touch it: steps are
 #: pickled, with copies of the values that they name.
 HELD: dict = {}
