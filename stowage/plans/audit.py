@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,18 +105,109 @@ def scheduled(repairs: DataFrame, budget: int, spent: int, order: list[str]) ->
     return repairs.join(F.broadcast(first), order, "left").withColumn("state", F.coalesce("state", F.lit("throttled")))
 
 
-def first_seen(sightings: DataFrame, key: str, cap: int = 100_000) -> DataFrame:
+#: Before and after every seq; the most ranges of sightings, and the most rows of theirs that the driver gathers.
+NEVER, EVER, RANGES, GATHERED = -(1 << 63), (1 << 63) - 1, 1000, 2_000_000
+
+
+def _linked(sightings: DataFrame, key: str, cuts: list[int]) -> DataFrame:
+    """key, seq, __range (how many cuts are at or before seq), __prev (the key's sighting before, of any range), __next (the one after, in this range).
+
+    Windows are of a key in one range, then of a row a range: no task sorts all sightings of a frequent key.
+    """
+    seq = F.col("seq").cast("long")
+    within = F.lit(0)
+    if cuts:
+        known, steps = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+        within = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(known, n + step - 1) <= seq, step).otherwise(0))
+    own = Window.partitionBy("__range", key)
+    every = sightings.filter("seq IS NOT NULL").select(key, "seq", within.alias("__range"))
+    every = every.select("*", F.lag(seq).over(own.orderBy("seq")).alias("__prev"), F.lead(seq).over(own.orderBy("seq")).alias("__next"), F.max(seq).over(own).alias("__last"))
+    heads = every.filter("__prev IS NULL").withColumn("__prev", F.lag("__last").over(Window.partitionBy(key).orderBy("__range")))
+    return heads.unionByName(every.filter("__prev IS NOT NULL")).drop("__last")
+
+
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The order of a range's rows by seq, seq and __prev in that order, and where each seq's rows begin, with the end."""
+    seq = table.column("seq").to_numpy().astype(np.int64)
+    order = np.argsort(seq, kind="stable")
+    seq, prev = seq[order], table.column("__prev").fill_null(NEVER).to_numpy()[order]
+    return order, seq, prev, [*np.unique(seq, return_index=True)[1].tolist(), len(seq)]
+
+
+def _last_starts(table: pa.Table, cap: int) -> pa.Table:
+    """__range, seq, prev, last, held of a range's first cap + 1 keys: if all were cleared at seq, the last clearing in the range and the keys held from there to its end.
+
+    A sighting is new after a clearing at s if its key's sighting before is before s, so a window of whole seqs is moved along and keys are never compared.
+    """
+    order, seq, prev, begin = _in_order(table)
+    heads = np.flatnonzero(prev < seq[0])[: cap + 1]
+    after, n = table.column("__next").fill_null(EVER).to_numpy()[order].tolist(), len(begin) - 1
+    value, before = seq[begin[:-1]].tolist(), prev.tolist()
+    last, count, to, held, end = list(range(n)), [0] * n, [n] * n, 0, 0
+    for i, s in enumerate(value):
+        end = max(end, i)
+        while end < n:
+            more = 0
+            for b in before[begin[end] : begin[end + 1]]:
+                more += b < s
+            if held + more > cap:
+                break
+            held, end = held + more, end + 1
+        to[i], count[i] = end, held if end > i else cap + 1  # more than cap keys at one seq: no clearing helps
+        if end > i:
+            beyond = value[end] if end < n else EVER
+            for a in after[begin[i] : begin[i + 1]]:
+                held -= a >= beyond
+    for i in reversed(range(n)):
+        if i < to[i] < n:
+            last[i] = last[to[i]]
+    at = [last[i] for i in np.searchsorted(value, seq[heads]).tolist()]
+    columns = [np.full(len(at), table.column("__range")[0].as_py(), np.int32), seq[heads], prev[heads], np.array([value[i] for i in at]), np.array([count[i] for i in at])]
+    return pa.table(columns, names=["__range", "seq", "prev", "last", "held"])
+
+
+def _alerts(table: pa.Table, cap: int, last: int, first: int) -> pa.Table:
+    """The rows of a range that raise an alert: last is the clearing in force where it begins, first the range's own first one (EVER: none)."""
+    order, seq, prev, begin = _in_order(table)
+    before, starts, held = prev.tolist(), [last], 0
+    for b, e in zip(begin, begin[1:]):
+        s = int(seq[b])
+        if s >= first:
+            more = sum(x < starts[-1] for x in before[b:e])
+            if s == first or held + more > cap:
+                starts.append(s)
+                held, more = 0, sum(x < s for x in before[b:e])
+            held += more
+    force = np.array(starts)[np.searchsorted(starts, seq, "right") - 1]
+    return table.take(pa.array(order[prev < force]))
+
+
+def first_seen(sightings: DataFrame, key: str, cap: int = 100_000, rows: int = 100_000) -> DataFrame:
     """key, seq of the sightings that raise an alert: a key's first, until cap keys are held; the next new key clears them and all count anew.
 
-    sightings: key, seq (unique). Each clearing needs the one before it, so there is a job for each cap alerts, which reads the sightings from
-    there and gathers one number; the alerts themselves are one aggregate.
+    sightings: key, seq (whole numbers, unique). Each clearing needs the one before it, so ranges of about rows sightings (more where there would
+    be over 1,000 ranges, or over 2,000,000 rows to gather) tell in parallel where a chain of clearings that enters them leaves: it can enter only at
+    a range's first cap + 1 keys. The driver follows the one chain from range to range, and each range lists its alerts: three passes over
+    the sightings, whatever the number of alerts. Past about 2e8 sightings (or with a cap near 2,000,000, where one range is left) ranges grow, each held whole by one task.
     """
-    starts = []
-    while True:
-        firsts = (sightings.filter(F.col("seq") >= starts[-1]) if starts else sightings).groupBy(key).agg(F.min("seq").alias("seq"))
-        r = firsts.orderBy("seq").limit(cap + 1).agg(F.max("seq").alias("seq"), F.count("*").alias("n")).first()
-        if r.n <= cap:
-            break
-        starts.append(r.seq)
-    epoch = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("seq"))) if starts else F.lit(0)
-    return sightings.groupBy(key, epoch.alias("__epoch")).agg(F.min("seq").alias("seq")).drop("__epoch")
+    sightings = sightings.select(key, "seq")
+    parts = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    seen = sightings.selectExpr("count(seq) AS n", f"percentile_approx(CAST(seq AS BIGINT), array({parts}), {10 * RANGES}) AS cuts").first()
+    ranges = max(1, min(RANGES, -(-seen.n // rows), GATHERED // (cap + 1)))
+    linked = _linked(sightings, key, sorted({seen.cuts[i * RANGES // ranges - 1] for i in range(1, ranges)}))
+    found = linked.groupBy("__range").applyInArrow(lambda t: _last_starts(t, cap), "__range int, seq long, prev long, last long, held long").toArrow()
+    found = found.sort_by([("__range", "ascending"), ("seq", "ascending")])
+    ids, seq, prev, lasts, helds = (found.column(c).to_numpy() for c in ("__range", "seq", "prev", "last", "held"))
+    entries, last, left = {}, NEVER + 1, 1
+    for r, lo, hi in zip(*(x.tolist() for x in (np.unique(ids), *(np.searchsorted(ids, np.unique(ids), side) for side in ("left", "right"))))):
+        new = seq[lo:hi][prev[lo:hi] < last]
+        if len(new) < left:
+            entries[r], left = (last, EVER), left - len(new)
+            continue
+        first = int(new[left - 1])
+        at = lo + int(np.searchsorted(seq[lo:hi], first))
+        entries[r], last, left = (last, first), int(lasts[at]), cap + 1 - int(helds[at])
+        if left < 1:
+            raise ValueError(f"more than {cap} keys at seq {last}")
+    shape = linked.select(key, "seq").schema
+    return linked.select(key, "seq", "__range", "__prev").groupBy("__range").applyInArrow(lambda t: _alerts(t, cap, *entries[t.column("__range")[0].as_py()]).select([key, "seq"]), shape)

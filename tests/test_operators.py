@@ -275,6 +275,34 @@ def test_alerts_by_hand(spark):
     assert audit.first_seen(frame, "key").count() == 9
 
 
+def test_alerts_over_many_ranges(spark):
+    import random
+
+    r = random.Random(5)
+    for cap, keys, n, rows in ((1, 3, 60, 5), (3, 30, 300, 10), (20, 25, 300, 8), (9, 9, 100, 7), (5, 400, 400, 30)):
+        at = sorted(r.sample(range(-500, 10**6), n))
+        sightings = [(r.choice([None, "often", f"k{r.randrange(keys - 2)}"]), seq) for seq in at] if cap < 20 else [(f"k{r.randrange(keys)}", seq) for seq in at]
+        seen, want = set(), []
+        for key, seq in sightings:
+            if key not in seen:
+                seen = (seen if len(seen) < cap else set()) | {key}
+                want.append((key, seq))
+        r.shuffle(sightings)
+        got = audit.first_seen(spark.createDataFrame(sightings, "key string, seq long"), "key", cap, rows)
+        assert got.columns == ["key", "seq"] and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), (cap, keys)
+
+
+def test_alerts_take_no_job_a_clearing(spark):
+    sc = spark.sparkContext
+    frame = spark.createDataFrame([(i % 50, i) for i in range(1500)], "key int, seq int")
+    try:
+        sc.setJobGroup("alerts", "300 clearings")
+        assert audit.first_seen(frame, "key", 5).count() == 1500
+        assert len(sc.statusTracker().getJobIdsForGroup("alerts")) <= 20
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_puts_of_chunks(spark):
     stored = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2")], "addr string, chunk_id string")
     puts = spark.createDataFrame([("a", "1", "1", 5, False), ("a", "1", "1", 5, False), ("a", "2", "2", 5, True), ("b", "2", "2", 5, False), ("a", "3", "x", 5, True), ("a", "4", None, 5, False)], "addr string, chunk_id string, digest string, size int, force boolean")
