@@ -188,7 +188,8 @@ def first_seen(sightings: DataFrame, key: str, cap: int = 100_000, rows: int = 1
     sightings: key, seq (whole numbers, unique). Each clearing needs the one before it, so ranges of about rows sightings (more where there would
     be over 1,000 ranges, or over 2,000,000 rows to gather) tell in parallel where a chain of clearings that enters them leaves: it can enter only at
     a range's first cap + 1 keys. The driver follows the one chain from range to range, and each range lists its alerts: three passes over
-    the sightings, whatever the number of alerts. Past about 2e8 sightings (or with a cap near 2,000,000, where one range is left) ranges grow, each held whole by one task.
+    the sightings, whatever the number of alerts.
+    At that bound ranges grow with the sightings, each held whole by one task: past 1e8 sightings for small caps, past 1.9e6 (19 ranges) for the default cap.
     """
     sightings = sightings.select(key, "seq")
     parts = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
